@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lines, mixing
-from .common import documents
+from . import exact, lines, mixing, secrets, warc
+from .common import documents, fresh_dir
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +21,26 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(spark, f"{sf_dir}/documents.parquet").select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir, "doc_id", "text"), fresh_dir(spark, "secrets"))
+    joined = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = {f"n_{r.kind}": F.size(F.filter("found", lambda s: s["kind"] == r.kind)).cast("long") for r in secrets.RULES}  # noqa: B023
+    return found.select(F.col("id").alias("doc_id"), *(c.alias(n) for n, c in count.items()), F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
+
+
+QUERIES = (op1_mix_sources, op5_line_dedup, op6_exact_dedup, op7_warc, op8_secret_scan)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_mix_sources, op5_line_dedup, op6_exact_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql():
     from . import sql
 
-    return {"op1_mix_sources": sql.OP1, "op5_line_dedup": sql.OP5, "op6_exact_dedup": sql.OP6}
+    numbered = {f.__name__: getattr(sql, f.__name__.split("_")[0].upper(), None) for f in QUERIES}
+    return {k: v for k, v in numbered.items() if v}

@@ -44,3 +44,34 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(body) AS text_sha256
 FROM n WINDOW g AS (PARTITION BY body)
 """
+
+OP7 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT *, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM p),
+b AS (SELECT *, list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             1 + ((('0x' || substr(hex, 5 * (i // 4)::INT + 1, 5))::BIGINT >> (5 * (3 - i % 4))::INT) & 31)::INT, 1)) AS letters FROM h)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, array_to_string(letters, '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
+OP8 = r"""
+WITH r(kind, turn, pattern) AS (VALUES
+  ('assign', 0, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+  ('access', 1, 'AKIA[A-Z0-9]+'),
+  ('hex', 2, '[0-9a-f]+')),
+p AS (SELECT doc_id, kind, turn, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos
+      FROM (SELECT doc_id, kind, turn, string_split(regexp_replace(coalesce(text, ''), '(' || pattern || ')', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS parts
+            FROM documents, r)),
+m AS (SELECT *, (sum(length(part)) OVER (PARTITION BY doc_id, kind ORDER BY pos))::BIGINT AS stop FROM p),
+s AS (SELECT doc_id, kind, turn, stop - length(part) AS start, stop FROM m
+      WHERE pos % 2 = 0 AND CASE kind WHEN 'access' THEN length(part) >= 20 WHEN 'hex' THEN length(part) >= 24
+        ELSE length(regexp_extract(part, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6 END),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, turn) AS spans
+      FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)
+"""
