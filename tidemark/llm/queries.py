@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lines, mixing, secrets, warc
+from . import exact, lines, mixing, secrets, simhash, warc
 from .common import documents, fresh_dir
 
 
@@ -13,6 +13,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.group(documents(spark, sf_dir, "doc_id", "text"), words=3, radius=2)
+    return grouped.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_repeated_lines(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -32,7 +37,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *(c.alias(n) for n, c in count.items()), F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
 
 
-QUERIES = (op1_mix_sources, op5_line_dedup, op6_exact_dedup, op7_warc, op8_secret_scan)
+QUERIES = (op1_mix_sources, op3_simhash, op5_line_dedup, op6_exact_dedup, op7_warc, op8_secret_scan)
 
 
 def queries():
