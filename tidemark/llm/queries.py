@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lines, mixing, secrets, simhash, warc
+from . import exact, lines, mixing, pii, secrets, simhash, warc
 from .common import documents, fresh_dir
 
 
@@ -37,7 +37,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *(c.alias(n) for n, c in count.items()), F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
 
 
-QUERIES = (op1_mix_sources, op3_simhash, op5_line_dedup, op6_exact_dedup, op7_warc, op8_secret_scan)
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(documents(spark, sf_dir, "doc_id", "text"))
+    base = F.filter("found", lambda s: ~s["disguised"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]  # noqa: B023
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("found").alias("spans"))
+
+
+QUERIES = (op1_mix_sources, op3_simhash, op5_line_dedup, op6_exact_dedup, op7_warc, op8_secret_scan, op9_pii)
 
 
 def queries():
