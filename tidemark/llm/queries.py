@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lines, mixing, pii, secrets, simhash, warc
+from . import decontam, exact, lines, mixing, pii, secrets, simhash, warc
 from .common import documents, fresh_dir
 
 
@@ -18,6 +18,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_leaks(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), "matched", "item_words")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_repeated_lines(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -45,7 +50,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("found").alias("spans"))
 
 
-QUERIES = (op1_mix_sources, op3_simhash, op5_line_dedup, op6_exact_dedup, op7_warc, op8_secret_scan, op9_pii)
+QUERIES = (op1_mix_sources, op3_simhash, op4_decontaminate, op5_line_dedup, op6_exact_dedup, op7_warc, op8_secret_scan, op9_pii)
 
 
 def queries():
