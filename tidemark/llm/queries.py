@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, lines, mixing, pii, secrets, simhash, warc
+from . import decontam, exact, lines, mixing, pii, secrets, simhash, toxicity, warc
 from .common import documents, fresh_dir
 
 
@@ -13,6 +13,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = simhash.group(documents(spark, sf_dir, "doc_id", "text"), words=3, radius=2)
     return grouped.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -50,7 +56,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("found").alias("spans"))
 
 
-QUERIES = (op1_mix_sources, op3_simhash, op4_decontaminate, op5_line_dedup, op6_exact_dedup, op7_warc, op8_secret_scan, op9_pii)
+QUERIES = (op1_mix_sources, op2_toxicity, op3_simhash, op4_decontaminate, op5_line_dedup, op6_exact_dedup, op7_warc, op8_secret_scan, op9_pii)
 
 
 def queries():
