@@ -34,9 +34,9 @@ def _seeds(h: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
-def _probes(seed: np.ndarray) -> list[np.ndarray]:
-    bits = seed.view(np.uint64)
-    return [((bits * np.uint64(2 * k + 1)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64) for k in range(1, PROBES + 1)]
+def _probe(seed: np.ndarray, k: int) -> np.ndarray:
+    """The filter's bit for the k-th probe of each hash."""
+    return ((seed.view(np.uint64) * np.uint64(2 * k + 3)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 def benchmark_seeds(bench: DataFrame, *, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -45,8 +45,7 @@ def benchmark_seeds(bench: DataFrame, *, id_col: str, text_col: str) -> tuple[Da
 
     def run(batches):
         for batch in batches:
-            h, starts = hashed((t.as_py() for t in batch.column(1)), strip=True)
-            items = [h[a:b].view(np.int64) for a, b in zip(starts, starts[1:], strict=False)]
+            items = [h[a:b].view(np.int64) for _, h, starts in hashed((t.as_py() for t in batch.column(1)), strip=True) for a, b in zip(starts, starts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(pa.int64()))], names=["item", "tokens"])
 
     def cut(batches):
@@ -65,7 +64,7 @@ def seed_filter(seeds: DataFrame) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            bits = np.unique(np.concatenate(_probes(batch.column(0).to_numpy(zero_copy_only=False))))
+            bits = np.unique(np.concatenate([_probe(batch.column(0).to_numpy(zero_copy_only=False), k) for k in range(PROBES)]))
             yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array(np.left_shift(np.int64(1), bits & 63))], names=["word", "bits"])
 
     words = seeds.select("seed").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
@@ -75,6 +74,27 @@ def seed_filter(seeds: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
 
 
+def segments_of(h: np.ndarray, starts: np.ndarray, filled: np.ndarray) -> list[tuple]:
+    """(name, text, start, tokens, hits) of each stretch of a text round the positions that pass the filter."""
+    found = []
+    for values, at in _seeds(h, starts):
+        for k in range(PROBES):  # most positions go at the first probe
+            keep = filled[_probe(values, k)]
+            values, at = values[keep], at[keep]
+        found.append((values, at))
+    values, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(at, kind="stable")
+    values, at = values[order], at[order]
+    text = np.searchsorted(starts, at, side="right") - 1
+    cuts = np.flatnonzero((np.diff(at) > 2 * WINDOW) | (np.diff(text) > 0)) + 1
+    rows = []
+    for part in np.split(np.arange(len(at)), cuts) if len(at) else ():
+        t = text[part[0]]
+        first, last = max(starts[t], at[part[0]] - WINDOW), min(starts[t + 1], at[part[-1]] + WINDOW + 8)
+        rows.append((uuid.uuid4().hex, int(t), int(first - starts[t]), h[first:last].view(np.int64), [{"at": int(a - first), "seed": int(v)} for a, v in zip(at[part], values[part], strict=True)]))
+    return rows
+
+
 def find_leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, start, end, matched, item_words) per text and item that it holds a passage of.
 
@@ -97,27 +117,11 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", tex
     def scan(batches):
         filled = np.unpackbits(known.value, bitorder="little").view(bool)
         for batch in batches:
-            h, starts = hashed((t.as_py() for t in batch.column(1)), strip=True)
-            found = []
-            for values, at in _seeds(h, starts):
-                for k in range(PROBES):  # most positions go at the first probe
-                    keep = filled[_probes(values)[k]] if k else filled[((values.view(np.uint64) * np.uint64(3)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-                    values, at = values[keep], at[keep]
-                found.append((values, at))
-            values, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(at, kind="stable")
-            values, at = values[order], at[order]
-            text = np.searchsorted(starts, at, side="right") - 1
-            cuts = np.flatnonzero((np.diff(at) > 2 * WINDOW) | (np.diff(text) > 0)) + 1
-            rows = []
-            for part in np.split(np.arange(len(at)), cuts) if len(at) else ():
-                t = text[part[0]]
-                first, last = max(starts[t], at[part[0]] - WINDOW), min(starts[t + 1], at[part[-1]] + WINDOW + 8)
-                rows.append((uuid.uuid4().hex, t, int(first - starts[t]), h[first:last].view(np.int64), [{"at": int(a - first), "seed": int(v)} for a, v in zip(at[part], values[part], strict=True)]))
+            rows = [(r, first + t, *rest) for first, h, starts in hashed((t.as_py() for t in batch.column(1)), strip=True) for r, t, *rest in segments_of(h, starts, filled)]
             if rows:
-                names, t, first, tokens, hits = zip(*rows, strict=True)
+                names, t, start, tokens, hits = zip(*rows, strict=True)
                 struct = pa.list_(pa.struct([("at", pa.int32()), ("seed", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([pa.array(names), batch.column(0).take(pa.array(t)), pa.array(first), pa.array(tokens, pa.list_(pa.int64())), pa.array(hits, struct)], names=["segment", "id", "start", "tokens", "hits"])
+                yield pa.RecordBatch.from_arrays([pa.array(names), batch.column(0).take(pa.array(t)), pa.array(start), pa.array(tokens, pa.list_(pa.int64())), pa.array(hits, struct)], names=["segment", "id", "start", "tokens", "hits"])
 
     segments = spool(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(scan, SEGMENTS.format(kind)), "leak-segments")
     lined_up = segments.select("segment", F.inline("hits")).withColumnRenamed("at", "pos").join(seeds, "seed").select("segment", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()

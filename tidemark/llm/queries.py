@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, lines, mixing, pii, secrets, simhash, toxicity, warc
+from . import decontam, exact, lines, mixing, passages, pii, secrets, simhash, toxicity, warc
 from .common import documents, fresh_dir
 
 
@@ -56,7 +56,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("found").alias("spans"))
 
 
-QUERIES = (op1_mix_sources, op2_toxicity, op3_simhash, op4_decontaminate, op5_line_dedup, op6_exact_dedup, op7_warc, op8_secret_scan, op9_pii)
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir, "doc_id", "text")).withColumnsRenamed({"doc": "doc_id", "start": "start_word", "end": "end_word", "partner": "partner_id"})
+
+
+QUERIES = (op1_mix_sources, op2_toxicity, op3_simhash, op4_decontaminate, op5_line_dedup, op6_exact_dedup, op7_warc, op8_secret_scan, op9_pii, op10_repeated_passages)
 
 
 def queries():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
@@ -19,19 +19,24 @@ def hash_words(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, found), dtype=np.uint64, count=len(found))
 
 
-def hashed(texts: Iterable[str | None], strip: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The word hashes of all texts on end, and where each text starts (with the end as last).
+def hashed(texts: Iterable[str | None], strip: bool = False, most: int = 400_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of texts of about most words: the number of the first text, the word hashes of all on end, and where each starts.
 
-    With strip, punctuation at both ends of a word doesn't count, unless there is nothing else.
+    The starts have the end as last. With strip, punctuation at both ends of a word doesn't
+    count, unless there is nothing else. So arrays stay small however large a batch is; one long text is a run of its own.
     """
-    parts, starts = [], [0]
-    for text in texts:
+    first, row, parts, starts = 0, 0, [], [0]
+    for row, text in enumerate(texts, 1):
         found = words(text)
         if strip:
             found = [w.strip(PUNCTUATION) or w for w in found]
         parts.append(hash_words(found))
         starts.append(starts[-1] + len(found))
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(starts, dtype=np.int64)
+        if starts[-1] >= most:
+            yield first, np.concatenate(parts), np.array(starts, dtype=np.int64)
+            first, parts, starts = row, [], [0]
+    if parts:
+        yield first, np.concatenate(parts), np.array(starts, dtype=np.int64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
