@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+import random
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import is_empty, spool
 from .components import components
+from .tokens import combined, hash_words
+from .tokens import words as text_words
 
 BITS = 64
 #: XXH64 seed of the shingle hashes.
@@ -51,14 +57,22 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind.simpleString()}, fp long")
 
 
-def covering_masks(radius: int) -> list[int]:
+@functools.cache
+def covering_masks(radius: int, level: int = 0) -> tuple[int, ...]:
     """2^(radius+1) - 1 bit masks such that for any radius bits, some mask has none of them.
 
-    Bit i gets the non-zero vector phi(i) of radius+1 bits, in turn; mask v holds the bits with
-    an odd inner product of phi(i) and v. radius vectors leave some v orthogonal to them all.
+    Bit i gets a non-zero vector phi(i) of radius+1 bits; mask v holds the bits with an odd inner product
+    of phi(i) and v. radius vectors leave some v orthogonal to them all, whatever phi is, so of
+    a few drawn ones that is taken whose smallest mask is largest. Levels have different phi.
     """
     n = (1 << (radius + 1)) - 1
-    return [sum(((1 + i % n) & v).bit_count() % 2 << i for i in range(BITS)) for v in range(1, n + 1)]
+
+    def draw(seed: int) -> tuple[int, ...]:
+        rng = random.Random(1000 * level + seed)
+        phi = (rng.sample(range(1, n + 1), n) * BITS)[:BITS] if n < BITS else rng.sample(range(1, n + 1), BITS)
+        return tuple(sum((p & v).bit_count() % 2 << i for i, p in enumerate(phi)) for v in range(1, n + 1))
+
+    return max((draw(seed) for seed in range(40)), key=lambda masks: min(m.bit_count() for m in masks))
 
 
 def _signed(x: int) -> int:
@@ -73,33 +87,38 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     """Edges (u, v) that join all fingerprints fps(fp), distinct, within radius bits, directly or over others.
 
     Each fingerprint enters one bucket per covering mask. Buckets of at most PAIRWISE fingerprints are
-    compared pair by pair. In a larger one, where pairs would grow with the square, each
-    fingerprint is entered under all fingerprints within half the radius: two
-    within radius bits meet under some centre. At radius 2 all that meet under a centre are within 2
-    bits of each other, so each is linked to the smallest there; at most 65 meet.
-    For another radius those that meet are compared in pairs; their number is bounded by the ball round the centre.
+    compared pair by pair. In a larger one pairs would grow with the square. At radius 2 its
+    fingerprints are then entered under all fingerprints one bit away: two within 2 bits meet
+    under some centre, and all that meet there, 65 at most, are within 2 bits of each other, so each is linked to the
+    smallest. At another radius the bucket is dealt again by other masks, which also cover every
+    pair; after three levels hardly a bit is free, so the last buckets are small by themselves.
     """
-    masks = covering_masks(radius)
-    tables = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks))).alias("t", "key"))
-    sizes = tables.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = spool(tables.join(sizes, ["t", "key"]), "simhash-buckets")
-    small = shared.filter(F.col("n") <= PAIRWISE)
-    a, b = small.alias("a"), small.alias("b")
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (_distance(F.col("a.fp"), F.col("b.fp")) <= radius)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    crowded = shared.filter(F.col("n") > PAIRWISE).select("fp").distinct()
-    return pairs.unionByName(_by_centres(crowded, radius)).distinct()
-
-
-def _by_centres(fps: DataFrame, radius: int) -> DataFrame:
-    flips = [0]
-    for _ in range((radius + 1) // 2):
-        flips = sorted({f ^ g for f in flips for g in [0, *(1 << i for i in range(BITS))]})
+    found, now = [], fps.select("fp", F.lit(0).cast("long").alias("key"))
+    for level in range(1 if radius == 2 else 3):
+        masked = F.array(*(F.xxhash64("key", F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))) for t, m in enumerate(covering_masks(radius, level))))
+        tables = now.select("fp", F.explode(masked).alias("key"))
+        shared = spool(tables.join(tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"), "simhash-buckets")
+        last = level == 2
+        found.append(_pairs(shared if last else shared.filter(F.col("n") <= PAIRWISE), radius))
+        now = shared.filter(F.col("n") > PAIRWISE).select("fp", "key")
+        if last or is_empty(now):
+            break
+    else:
+        found.append(_by_centres(now.select("fp").distinct()))
+    return functools.reduce(DataFrame.unionByName, found).distinct()
+
+
+def _pairs(buckets: DataFrame, radius: int) -> DataFrame:
+    a, b = buckets.alias("a"), buckets.alias("b")
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (_distance(F.col("a.fp"), F.col("b.fp")) <= radius)
+    return a.join(b, near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+
+
+def _by_centres(fps: DataFrame) -> DataFrame:
+    flips = [0, *(1 << i for i in range(BITS))]
     near = fps.select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(_signed(f)).cast("long")) for f in flips))).alias("centre"))
-    if radius == 2:
-        least = near.groupBy("centre").agg(F.min("fp").alias("u"), F.max("fp").alias("top")).filter("u <> top").select("centre", "u")
-        return near.join(least, "centre").filter("fp <> u").select("u", F.col("fp").alias("v"))
-    a, b = near.alias("a"), near.alias("b")
-    return a.join(b, (F.col("a.centre") == F.col("b.centre")) & (F.col("a.fp") < F.col("b.fp")) & (_distance(F.col("a.fp"), F.col("b.fp")) <= radius)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    least = near.groupBy("centre").agg(F.min("fp").alias("u"), F.max("fp").alias("top")).filter("u <> top").select("centre", "u")
+    return near.join(least, "centre").filter("fp <> u").select("u", F.col("fp").alias("v"))
 
 
 def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
@@ -122,3 +141,57 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wo
         tops = known.groupBy("root").agg(F.min("least").alias("component_id"))
         reached = known.join(tops, "root").select("fp", "component_id")
     return kept.join(reached, "fp").select("id", "fp", "component_id")
+
+
+#: Shingles of a sketch: a text with no more has its exact set there.
+SKETCH = 128
+
+
+def sketches(docs: DataFrame, *, text_col: str = "text", keep: list[str], words: int, shingle: int) -> DataFrame:
+    """The kept columns with the fingerprint over shingles of so many words and the SKETCH smallest 32-bit hashes of longer shingles."""
+    kept = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+
+    def run(batches):
+        for batch in batches:
+            fps, low = [], []
+            for text in batch.column(batch.num_columns - 1):
+                fps.append(fingerprint(text.as_py(), words))
+                found = text_words(text.as_py())
+                hashes = combined(hash_words(found), tuple(range(shingle if len(found) >= shingle else max(1, len(found)))), 0)
+                low.append(np.unique((hashes >> np.uint64(32)).astype(np.int64))[:SKETCH])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(low, pa.list_(pa.int64()))], names=[*keep, "fp", "low"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    return kept.mapInArrow(run, f"{fields}, fp long, low array<long>")
+
+
+def sketch_similarity(a: Column, b: Column) -> Column:
+    """The Jaccard index of two sets from their smallest hashes; exact if both fit into a sketch, 1 for two empty sets."""
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    return F.when(F.size(union) == 0, 1.0).otherwise(F.try_divide(F.size(F.array_intersect(F.array_intersect(a, b), union)), F.size(union)))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 2, radius: int = 6, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near duplicates, that with the smallest id, all columns as they were.
+
+    Exact copies are one node. Nodes whose fingerprints (over pairs of words, so that a changed word touches
+    few features) lie within radius bits are candidates, and are linked if the Jaccard index of their sets of
+    5-word shingles, taken from sketches, is similarity or more; groups are the components. Nodes of one
+    fingerprint are compared with the smallest of them. Null and empty texts are one group; null ids
+    come last; of repeated rows one stays.
+    """
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
+    every = spool(sketches(docs.select(digest.alias("__digest"), key.alias("__key"), F.col(text_col).alias("__body")), text_col="__body", keep=["__digest", "__key"], words=words, shingle=shingle), "near-rows")
+    told = spool(every.groupBy("__digest").agg(F.min("__key").alias("__key"), F.first("fp").alias("fp"), F.first("low").alias("low")), "near-nodes")
+    heads = told.groupBy("fp").agg(F.min("__digest").alias("head"))
+    fps = spool(links(heads.select("fp"), radius), "near-links")
+    within = told.select("fp", F.col("__digest").alias("v")).join(heads.select("fp", F.col("head").alias("u")), "fp").filter("u <> v").select("u", "v")
+    across = fps.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("hu")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("hv")), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
+    low = lambda end: told.select(F.col("__digest").alias(end), F.col("low").alias(f"low_{end}"))
+    edges = within.unionByName(across).join(low("u"), "u").join(low("v"), "v").filter(sketch_similarity(F.col("low_u"), F.col("low_v")) >= similarity).select("u", "v")
+    member = spool(components(edges), "near-components")
+    grouped = told.select("__digest", "__key").join(member, F.col("__digest") == F.col("node"), "left").select("__digest", "__key", F.coalesce("root", "__digest").alias("root"))
+    stays = grouped.groupBy("root").agg(F.min(F.struct("__key", "__digest")).alias("first")).select(F.col("first.__digest").alias("__digest"), F.col("first.__key").alias("__key"))
+    nth = F.row_number().over(W.partitionBy("__digest").orderBy("__digest"))
+    return docs.withColumn("__digest", digest).join(stays, "__digest").filter(key == F.col("__key")).withColumn("__nth", nth).filter("__nth = 1").drop("__digest", "__key", "__nth")
