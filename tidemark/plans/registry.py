@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import skill_queries
+
+MODULES = (skill_queries,)
+
 
 def queries():
-    return {}
+    return {k: f for module in MODULES for k, f in module.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: s for module in MODULES for k, s in module.SQL.items()}
