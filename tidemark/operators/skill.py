@@ -178,7 +178,7 @@ def omega_of(s: np.ndarray, o: np.ndarray) -> float | None:
 def omega(pairs: DataFrame, keys: Sequence[str], *, time: str = "time") -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keys).schema.fields)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         return pd.DataFrame([[*key, omega_of(pdf["s"].to_numpy(), pdf["o"].to_numpy())]], columns=[*keys, "MFM_omega"])
 
