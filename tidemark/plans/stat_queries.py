@@ -24,7 +24,7 @@ def query(sql=None):
 
 
 def rounded(df, *names, digits=4):
-    return df.withColumns({n: F.round(n, digits) for n in names})
+    return df.withColumns({n: F.round(n, digits) + 0.0 for n in names})
 
 
 @query(f"WITH {SQL_GRID} SELECT source, cell, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(max(value), 4) AS max, round(min(value), 4) AS min, round(sum(value), 2) AS sum FROM series GROUP BY 1, 2")
@@ -143,11 +143,11 @@ def st18_difference(spark, sf_dir):
 
 
 @query(f"""WITH {SQL_STATIONS}, p AS (SELECT a.station_id, a.value AS x, b.value AS y FROM st a JOIN st b USING (station_id, time) WHERE a.source = 'view' AND b.source = 'click')
-SELECT station_id, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) AS correlation, round(covar_samp(x, y), 5) AS covariance FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1""")
+SELECT station_id, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) AS correlation FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1""")
 def st5_station_correlation(spark, sf_dir):
     s = domain.station_series(spark, sf_dir)
     side = lambda source, name: s.filter(F.col("source") == source).select("station_id", "time", F.col("value").alias(name))
-    return rounded(rounded(stats.correlation(side("view", "x").join(side("click", "y"), ["station_id", "time"]), ["station_id"]), "correlation", digits=6), "covariance", digits=5)
+    return rounded(stats.correlation(side("view", "x").join(side("click", "y"), ["station_id", "time"]), ["station_id"]).drop("covariance"), "correlation", digits=6)
 
 
 @query()
