@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compare_queries, skill_queries, stat_queries
+from . import compare_queries, ingest_queries, skill_queries, stat_queries
 
-MODULES = (skill_queries, stat_queries, compare_queries)
+MODULES = (skill_queries, stat_queries, compare_queries, ingest_queries)
 
 
 def queries():
