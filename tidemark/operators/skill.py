@@ -125,8 +125,8 @@ def kappa(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     total = W.partitionBy(*keys)
     table = table.withColumns({"all": F.sum("n").over(total), "na": F.sum("n").over(W.partitionBy(*keys, "a")), "nb": F.sum("n").over(W.partitionBy(*keys, "b"))})
     agreed = table.groupBy(*keys).agg((F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)) / F.max("all")).alias("po"), F.max("all").alias("all"))
-    side = lambda c, n: table.select(*keys, F.col(c).alias("k"), F.col(f"n{c}").alias(n)).distinct()
-    chance = side("a", "x").join(side("b", "y"), [*keys, "k"]).groupBy(*keys).agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    side = lambda c, n: table.select(*keys, F.col(c).alias("__k"), F.col(f"n{c}").alias(n)).distinct()
+    chance = side("a", "x").join(side("b", "y"), [*keys, "__k"]).groupBy(*keys).agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
     pe = F.coalesce("xy", F.lit(0)) / (F.col("all").cast("double") * F.col("all"))
     return agreed.join(chance, list(keys), "left").select(*keys, F.when(F.abs(1 - pe) >= 1e-10, (F.col("po") - pe) / (1 - pe)).alias("kappa_coeff"))
 
@@ -154,9 +154,9 @@ def mfm(pairs: DataFrame, keys: Sequence[str], *, bins: int = 10, time: str = "t
     together = shared.groupBy(*keys).agg(F.max("n").alias("n"), (F.sum(F.least("ns", "no")) / F.sum("no")).alias("MFM_eta"), F.abs(_entropy(ps) - _entropy(po)).alias("hs"))
     w = W.partitionBy(*keys)
     own = pairs.select(*keys, *(histogram_bin(F.col(c), F.min(c).over(w), F.max(c).over(w), bins).alias(f"b{c}") for c in "so"))
-    own = own.select(*keys, F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.col(f"b{c}").alias("b")) for i, c in enumerate("so")))).alias("x")).groupBy(*keys, "x.k", "x.b").agg(F.count(F.lit(1)).alias("c"))
-    own = own.withColumn("p", F.col("c") / F.sum("c").over(W.partitionBy(*keys, "k"))).groupBy(*keys, "k").agg(_entropy(F.col("p")).alias("h"))
-    own = own.groupBy(*keys).agg(F.abs(F.sum(F.when(F.col("k") == 0, F.col("h")).otherwise(-F.col("h")))).alias("hu"))
+    own = own.select(*keys, F.explode(F.array(*(F.struct(F.lit(i).alias("__k"), F.col(f"b{c}").alias("__b")) for i, c in enumerate("so")))).alias("__x")).groupBy(*keys, "__x.__k", "__x.__b").agg(F.count(F.lit(1)).alias("__c"))
+    own = own.withColumn("__p", F.col("__c") / F.sum("__c").over(W.partitionBy(*keys, "__k"))).groupBy(*keys, "__k").agg(_entropy(F.col("__p")).alias("__h"))
+    own = own.groupBy(*keys).agg(F.abs(F.sum(F.when(F.col("__k") == 0, F.col("__h")).otherwise(-F.col("__h")))).alias("hu"))
     joined = together.join(own, list(keys)).join(omega(pairs, keys, time=time), list(keys))
     enough = F.col("n") >= 3
     out = joined.select(*keys, "MFM_omega", F.when(enough, F.exp(-F.greatest("hs", "hu"))).alias("MFM_varphi"), F.when(enough, F.col("MFM_eta")).alias("MFM_eta"))
