@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from .common import fresh_dir, is_empty, spool
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Settings of the stream: state on disk, and a store closed once its part of a batch is committed, so
+#: that the open stores of many partitions don't fill the disks at once.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -45,8 +49,9 @@ def update_state(spark: SparkSession, path: str, state_dir: str, *, id_col: str
     schema = spark.read.parquet(path).select(id_col, text_col).schema
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "locator")
     keyed = _rows(spark.readStream.schema(schema).parquet(_as_glob(path)), id_col, text_col, digest).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"))
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         query = (
             keyed.writeStream.outputMode("update")
@@ -57,7 +62,8 @@ def update_state(spark: SparkSession, path: str, state_dir: str, *, id_col: str
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(f"digest string, n long, first {keyed.schema['first'].dataType.simpleString()}").parquet(f"{state_dir}/changes").groupBy("digest").agg(F.max("n").alias("n"), F.min("first").alias("first"))
 
 
