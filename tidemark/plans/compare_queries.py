@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.guards import weighted_mean
 from ..operators import compare, pairing, report, skill
-from . import domain
+from . import domain, stat_queries
 from .domain import FIELD, KEYS, SQL_GRID, SQL_METRICS, SQL_STATIONS
 from .skill_queries import SQL_SCORES
 from .stat_queries import rounded
@@ -262,3 +262,42 @@ def r3_best_and_worst(spark, sf_dir):
 SELECT ref, sim, name, round(v, 6) AS mean FROM s UNION ALL SELECT NULL, NULL, NULL, round(avg(v), 6) FROM s""")
 def r4_overall_summary(spark, sf_dir):
     return rounded(report.overall_summary(field(spark, sf_dir, SCORES), ["ref", "sim", "name"]), "mean", digits=6)
+
+
+# comparisons that are a statistic on each source, under their own names
+def _alias(name, module, of):
+    QUERIES[name] = module.QUERIES[of]
+    if of in module.SQL:
+        SQL[name] = module.SQL[of]
+
+
+_alias("c14_mann_kendall", stat_queries, "st10_mann_kendall")
+_alias("c15_standard_deviation", stat_queries, "st2_st3_spread")
+_alias("c16_functional_response", stat_queries, "st9_functional_response")
+_alias("c17_basic", stat_queries, "st1_basic")
+
+
+@query(f"""WITH {SQL_GRID}, v AS (SELECT 'price' AS variable, source, cell, time, value FROM series UNION ALL SELECT 'half', source, cell, time, value / 2 FROM series)
+SELECT a.variable, b.source AS ref, a.source AS sim, count(*) AS n, round(avg(a.value - b.value), 4) AS bias FROM v a JOIN v b ON a.variable = b.variable AND a.cell = b.cell AND a.time = b.time
+WHERE a.source IN ('A', 'B') AND b.source IN ('R', 'C') GROUP BY 1, 2, 3""")
+def j4_all_pairs(spark, sf_dir):
+    s = domain.grid_series(spark, sf_dir)
+    both = s.unionByName(s.withColumns({"variable": F.lit("half"), "value": F.col("value") / 2}))
+    got = pairing.pair(both.filter("source IN ('A', 'B')"), both.filter("source IN ('R', 'C')"))
+    return got.groupBy("variable", "ref", "sim").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("s") - F.col("o")), 4).alias("bias"))
+
+
+@query(f"""WITH {SQL_STATIONS}, ids AS (SELECT DISTINCT station_id FROM st), p AS (SELECT a.station_id, count(*) AS n, avg(a.value - b.value) AS bias FROM st a JOIN st b USING (station_id, time) WHERE a.source = 'error' AND b.source = 'signup' AND a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1)
+SELECT station_id, n, round(bias, 5) AS bias FROM ids LEFT JOIN p USING (station_id)""")
+def m1_m4_pairs_without_overlap(spark, sf_dir):
+    """Stations without a common valid day keep their row, with NULLs."""
+    s = domain.station_series(spark, sf_dir)
+    found = pairing.pair(s.filter("source = 'error'"), s.filter("source = 'signup'"), ["station_id", "time"]).groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("s") - F.col("o")), 5).alias("bias"))
+    return pairing.align_to(s.select("station_id").distinct(), found, "station_id")
+
+
+@query(f"WITH {SQL_GRID}, p AS (SELECT ref, sim, cell, time, s, o FROM pairs WHERE NOT (sim = 'A' AND month(time) = 4)) SELECT ref, sim, count(*) AS n, round(avg(s - o), 4) AS bias FROM p GROUP BY 1, 2")
+def m3_per_pair_mask(spark, sf_dir):
+    sims, refs = sources(spark, sf_dir)
+    holed = sims.withColumn("value", F.when(~F.expr("source = 'A' AND month(time) = 4"), F.col("value")))
+    return pairing.pair(holed, refs).groupBy("ref", "sim").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("s") - F.col("o")), 4).alias("bias"))

@@ -496,3 +496,28 @@ def streaming_moments(spark, sf_dir):
     domain.grid_pairs(spark, sf_dir).write.parquet(pairs)
     got = streaming.follow(spark, pairs, spark.read.parquet(pairs).schema, KEYS, out)
     return rounded(rounded(got, "bias", "RMSE"), "correlation", digits=5)
+
+
+@query("SELECT year(o_orderdate)::INT AS file_year, count(*) AS n FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY 1")
+def io3_layout(spark, sf_dir):
+    """One file per year under a prefix; only the wanted years' files are opened."""
+    out = scratch(spark)
+    o = orders(spark, sf_dir).select("o_orderkey", F.year("t").alias("y"))
+    tables.write_named(o, out, "y", lambda y: f"gpp_{y}")
+    return tables.read_layout(spark, out, "gpp_", "year", 1996, 1997).groupBy("file_year").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT s_suppkey::VARCHAR AS station_id, round(s_suppkey / 10, 4) AS lat, round(s_suppkey / 7, 4) AS lon, 1990 + s_suppkey::INT % 5 AS syear, 2000 + s_suppkey::INT % 5 AS eyear FROM supplier")
+def io6_station_list(spark, sf_dir):
+    k = F.col("s_suppkey")
+    listed = domain.table(spark, sf_dir, "supplier").select(k.alias("ID"), (F.lit(1990) + k % 5).alias("SYEAR"), (F.lit(2000) + k % 5).alias("EYEAR"), F.round(k / 7, 4).alias("LON"), F.round(k / 10, 4).alias("LAT"), F.lit("/d").alias("DIR"))
+    tables.write(listed, out := scratch(spark), "csv")
+    return tables.read_stations(spark, out).drop("dir")
+
+
+@query("SELECT CASE c_nationkey % 3 WHEN 0 THEN 'US-Aa0' WHEN 1 THEN 'US-Aa1' ELSE 'US-Aa2' END AS station_id, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY 1")
+def io12_merge_site(spark, sf_dir):
+    out = scratch(spark)
+    c = domain.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", (F.col("c_nationkey") % 3).cast("int").alias("k"))
+    tables.write_named(c, out, "k", lambda k: f"FLX_US-Aa{k}_2001_2010")
+    return tables.merge_site(spark, out, "c_custkey long, c_acctbal double", "parquet").groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first"))

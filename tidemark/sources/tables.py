@@ -74,3 +74,21 @@ def write(df: DataFrame, path: str, fmt: str) -> None:
 def compact(df: DataFrame, path: str, keys: Sequence[str], files: int, time: str = "time") -> None:
     """Parquet of few files in which a cell's series lies together and in order."""
     df.repartition(files, *keys).sortWithinPartitions(*keys, time).write.mode("overwrite").parquet(path)
+
+
+def write_named(df: DataFrame, root: str, by: str, name) -> None:
+    """One Parquet file per value of a column with few values, named name(value).parquet, for readers that go by names.
+
+    Spark writes its own names; each file is then renamed in its store.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(f"{root}-parts")
+    store = at(root).getFileSystem(conf)
+    store.mkdirs(at(root))
+    for folder in store.globStatus(at(f"{root}-parts/{by}=*")):
+        value = folder.getPath().getName().partition("=")[2]
+        for k, part in enumerate(store.globStatus(at(f"{folder.getPath().toString()}/part-*"))):
+            store.rename(part.getPath(), at(f"{root}/{name(value)}{f'_{k}' if k else ''}.parquet"))
+    store.delete(at(f"{root}-parts"), True)
