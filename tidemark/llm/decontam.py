@@ -99,8 +99,8 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", tex
     """(id, item, start, end, matched, item_words) per text and item that it holds a passage of.
 
     Words are blank-separated, A-Z in lower case, without punctuation at their ends. A passage leaks when,
-    word laid on word, a window of WINDOW words (or the whole item, if shorter) agrees in at least AGREE of
-    them. start and end are word positions in the text that the leaking windows span, matched is the number of
+    word laid on word, a window of WINDOW of the item's words (or the whole item, if shorter) agrees in at least AGREE of
+    them; a passage that the text cuts off may lack the rest. start and end are word positions in the text that the leaking windows span, matched is the number of
     the item's words found there. Items under LEAST words are no evidence and match nothing;
     null and empty texts leak nothing; repeated items and rows count once; an empty
     table on either side gives no rows.
@@ -145,18 +145,21 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", tex
 
 
 def overlap(tokens: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, list[int]] | None:
-    """Where the item, laid on the tokens from shift on, agrees in whole windows: start, end, and places in the item that match."""
-    first, last = max(0, -shift), min(len(item), len(tokens) - shift)
+    """Where the item, laid on the tokens from shift on, agrees in windows: start, end, and places in the item that match.
+
+    What lies beyond the text's first or last word doesn't agree.
+    """
     width = min(WINDOW, len(item))
-    if last - first < width:
-        return None
-    same = tokens[first + shift : last + shift] == item[first:last]
+    at = np.arange(len(item)) + shift
+    there = np.flatnonzero((at >= 0) & (at < len(tokens)))
+    same = np.zeros(len(item), bool)
+    same[there] = tokens[at[there]] == item[there]
     sums = np.concatenate([[0], np.cumsum(same)])
     good = np.flatnonzero(sums[width:] - sums[:-width] >= AGREE * width - 1e-9)
     if not len(good):
         return None
-    inside = np.zeros(len(same), bool)
+    inside = np.zeros(len(item), bool)
     for k in good:
         inside[k : k + width] = True
     places = np.flatnonzero(inside & same)
-    return int(first + shift + places[0]), int(first + shift + places[-1] + 1), (first + places).tolist()
+    return int(shift + places[0]), int(shift + places[-1] + 1), places.tolist()
