@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Ranks of time resolutions, a higher one is finer.
-RANK = {"year": 0, "month": 1, "day": 3, "hour": 6}
+RANK = {"year": 0, "month": 1, "8day": 2, "week": 2, "day": 3, "6hour": 4, "3hour": 5, "hour": 6, "30min": 7}
 
 
 def date_token(path: str | Column) -> tuple[Column, Column]:

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.guards import finite, ratio
 
-#: Names of coordinates.
+#: Names of coordinates, in any case.
 SYNONYMS = {
-    "lat": ("lat", "latitude", "nav_lat", "y"), "lon": ("lon", "longitude", "long", "nav_lon", "x"), "time": ("time", "date", "datetime", "valid_time", "t"),
-    "level": ("level", "lev", "plev", "depth", "soil_layer"), "elev": ("elev", "elevation", "alt", "altitude", "height"),
+    "lon": ("longitude", "lon", "long", "lon_cama", "lon_ucat", "lon0", "x", "xlong", "nav_lon", "west_east"),
+    "lat": ("latitude", "lat", "lat_cama", "lat_ucat", "lat0", "y", "xlat", "nav_lat", "south_north"),
+    "time": ("time", "t", "xtime"),
+    "level": ("level", "bottom_top"),
+    "soil": ("soil", "soil_layers_stag"),
+    "elev": ("elev", "elevation", "height", "z", "h", "alt", "altitude"),
 }
 FILTERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 

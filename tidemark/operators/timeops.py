@@ -10,16 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.guards import ratio
 
-#: Variables that add up over time, and the units in which they do.
-ACCUMULATED = ("Precipitation", "Evapotranspiration", "Total_Runoff", "Snow_Melt", "Irrigation", "Rainfall", "Snowfall")
-ACCUMULATED_UNITS = ("mm", "kg m-2", "kg/m2", "m")
+#: Variables that add up over time, and the units in which they do; in lower case.
+ACCUMULATED = ("precipitation", "runoff", "snowfall", "subsurface_runoff", "surface_runoff", "total_irrigation_amount", "total_runoff")
+ACCUMULATED_UNITS = ("mm", "kg m-2", "kg/m2", "kg m**-2")
 #: Ranks of resolutions, the finest first.
-RESOLUTIONS = {"hour": 0, "3hour": 1, "day": 2, "month": 3, "year": 4}
+RESOLUTIONS = {"hour": 0, "3hour": 0, "day": 1, "week": 2, "month": 3, "year": 4}
 #: Names that need more than one point in time, and those that a climatology can't have.
 NOT_CLIMATOLOGY = ("nPhaseScore", "nIavScore", "APFB")
-TWO_POINTS = (
-    "correlation", "correlation_R2", "ubcorrelation", "ubcorrelation_R2", "NSE", "ubNSE", "KGE", "KGESS", "L", "rv", "br2", "cp", "dr", "CRMSD", "ubRMSE", "nSeasonalityScore",
-)
+TWO_POINTS = ("correlation", "correlation_R2", "ubcorrelation", "ubcorrelation_R2", "NSE", "KGE", "KGESS", "mKGE", "nKGE", "pc_ampli", "pc_max", "pc_min", "CRMSD", "rv", "cp", "br2")
 
 
 def _instant(c: Column) -> Column:
@@ -110,7 +108,7 @@ def resample(df: DataFrame, keys: Sequence[str], resolution: str, *, total: bool
 
 def adds_up(variable: str, unit: str) -> bool:
     """Whether resampling sums a variable instead of averaging it."""
-    return variable in ACCUMULATED and unit.strip().lower() in ACCUMULATED_UNITS
+    return variable.lower() in ACCUMULATED and unit.strip().lower() in ACCUMULATED_UNITS
 
 
 def infer_step(df: DataFrame, keys: Sequence[str], time: str = "time") -> DataFrame:
