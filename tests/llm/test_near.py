@@ -56,6 +56,6 @@ def test_crowded_buckets_at_a_larger_radius_lose_no_link(spark):
     centre = rng.getrandbits(64)
     fps = sorted({centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(150)})
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    got = {(r.u, r.v) for r in simhash.links(spark.createDataFrame(signed, "fp long"), 4).collect()}
+    got = {(r.u, r.v) for r in simhash.links(spark.createDataFrame([(f, f) for (f,) in signed], "fp long, comp long"), 4).collect()}
     want = {(a, b) for (a,) in signed for (b,) in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
     assert got == want

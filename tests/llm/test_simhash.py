@@ -59,7 +59,7 @@ def test_links_of_crowded_and_small_buckets_match_brute_force(spark):
     fps = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for c in centres for _ in range(60)}
     rows = sorted(enumerate(fps))
     signed = [(int(np.uint64(f).view(np.int64)),) for _, f in rows]
-    edges = [(r.u, r.v) for r in simhash.links(spark.createDataFrame(signed, "fp long"), 2).collect()]
+    edges = [(r.u, r.v) for r in simhash.links(spark.createDataFrame([(f, f) for (f,) in signed], "fp long, comp long"), 2).collect()]
     assert all(((u ^ v) & (1 << 64) - 1).bit_count() <= 2 for u, v in edges)
     root = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     mine, want = {}, brute_groups(rows)

@@ -84,23 +84,26 @@ def _distance(a: Column, b: Column) -> Column:
 
 
 def links(fps: DataFrame, radius: int) -> DataFrame:
-    """Edges (u, v) that join all fingerprints fps(fp), distinct, within radius bits, directly or over others.
+    """Edges (u, v) that join all fingerprints fps(fp, comp), distinct, within radius bits and of different comp, directly or over others.
 
-    Each fingerprint enters one bucket per covering mask. Buckets of at most PAIRWISE fingerprints are
-    compared pair by pair. In a larger one pairs would grow with the square. At radius 2 its
+    Each fingerprint enters one bucket per covering mask. Buckets that hold one comp alone need no
+    link; small ones are compared pair by pair. In a larger one pairs would grow with the square. At radius 2 its
     fingerprints are then entered under all fingerprints one bit away: two within 2 bits meet
     under some centre, and all that meet there, 65 at most, are within 2 bits of each other, so each is linked to the
     smallest. At another radius the bucket is dealt again by other masks, which also cover every
     pair; after three levels hardly a bit is free, so the last buckets are small by themselves.
     """
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found, now = [], fps.select("fp", F.lit(0).cast("long").alias("key"))
     for level in range(1 if radius == 2 else 3):
         masked = F.array(*(F.xxhash64("key", F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))) for t, m in enumerate(covering_masks(radius, level))))
-        tables = now.select("fp", F.explode(masked).alias("key"))
-        shared = spool(tables.join(tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"), "simhash-buckets")
-        last = level == 2
-        found.append(_pairs(shared if last else shared.filter(F.col("n") <= PAIRWISE), radius))
-        now = shared.filter(F.col("n") > PAIRWISE).select("fp", "key")
+        tables = now.repartition(spread, "fp").select("fp", F.explode(masked).alias("key"))
+        met = spool(tables.join(tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"), "simhash-met").join(fps.select("fp", "comp"), "fp")
+        mixed = met.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+        shared = spool(met.join(mixed, "key"), "simhash-buckets")
+        small, last = PAIRWISE if radius == 2 else 16 * PAIRWISE, level == 2
+        found.append(_pairs(shared if last else shared.filter(F.col("n") <= small), radius))
+        now = shared.filter(F.col("n") > small).select("fp", "key")
         if last or is_empty(now):
             break
     else:
@@ -110,7 +113,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
 
 def _pairs(buckets: DataFrame, radius: int) -> DataFrame:
     a, b = buckets.alias("a"), buckets.alias("b")
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (_distance(F.col("a.fp"), F.col("b.fp")) <= radius)
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.comp") != F.col("b.comp")) & (_distance(F.col("a.fp"), F.col("b.fp")) <= radius)
     return a.join(b, near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
@@ -132,7 +135,7 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wo
     """
     kept = spool(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "simhash-fps")
     nodes = spool(kept.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    edges = spool(links(nodes.select("fp"), radius), "simhash-links")
+    edges = spool(links(nodes.select("fp", F.col("fp").alias("comp")), radius), "simhash-links")
     if is_empty(edges):
         reached = nodes.select("fp", F.col("least").alias("component_id"))
     else:
@@ -171,25 +174,37 @@ def sketch_similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(union) == 0, 1.0).otherwise(F.try_divide(F.size(F.array_intersect(F.array_intersect(a, b), union)), F.size(union)))
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 2, radius: int = 6, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 2, radii: tuple[int, ...] = (2, 3, 6), shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near duplicates, that with the smallest id, all columns as they were.
 
     Exact copies are one node. Nodes whose fingerprints (over pairs of words, so that a changed word touches
-    few features) lie within radius bits are candidates, and are linked if the Jaccard index of their sets of
+    few features) lie within the largest radius are candidates, and are linked if the Jaccard index of their sets of
     5-word shingles, taken from sketches, is similarity or more; groups are the components. Nodes of one
-    fingerprint are compared with the smallest of them. Null and empty texts are one group; null ids
-    come last; of repeated rows one stays.
+    fingerprint are compared with the smallest of them. The smaller radii come first only to join what they can: within
+    a component no pair needs to be looked at again, so that thousands of near copies of one text don't
+    make millions of pairs. Null and empty texts are one group; null ids come last; of
+    repeated rows one stays.
     """
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
     every = spool(sketches(docs.select(digest.alias("__digest"), key.alias("__key"), F.col(text_col).alias("__body")), text_col="__body", keep=["__digest", "__key"], words=words, shingle=shingle), "near-rows")
     told = spool(every.groupBy("__digest").agg(F.min("__key").alias("__key"), F.first("fp").alias("fp"), F.first("low").alias("low")), "near-nodes")
-    heads = told.groupBy("fp").agg(F.min("__digest").alias("head"))
-    fps = spool(links(heads.select("fp"), radius), "near-links")
+    heads = spool(told.groupBy("fp").agg(F.min("__digest").alias("head")), "near-heads")
+
+    def similar(edges: DataFrame) -> DataFrame:
+        low = lambda end: told.select(F.col("__digest").alias(end), F.col("low").alias(f"low_{end}"))
+        return edges.join(low("u"), "u").join(low("v"), "v").filter(sketch_similarity(F.col("low_u"), F.col("low_v")) >= similarity).select("u", "v")
+
+    head = lambda end: heads.select(F.col("fp").alias(end), F.col("head").alias(f"h{end}"))
     within = told.select("fp", F.col("__digest").alias("v")).join(heads.select("fp", F.col("head").alias("u")), "fp").filter("u <> v").select("u", "v")
-    across = fps.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("hu")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("hv")), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
-    low = lambda end: told.select(F.col("__digest").alias(end), F.col("low").alias(f"low_{end}"))
-    edges = within.unionByName(across).join(low("u"), "u").join(low("v"), "v").filter(sketch_similarity(F.col("low_u"), F.col("low_v")) >= similarity).select("u", "v")
+    edges = spool(similar(within), "near-edges")
+    for radius in radii:
+        roots = components(edges)
+        # a root is the smallest of its fingerprint too, so that fingerprint can stand for the component
+        of_root = heads.select(F.col("head").alias("root"), F.col("fp").alias("root_fp"))
+        labelled = spool(heads.join(roots.join(of_root, "root"), F.col("head") == F.col("node"), "left").select("fp", F.coalesce("root_fp", "fp").alias("comp")), "near-labels")
+        across = links(labelled, radius).join(head("u"), "u").join(head("v"), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
+        edges = spool(edges.unionByName(similar(across)), "near-edges")
     member = spool(components(edges), "near-components")
     grouped = told.select("__digest", "__key").join(member, F.col("__digest") == F.col("node"), "left").select("__digest", "__key", F.coalesce("root", "__digest").alias("root"))
     stays = grouped.groupBy("root").agg(F.min(F.struct("__key", "__digest")).alias("first")).select(F.col("first.__digest").alias("__digest"), F.col("first.__key").alias("__key"))
