@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .common import WORD, spool
 
 #: Rows that one task sorts at once, about.
-RUN = 50_000
+RUN = 4096
 
 
 def words(text: Column) -> Column:
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     n_rows, budget = named.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
 
     # words before each row in its source: within a range of the order, then over the ranges
-    ranges = F.floor(F.col("key") * (1 + F.floor(F.col("rows") / RUN)) / F.lit(float(1 << 60)))
+    ranges = F.shiftright(F.shiftright("key", 28) * (1 + F.floor(F.col("rows") / RUN)), 32)  # of 32 bits of the key, so that the product fits
     dealt = rows.withColumnRenamed("source", "of").join(named.drop("weight"), F.col("of").eqNullSafe(F.col("source"))).drop("of").withColumn("range", ranges)
     at = W.partitionBy("turn", "range").orderBy("key", "id", "size", "content")
     dealt = dealt.withColumns({"place": F.row_number().over(at), "upto": F.sum("size").over(at.rowsBetween(W.unboundedPreceding, 0))})
