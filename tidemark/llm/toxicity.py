@@ -114,8 +114,9 @@ def _pack(found: list[bytes], size: int) -> bytes:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, rows: int, chars: int) -> DataFrame:
     """(text, label) of at most rows labelled rows outside the held-out fold, drawn by a hash of the id; of each at most chars characters."""
-    told = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("label"))
-    drawn = told.filter(F.crc32(F.col("__id").cast("string")) % 5 != 0).orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    told = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("label")).filter(F.crc32(F.col("__id").cast("string")) % 5 != 0)
+    near = F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * rows / max(1, told.count()) + 1e-6))  # so that partitions send few rows to the driver
+    drawn = told.filter(near).orderBy(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)), "__id").limit(rows)
     return docs.select(F.col(id_col).alias("__id"), F.substring(F.col(text_col), 1, chars).alias("text")).join(F.broadcast(drawn), "__id").select("text", "label")
 
 
