@@ -128,7 +128,10 @@ def frames(stream) -> Iterator[bytes]:
 
 def train(pages: DataFrame, *, id_col: str, text_col: str, samples: int, sample_bytes: int, dict_bytes: int) -> bytes:
     """A dictionary from the first sample_bytes of so many pages, drawn by a hash of the id; empty if they are too few."""
-    drawn = pages.filter(F.col(text_col) != "").select(F.xxhash64(id_col).alias("h"), F.substring(F.col(text_col).cast("binary"), 1, sample_bytes).alias("b")).orderBy("h").limit(samples)
+    some = pages.filter(F.col(text_col) != "")
+    drawn_by = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
+    near = drawn_by < int((1 << 30) * min(1.0, 1.1 * samples / max(1, some.count()) + 1e-6))  # so that partitions send few pages to the driver
+    drawn = some.filter(near).select(drawn_by.alias("h"), F.substring(F.col(text_col).cast("binary"), 1, sample_bytes).alias("b")).orderBy("h").limit(samples)
     parts = [bytes(r["b"]) for r in drawn.collect()]
     try:
         return zstandard.train_dictionary(dict_bytes, parts).as_bytes() if parts else b""
