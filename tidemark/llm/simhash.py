@@ -102,7 +102,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
         mixed = met.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
         shared = spool(met.join(mixed, "key"), "simhash-buckets")
         small, last = PAIRWISE if radius == 2 else 16 * PAIRWISE, level == 2
-        found.append(_pairs(shared if last else shared.filter(F.col("n") <= small), radius))
+        found.append(_pairs(shared if last else shared.filter(F.col("n") <= small), radius, once=level == 0))
         now = shared.filter(F.col("n") > small).select("fp", "key")
         if last or is_empty(now):
             break
@@ -111,9 +111,15 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, found).distinct()
 
 
-def _pairs(buckets: DataFrame, radius: int) -> DataFrame:
+def _pairs(buckets: DataFrame, radius: int, once: bool) -> DataFrame:
+    """Pairs of each bucket within the radius; with once only in the bucket of the first mask that the two agree under."""
     a, b = buckets.alias("a"), buckets.alias("b")
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.comp") != F.col("b.comp")) & (_distance(F.col("a.fp"), F.col("b.fp")) <= radius)
+    if once:
+        masks = F.array(*(F.lit(_signed(m)).cast("long") for m in covering_masks(radius)))
+        apart = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+        first = F.array_position(F.transform(masks, lambda m: apart.bitwiseAND(m) == 0), True).cast("int")
+        near &= F.col("a.key") == F.xxhash64(F.lit(0).cast("long"), first - 1, F.col("a.fp").bitwiseAND(F.try_element_at(masks, F.greatest(first, F.lit(1)))))
     return a.join(b, near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
