@@ -59,3 +59,23 @@ def test_crowded_buckets_at_a_larger_radius_lose_no_link(spark):
     got = {(r.u, r.v) for r in simhash.links(spark.createDataFrame([(f, f) for (f,) in signed], "fp long, comp long"), 4).collect()}
     want = {(a, b) for (a,) in signed for (b,) in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
     assert got == want
+
+
+def test_long_texts_at_the_threshold_are_told_by_whole_sets(spark):
+    rng = random.Random(5)
+    rows, stays = [], set()
+    for g in range(60):
+        text = [f"w{rng.randrange(10**7)}" for _ in range(400)]
+        cut = (70, 94, 80)[g % 3]  # what is left has 0.823, 0.763 or 0.798 of the shingles
+        part = text[cut:]
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(part))]
+        if jaccard(text, part) < 0.8:
+            stays.add(2 * g + 1)
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i in got if i % 2} >= stays and len(stays) > 30
+
+
+def test_whole_sets_decide():
+    a = [f"w{i}" for i in range(1000)]
+    assert simhash.shingle_similarity(" ".join(a), " ".join(a[:798]), 5) < 0.8 <= simhash.shingle_similarity(" ".join(a), " ".join(a[:802]), 5)
+    assert simhash.shingle_similarity(None, "", 5) == 1.0

@@ -180,12 +180,37 @@ def sketch_similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(union) == 0, 1.0).otherwise(F.try_divide(F.size(F.array_intersect(F.array_intersect(a, b), union)), F.size(union)))
 
 
+#: Pairs whose sketches say less are ruled out; that is over five standard deviations under 0.8.
+FAR = 0.2
+
+
+def shingle_similarity(a: str | None, b: str | None, shingle: int) -> float:
+    """The Jaccard index of the whole sets of shingles; 1 for two empty sets."""
+    x, y = (np.unique(combined(hash_words(w), tuple(range(shingle if len(w) >= shingle else max(1, len(w)))), 0)) for w in (text_words(a), text_words(b)))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs(u, v) of digests whose texts(__digest, __body) have the similarity, compared in whole."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [shingle_similarity(a.as_py(), b.as_py(), shingle) >= similarity for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
+
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("__digest")).distinct()
+    texts = texts.join(ends, "__digest", "left_semi").dropDuplicates(["__digest"])
+    body = lambda end: texts.select(F.col("__digest").alias(end), F.col("__body").alias(f"body_{end}"))
+    return pairs.join(body("u"), "u").join(body("v"), "v").select("u", "v", "body_u", "body_v").mapInArrow(run, "u string, v string")
+
+
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 2, radii: tuple[int, ...] = (2, 3, 6), shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near duplicates, that with the smallest id, all columns as they were.
 
     Exact copies are one node. Nodes whose fingerprints (over pairs of words, so that a changed word touches
     few features) lie within the largest radius are candidates, and are linked if the Jaccard index of their sets of
-    5-word shingles, taken from sketches, is similarity or more; groups are the components. Nodes of one
+    5-word shingles is similarity or more; sketches only rule out pairs far below it, or hold the whole sets. Groups are the components. Nodes of one
     fingerprint are compared with the smallest of them. The smaller radii come first only to join what they can: within
     a component no pair needs to be looked at again, so that thousands of near copies of one text don't
     make millions of pairs. Null and empty texts are one group; null ids come last; of
@@ -197,9 +222,13 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     told = spool(every.groupBy("__digest").agg(F.min("__key").alias("__key"), F.first("fp").alias("fp"), F.first("low").alias("low")), "near-nodes")
     heads = spool(told.groupBy("fp").agg(F.min("__digest").alias("head")), "near-heads")
 
+    texts = docs.select(digest.alias("__digest"), F.col(text_col).cast("string").alias("__body"))
+
     def similar(edges: DataFrame) -> DataFrame:
         low = lambda end: told.select(F.col("__digest").alias(end), F.col("low").alias(f"low_{end}"))
-        return edges.join(low("u"), "u").join(low("v"), "v").filter(sketch_similarity(F.col("low_u"), F.col("low_v")) >= similarity).select("u", "v")
+        told_of = edges.distinct().join(low("u"), "u").join(low("v"), "v").select("u", "v", sketch_similarity(F.col("low_u"), F.col("low_v")).alias("near"), (F.greatest(F.size("low_u"), F.size("low_v")) < SKETCH).alias("whole"))
+        met = spool(told_of.filter(F.col("near") >= F.when(F.col("whole"), similarity).otherwise(similarity - FAR)), "near-met")
+        return met.filter("whole").select("u", "v").unionByName(confirmed(met.filter("NOT whole").select("u", "v"), texts, shingle, similarity))
 
     head = lambda end: heads.select(F.col("fp").alias(end), F.col("head").alias(f"h{end}"))
     within = told.select("fp", F.col("__digest").alias("v")).join(heads.select("fp", F.col("head").alias("u")), "fp").filter("u <> v").select("u", "v")
