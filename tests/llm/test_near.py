@@ -79,3 +79,15 @@ def test_whole_sets_decide():
     a = [f"w{i}" for i in range(1000)]
     assert simhash.shingle_similarity(" ".join(a), " ".join(a[:798]), 5) < 0.8 <= simhash.shingle_similarity(" ".join(a), " ".join(a[:802]), 5)
     assert simhash.shingle_similarity(None, "", 5) == 1.0
+
+
+def test_copies_in_one_fingerprint_unlike_its_smallest_node(spark):
+    rng = random.Random(3)
+    line = [f"line{i}" for i in range(11)] * 200
+    rows = []
+    for g in range(12):
+        tail = [f"t{rng.randrange(10**7)}" for _ in range(100)]
+        rows += [(2 * g, " ".join(line + tail)), (2 * g + 1, " ".join([*line, *tail[:50], "changed", *tail[51:]]))]
+    assert len({simhash.fingerprint(t, 2) for _, t in rows}) == 1
+    got = sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [2 * g for g in range(12)]

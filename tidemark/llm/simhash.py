@@ -205,13 +205,40 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return pairs.join(body("u"), "u").join(body("v"), "v").select("u", "v", "body_u", "body_v").mapInArrow(run, "u string, v string")
 
 
+#: Rounds in which a bucket's smallest node is compared with the others before those left are compared pair by pair.
+ROUNDS = 3
+
+
+def _compared(buckets: DataFrame, edges: DataFrame, similar) -> DataFrame:
+    """edges and those among the nodes of each bucket of buckets(key, node), until no two nodes of one are unlinked and uncompared.
+
+    Nodes that are in one component already need no comparison, so that a group of n copies costs n
+    comparisons; only nodes that are unlike the first few of their bucket meet pair by pair.
+    """
+    for turn in range(ROUNDS + 1):
+        roots = components(edges)
+        labelled = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+        several = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("node", "comp")).alias("head")).filter("lo < hi")
+        live = spool(labelled.join(several.select("key", "head"), "key"), "near-buckets")
+        if is_empty(live):
+            break
+        if turn < ROUNDS:
+            met = live.filter("node <> head.node AND comp <> head.comp").select(F.col("head.node").alias("u"), F.col("node").alias("v"))
+        else:
+            a, b = live.alias("a"), live.alias("b")
+            met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+        edges = spool(edges.unionByName(similar(met)), "near-edges")
+        buckets = live.filter("node <> head.node").select("key", "node")
+    return edges
+
+
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 2, radii: tuple[int, ...] = (2, 3, 6), shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near duplicates, that with the smallest id, all columns as they were.
 
     Exact copies are one node. Nodes whose fingerprints (over pairs of words, so that a changed word touches
     few features) lie within the largest radius are candidates, and are linked if the Jaccard index of their sets of
     5-word shingles is similarity or more; sketches only rule out pairs far below it, or hold the whole sets. Groups are the components. Nodes of one
-    fingerprint are compared with the smallest of them. The smaller radii come first only to join what they can: within
+    fingerprint are compared until none is left. The smaller radii come first only to join what they can: within
     a component no pair needs to be looked at again, so that thousands of near copies of one text don't
     make millions of pairs. Null and empty texts are one group; null ids come last; of
     repeated rows one stays.
@@ -240,6 +267,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         labelled = spool(heads.join(roots.join(of_root, "root"), F.col("head") == F.col("node"), "left").select("fp", F.coalesce("root_fp", "fp").alias("comp")), "near-labels")
         across = links(labelled, radius).join(head("u"), "u").join(head("v"), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
         edges = spool(edges.unionByName(similar(across)), "near-edges")
+    edges = _compared(told.select(F.col("fp").alias("key"), F.col("__digest").alias("node")), edges, similar)
     member = spool(components(edges), "near-components")
     grouped = told.select("__digest", "__key").join(member, F.col("__digest") == F.col("node"), "left").select("__digest", "__key", F.coalesce("root", "__digest").alias("root"))
     stays = grouped.groupBy("root").agg(F.min(F.struct("__key", "__digest")).alias("first")).select(F.col("first.__digest").alias("__digest"), F.col("first.__key").alias("__key"))
