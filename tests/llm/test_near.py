@@ -91,3 +91,17 @@ def test_copies_in_one_fingerprint_unlike_its_smallest_node(spark):
     assert len({simhash.fingerprint(t, 2) for _, t in rows}) == 1
     got = sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [2 * g for g in range(12)]
+
+
+def test_every_near_copy_goes_whatever_its_fingerprint(spark):
+    rng = random.Random(6)
+    rows = []
+    for g in range(60):
+        text = rng.choices([f"word{i}" for i in range(3000)], k=100)
+        changed = [f"changed{j}" if j in (30, 70) else w for j, w in enumerate(text)]
+        assert 0.8 <= jaccard(text, changed) < 0.83
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(changed))]
+    far = [(simhash.fingerprint(a, 2) ^ simhash.fingerprint(b, 2)).bit_count() > 6 for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True)]
+    assert any(far)
+    got = sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [2 * g for g in range(60)]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import is_empty, spool
 from .components import components
-from .tokens import combined, hash_words
+from .tokens import combined, hash_words, mixed
 from .tokens import words as text_words
 
 BITS = 64
@@ -156,22 +156,36 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wo
 SKETCH = 128
 
 
+#: Bands of the shingle sets and min-hashes of each: two sets at 0.8 share a band with a probability of 99.98 %.
+BANDS, ROWS = 16, 4
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """A hash of the min-hashes of each band; those of all sets without shingles are alike."""
+    least = np.array([mixed(shingles ^ mixed(np.array([k + 1], np.uint64))).min(initial=np.uint64((1 << 64) - 1)) for k in range(BANDS * ROWS)], np.uint64).reshape(BANDS, ROWS)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
+    return key.view(np.int64).tolist()
+
+
 def sketches(docs: DataFrame, *, text_col: str = "text", keep: list[str], words: int, shingle: int) -> DataFrame:
-    """The kept columns with the fingerprint over shingles of so many words and the SKETCH smallest 32-bit hashes of longer shingles."""
+    """The kept columns with the fingerprint over shingles of so many words, the SKETCH smallest 32-bit hashes of longer shingles, and their bands."""
     kept = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
 
     def run(batches):
         for batch in batches:
-            fps, low = [], []
+            fps, low, bands = [], [], []
             for text in batch.column(batch.num_columns - 1):
                 fps.append(fingerprint(text.as_py(), words))
                 found = text_words(text.as_py())
                 hashes = combined(hash_words(found), tuple(range(shingle if len(found) >= shingle else max(1, len(found)))), 0)
                 low.append(np.unique((hashes >> np.uint64(32)).astype(np.int64))[:SKETCH])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(low, pa.list_(pa.int64()))], names=[*keep, "fp", "low"])
+                bands.append(band_keys(np.unique(hashes)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(low, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=[*keep, "fp", "low", "bands"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{fields}, fp long, low array<long>")
+    return kept.mapInArrow(run, f"{fields}, fp long, low array<long>, bands array<long>")
 
 
 def sketch_similarity(a: Column, b: Column) -> Column:
@@ -236,9 +250,9 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """docs with one row of each group of near duplicates, that with the smallest id, all columns as they were.
 
     Exact copies are one node. Nodes whose fingerprints (over pairs of words, so that a changed word touches
-    few features) lie within the largest radius are candidates, and are linked if the Jaccard index of their sets of
+    few features) lie within the largest radius, or that share a band of min-hashes, are candidates, and are linked if the Jaccard index of their sets of
     5-word shingles is similarity or more; sketches only rule out pairs far below it, or hold the whole sets. Groups are the components. Nodes of one
-    fingerprint are compared until none is left. The smaller radii come first only to join what they can: within
+    fingerprint or band are compared until none is left. The smaller radii come first only to join what they can: within
     a component no pair needs to be looked at again, so that thousands of near copies of one text don't
     make millions of pairs. Null and empty texts are one group; null ids come last; of
     repeated rows one stays.
@@ -246,7 +260,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
     every = spool(sketches(docs.select(digest.alias("__digest"), key.alias("__key"), F.col(text_col).alias("__body")), text_col="__body", keep=["__digest", "__key"], words=words, shingle=shingle), "near-rows")
-    told = spool(every.groupBy("__digest").agg(F.min("__key").alias("__key"), F.first("fp").alias("fp"), F.first("low").alias("low")), "near-nodes")
+    told = spool(every.groupBy("__digest").agg(F.min("__key").alias("__key"), F.first("fp").alias("fp"), F.first("low").alias("low"), F.first("bands").alias("bands")), "near-nodes")
     heads = spool(told.groupBy("fp").agg(F.min("__digest").alias("head")), "near-heads")
 
     texts = docs.select(digest.alias("__digest"), F.col(text_col).cast("string").alias("__body"))
@@ -267,7 +281,8 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         labelled = spool(heads.join(roots.join(of_root, "root"), F.col("head") == F.col("node"), "left").select("fp", F.coalesce("root_fp", "fp").alias("comp")), "near-labels")
         across = links(labelled, radius).join(head("u"), "u").join(head("v"), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
         edges = spool(edges.unionByName(similar(across)), "near-edges")
-    edges = _compared(told.select(F.col("fp").alias("key"), F.col("__digest").alias("node")), edges, similar)
+    keys = F.explode(F.concat(F.array("fp"), "bands")).alias("key")
+    edges = _compared(told.select(keys, F.col("__digest").alias("node")), edges, similar)
     member = spool(components(edges), "near-components")
     grouped = told.select("__digest", "__key").join(member, F.col("__digest") == F.col("node"), "left").select("__digest", "__key", F.coalesce("root", "__digest").alias("root"))
     stays = grouped.groupBy("root").agg(F.min(F.struct("__key", "__digest")).alias("first")).select(F.col("first.__digest").alias("__digest"), F.col("first.__key").alias("__key"))
