@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 #: The characters that separate words, as Spark's trim and Java's regexes take them.
 BLANKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting that deletes the shuffle files of a finished query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is what the cluster names in spark.checkpoint.dir; only where that is unset (a local
-    session) is a temporary folder made and set.
+    It is what the cluster names in spark.checkpoint.dir; only where that is unset and the session
+    is local is a temporary folder made and set. On a cluster without it, this raises.
     """
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -34,12 +38,26 @@ def spool(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     It cuts the lineage at a table that outlives any executor, and what is expensive to
-    compute is computed once.
+    compute is computed once. The shuffle files of the writing job are deleted when it ends.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.spooled_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete spooled tables that nothing lazy reads any more."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.spooled_at)
+        at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def is_empty(df: DataFrame) -> bool:
