@@ -2,6 +2,7 @@ import random
 import zlib
 
 import corpus_pipeline
+import zstandard
 from pyspark.sql import functions as F
 
 from tidemark.llm import toxicity
@@ -44,6 +45,31 @@ def test_score_depends_on_the_text_alone_and_edges(spark):
     assert toxicity.score(probe.limit(0), model).count() == 0
 
 
+def test_margins_and_counts_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(k, prose(rng, 60, k % 4 == 0), int(k % 4 == 0)) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+
+    def length(own, window):
+        made = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(own + model.shared, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=toxicity._parameters())
+        return len(made.compress(model.shared[-toxicity.FRAME :] + b" " + window + b" " + model.shared[-2 * toxicity.FRAME : -toxicity.FRAME + 1]))
+
+    got = {r.doc_id: r.counts for r in toxicity.measure(docs, model, keep=["doc_id"]).collect()}
+    for k, text, _ in rows[::20]:
+        margins = [length(model.ordinary, w.encode()) - length(model.toxic, w.encode()) for w in text.split()]
+        assert got[k] == [len(margins), *(sum(m >= q for m in margins) for q in toxicity.MARGINS)]
+    assert toxicity.train(docs.select("doc_id", "text").repartition(3), docs.select("doc_id", "toxic")).key == model.key
+
+
+def test_telling_words_late_in_a_long_text_are_learned(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join([prose(rng, 5000, False), prose(rng, 30, k % 4 == 0)]), int(k % 4 == 0)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert b"vermin" in model.toxic
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     before = {r.doc_id: r for r in docs.collect()}

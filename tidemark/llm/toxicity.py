@@ -6,11 +6,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import words
+from .tokens import combined, hash_words, words
 
 #: Margins in bytes at which windows are counted.
 MARGINS = (2, 3, 4, 5)
@@ -34,7 +35,7 @@ class Model:
 
     @property
     def key(self) -> int:
-        return hash((self.toxic, self.ordinary, self.shared))
+        return xxhash.xxh64_intdigest(b"\0".join((self.toxic, self.ordinary, self.shared)))
 
 
 def _parameters() -> zstandard.ZstdCompressionParameters:
@@ -112,17 +113,19 @@ def _pack(found: list[bytes], size: int) -> bytes:
     return b" " + b" ".join(reversed(out)) + b" "
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, rows: int, chars: int) -> DataFrame:
-    """(text, label) of at most rows labelled rows outside the held-out fold, drawn by a hash of the id; of each at most chars characters."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
+    """(text, label) of at most rows labelled rows outside the held-out fold, drawn by a hash of the id; whole texts."""
     told = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("label")).filter(F.crc32(F.col("__id").cast("string")) % 5 != 0)
     near = F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * rows / max(1, told.count()) + 1e-6))  # so that partitions send few rows to the driver
     drawn = told.filter(near).orderBy(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)), "__id").limit(rows)
-    return docs.select(F.col(id_col).alias("__id"), F.substring(F.col(text_col), 1, chars).alias("text")).join(F.broadcast(drawn), "__id").select("text", "label")
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "__id").select("text", "label")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = 12_000, chars: int = 20_000, dict_bytes: int = 4096, evidence: float = 16.0, ratio: float = 4.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = 12_000, dict_bytes: int = 4096, evidence: float = 16.0, ratio: float = 4.0) -> Model:
     """Train the dictionaries and the score on at most rows labelled documents.
 
+    Dictionaries that zstandard trains by itself don't tell these kinds apart, since it seeks what is frequent and not
+    what is telling (see the README), so their content is chosen by evidence.
     Words are counted by the different pairs of neighbours they stand between, so that copies of a text
     count once. The toxic dictionary gets the words whose share among toxic texts is ratio times
     their share overall with a log-likelihood ratio of evidence or more; the ordinary one gets as many bytes of
@@ -130,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     logistic regression on how many windows the toxic dictionary encodes shorter, and by how much.
     Without labelled rows of both kinds the model scores all texts 0.
     """
-    sample = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=rows, chars=chars).coalesce(16).persist()
+    sample = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=rows).coalesce(16).persist()
     try:
         return _train(sample, dict_bytes, evidence, ratio)
     finally:
@@ -146,12 +149,15 @@ def _train(sample: DataFrame, dict_bytes: int, evidence: float, ratio: float) ->
         for batch in batches:
             for text, label in zip(*(batch.column(k) for k in (0, 1)), strict=True):
                 found = words(text.as_py())
-                near = [hash((a, b)) for a, b in zip([b"", *found], [*found[1:], b""], strict=False)] if found else []
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(near, pa.int64()), pa.array([label.as_py()] * len(found), pa.int32())], names=["word", "near", "label"])
+                h = hash_words(found)
+                near = combined(np.concatenate([[np.uint64(0)], h, [np.uint64(0)]]), (0, 2), 0).view(np.int64) if found else []
+                for a in range(0, len(found), 1 << 16):  # a long text in several batches
+                    part = found[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(near[a : a + len(part)], pa.int64()), pa.array([label.as_py()] * len(part), pa.int32())], names=["word", "near", "label"])
 
     seen = sample.select("text", F.col("label").cast("int")).mapInArrow(cut, "word binary, near long, label int").distinct().groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o")).persist()
     t_all, o_all = (int(x or 0) for x in seen.agg(F.sum("t"), F.sum("o")).first())
-    common = [bytes(r["word"]) for r in seen.filter("o > 0").orderBy(F.desc("o"), "word").limit(4000).collect()]
+    common = [bytes(r["word"]) for r in seen.filter(F.col("o") >= _reaching(seen, 4000)).orderBy(F.desc("o"), "word").limit(4000).collect()]
     share = t_all / max(1, t_all + o_all)
     q = F.col("t") / (F.col("t") + F.col("o"))
     likelihood = F.col("t") * F.log(q / share) + F.when(F.col("o") > 0, F.col("o") * F.log((1 - q) / (1 - share))).otherwise(0.0)
@@ -168,6 +174,17 @@ def _train(sample: DataFrame, dict_bytes: int, evidence: float, ratio: float) ->
     return model
 
 
+def _reaching(seen: DataFrame, most: int) -> int:
+    """A power of two that at least most of seen.o reach, or 1: so partitions send hardly more rows than are kept."""
+    sizes = {r["bits"]: r["n"] for r in seen.filter("o > 0").groupBy(F.floor(F.log2("o")).cast("int").alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    above = 0
+    for bits in sorted(sizes, reverse=True):
+        above += sizes[bits]
+        if above >= most:
+            return 1 << bits
+    return 1
+
+
 def _calibrate(model: Model, counts: np.ndarray, label: np.ndarray, penalty: float = 1.0, rounds: int = 60) -> None:
     """Ridge logistic regression by damped Newton steps."""
     x = features(counts)
