@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_dir, spool
@@ -36,22 +36,24 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}') if page_id is not None else uuid.uuid4()}>"
+def record_id(kind: str, page_id: int | None, digest: str) -> str:
+    """Pages of one id but other payloads have other record ids."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}:{page_id}:{digest}')}>"
 
 
 def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
     """A response record, or a revisit record whose block ends at the HTTP headers."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
+    kind, digest = "revisit" if revisit else "response", sha1_base32(payload)
     head = {
-        "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": record_id(page_id),
+        "WARC-Type": kind,
+        "WARC-Record-ID": record_id(kind, page_id, digest),
         "WARC-Date": date,
         "WARC-Target-URI": None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url),
-        "WARC-Payload-Digest": f"sha1:{sha1_base32(payload)}",
+        "WARC-Payload-Digest": f"sha1:{digest}",
         "WARC-Page-ID": page_id,
-        "WARC-Refers-To": record_id(refers_to) if revisit else None,
+        "WARC-Refers-To": record_id("response", refers_to, digest) if revisit else None,
         "WARC-Refers-To-Page-ID": refers_to if revisit else None,
         "WARC-Profile": REVISIT_PROFILE if revisit else None,
         "Content-Type": "application/http; msgtype=response",
@@ -187,7 +189,7 @@ def read_archives(manifest: DataFrame, base_dir: str, *, payloads: bool = False)
     Per record: record_id, page_id, url, record_type, refers_to, payload_bytes and
     payload_digest, both of the full payload, and with payloads=True the payload (null for a revisit).
     A record that isn't valid, a frame that is cut off, or a wrong number of records stops
-    the job with BadRecord and the archive's path. A task holds one record at a time.
+    the job with BadRecord and the archive's path. A task reads one archive or two, one record at a time.
     """
     schema = PAYLOADS if payloads else RECORDS
 
@@ -215,12 +217,19 @@ def read_archives(manifest: DataFrame, base_dir: str, *, payloads: bool = False)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     columns = "record_id string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payloads
-    return manifest.select("path", "records").repartition(F.col("path")).mapInArrow(read, columns)
+    archives = manifest.select("path", "records")
+    return archives.repartition(max(1, archives.count())).mapInArrow(read, columns)  # a number that is named isn't lowered by the size of the manifest
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark takes it to have, for stores that tasks open by themselves. An unknown scheme raises."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = re.sub("^file:/+", "file:///", at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(at).toString())
+    FileSystem.from_uri(uri)
+    return uri
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write pages to archives in the shared folder and read them back."""
-    out_dir = fresh_dir(pages.sparkSession, "warc")
-    if "://" not in out_dir:
-        out_dir = "file://" + out_dir
+    out_dir = qualified(pages.sparkSession, fresh_dir(pages.sparkSession, "warc"))
     return read_archives(write_archives(pages, out_dir, **options), out_dir)
