@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
+#: Digests of hits that are broadcast at most, 64 bytes each.
+BROADCAST = 200_000
 
 
 def normalised(text: Column) -> Column:
@@ -72,9 +74,10 @@ def exact_dedup(spark: SparkSession, path: str, *, state_dir: str | None = None,
 
     Texts are equal when their normalised bytes are. The row with the smallest id stays
     (null ids come last); of rows with one id and text, exactly one stays, the first by locator.
-    Every group that the state reports is checked on its full bytes: texts are grouped by
-    digest and content, and where one digest has several contents its rows are grouped by
-    content instead. An empty table gives no rows. Other columns are neither read nor returned.
+    Every hit that the state reports (a digest of two rows or more) is checked on its full bytes: the texts of these
+    rows alone are grouped by digest and content, and where one digest has several contents its rows are grouped by
+    content instead. The digests of the hits are broadcast up to BROADCAST of them, else joined. An empty
+    table gives no rows. Other columns are neither read nor returned.
     """
     state = spool(update_state(spark, path, state_dir or fresh_dir(spark, "exact"), id_col=id_col, text_col=text_col, digest=digest), "exact-state")
     rows = _rows(spark.read.parquet(path), id_col, text_col, digest)
@@ -83,11 +86,13 @@ def exact_dedup(spark: SparkSession, path: str, *, state_dir: str | None = None,
         .join(state, "digest")
         .select("id", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("first.locator")).alias("kept"), "digest", "locator")
     )
-    contents = rows.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"))
+    hits = state.filter("n > 1").select("digest")
+    held = rows.join(F.broadcast(hits) if hits.count() <= BROADCAST else hits, "digest", "left_semi")
+    contents = held.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"))
     mixed = spool(contents.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("digest"), "exact-mixed")
     if is_empty(mixed):
         return by_state
-    again = rows.join(mixed, "digest", "left_semi")
+    again = held.join(mixed, "digest", "left_semi")
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "locator")
     groups = again.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"))
     split = again.join(groups, ["digest", "body"]).select("id", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("first.locator")).alias("kept"), "digest", "locator")
