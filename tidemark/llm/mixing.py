@@ -44,16 +44,16 @@ def source_targets(sources: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1),
     )
 
 
-def shuffle_key(id_col: str, seed: int) -> Column:
-    """60 bits that depend on the id and the seed alone."""
-    named = F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))
+def shuffle_key(id_col: str, text_col: str, seed: int) -> Column:
+    """60 bits that depend on seed, id and text alone, so that rows without an id are spread too."""
+    named = F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17) -> DataFrame:
     """Per row of docs: id, content (64-bit digest of its text), size, source, source_size, target, copies, taken.
 
-    Each source's documents stand in an order drawn from seed and id, up to most times over. A copy's
+    Each source's documents stand in an order drawn from seed, id and text, up to most times over. A copy's
     virtual start and finish are its source's words before and after it, divided by the
     source's target; it is eligible if it starts before 1, when the source's share is used
     up. Eligible copies of all sources are sorted by finish and taken while their words
@@ -66,7 +66,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     source nor the global sort comes into one task. Only ids and sizes are shuffled.
     """
     size = words(F.col(text_col))
-    rows = spool(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), shuffle_key(id_col, seed).alias("key"), F.xxhash64(text_col).alias("content")), "mix-sizes")
+    rows = spool(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), shuffle_key(id_col, text_col, seed).alias("key"), F.xxhash64(text_col).alias("content")), "mix-sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     named = spool(source_targets(totals.select("source", "source_size"), weights=weights, most=most).join(totals.select(F.col("source").alias("named"), "rows"), F.col("source").eqNullSafe(F.col("named"))).drop("named"), "mix-sources")
     n_rows, budget = named.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).first()

@@ -5,7 +5,7 @@ BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 OP1 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('17:' || doc_id::VARCHAR), 1, 15))::BIGINT AS key
+         ('0x' || substr(md5(concat_ws(':', '17', doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 15))::BIGINT AS key
   FROM documents),
 t AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS turn FROM t),
