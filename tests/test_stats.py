@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import tails
+from tidemark.functions.quantiles import quantiles
 from tidemark.operators import stats
+from tidemark.operators.compare import resampled
 
 
 def series(spark, values, keys=(1,)):
@@ -62,9 +64,24 @@ def test_welch_and_false_discovery(spark):
 
 def test_global_rank_is_the_rank(spark):
     df = spark.range(3000).select(F.col("id"), (F.pmod(F.xxhash64("id"), F.lit(500)) / 10).alias("p"))
-    got = sorted((r["rank"], r.p) for r in stats.global_rank(df, "p", ["id"], bins=17).collect())
-    assert [g[0] for g in got] == list(range(1, 3001))
-    assert [g[1] for g in got] == sorted(g[1] for g in got)
+    p = sorted(r.p for r in df.collect())
+    got = {r.p: r["rank"] for r in stats.global_rank(df, "p", bins=17).collect()}
+    assert got == {v: k for k, v in enumerate(p, 1)}
+
+
+def test_quantiles_by_ranges_are_exact(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 10 != 0, F.when(F.col("id") % 3 == 1, F.lit(7.0)).otherwise(F.pmod(F.xxhash64("id"), F.lit(900)) / 7.0)).alias("v"))
+    at = (0.0, 0.05, 0.25, 0.5, 0.95, 1.0)
+    got = {r.g: r for r in quantiles(df, ["g"], "v", at).collect()}
+    for g in range(3):
+        v = np.array([r.v for r in df.filter(F.col("g") == g).collect() if r.v is not None])
+        assert got[g].n == len(v) and np.allclose(got[g].q, np.quantile(v, at), rtol=1e-12)
+
+
+def test_bootstrap_weights_have_mean_and_variance_one():
+    w = resampled(np.arange(0, 3600 * 2000, 3600), 0, 500, 3)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:-1].ravel(), w[1:].ravel())[0, 1]) < 0.01
+    assert (resampled(np.arange(0, 3600 * 2000, 3600), 100, 120, 3) == w[:, 100:120]).all()
 
 
 def test_windows(spark):

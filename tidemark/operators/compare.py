@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.guards import ratio, root, weighted_mean
+from ..functions.quantiles import quantiles
 from .pairing import clip
 
 #: What distributions of these metrics are cut at from below.
@@ -27,7 +29,8 @@ def parallel(field: DataFrame, keys: Sequence[str], scores: Sequence[str], *, we
     """(keys, name, value) of field(keys, name, value, w): scores by weighted mean, metrics by the median of the middle 90 %."""
     is_score = F.col("name").isin(*scores)
     means = field.filter(is_score).groupBy(*keys, "name").agg(weighted_mean("value", weight).alias("value"))
-    medians = clip(field.filter(~is_score), [*keys, "name"]).groupBy(*keys, "name").agg(F.median("value").alias("value"))
+    by = [*keys, "name"]
+    medians = quantiles(clip(field.filter(~is_score), by), by, "value", (0.5,)).select(*by, F.col("q")[0].alias("value"))
     return means.unionByName(medians).filter("value IS NOT NULL")
 
 
@@ -59,8 +62,14 @@ def density(field: DataFrame, keys: Sequence[str], *, points: int = 100, value:
 
 
 def whiskers(field: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    q = F.percentile(value, F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0))))
-    return field.filter(F.col(value).isNotNull()).groupBy(*keys).agg(q.alias("q"), F.count(F.lit(1)).alias("n")).select(*keys, "n", *(F.col("q")[k].alias(n) for k, n in enumerate(("low", "q25", "median", "q75", "high"))))
+    got = quantiles(field, keys, value, (0.0, 0.25, 0.5, 0.75, 1.0))
+    return got.select(*keys, "n", *(F.col("q")[k].alias(n) for k, n in enumerate(("low", "q25", "median", "q75", "high"))))
+
+
+def basic_pairs(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, and mean, median, max, min, sum of both sides as ref_<name> and sim_<name>) of paired rows: the basic comparison at stations."""
+    named = {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min, "sum": F.sum}
+    return pairs.dropna(subset=["s", "o"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{side}_{name}") for side, c in (("ref", "o"), ("sim", "s")) for name, f in named.items()))
 
 
 def ensemble(field: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -90,11 +99,32 @@ def between_sims(series: DataFrame, on: Sequence[str], keys: Sequence[str], valu
     return both.groupBy(*keys, "sim_a", "sim_b").agg(ratio(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"))
 
 
+#: Weights that a task holds at once.
+BLOCK = 1 << 22
+
+
+def _poisson_table() -> np.ndarray:
+    """The value of the Poisson distribution of mean 1 for each of 65536 equally likely draws."""
+    below = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(20)])
+    return np.searchsorted(below, (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float64)
+
+
+def resampled(t: np.ndarray, first: int, end: int, seed: int) -> np.ndarray:
+    """The weight of each time in the replicates first ... end - 1."""
+    x = t.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(first, end, dtype=np.uint64) + np.uint64(seed << 32))[None, :] * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    return _poisson_table()[x >> np.uint64(48)]
+
+
 def smpi_bootstrap(pairs: DataFrame, field: Sequence[str], cell: str, *, replicates: int = 1000, seed: int = 0, weight: str = "w", time: str = "time", levels: Sequence[float] = (0.05, 0.95)) -> DataFrame:
     """(field, value, low, high): the weighted mean over cells of (mean s - mean o)^2 / var1(o), and its bootstrap over time.
 
-    All cells are resampled alike: a replicate's weight of a month is drawn from the seed and the month alone, so each task
-    makes its own. Blocks of cells give partial sums per replicate; only those are shuffled.
+    Instead of drawing n times with replacement, each time gets a weight from the Poisson distribution of mean 1, which comes to the same for many times.
+    All cells are resampled alike: a replicate's weight of a time is a hash of seed, time and replicate, so tasks need
+    no common table and hold one block of replicates of one cell. Cells give partial sums per replicate; only those are shuffled.
     """
     cells = pairs.groupBy(*field, cell, weight).agg(F.avg("o").alias("om"), F.var_samp("o").alias("v"), F.avg("s").alias("sm"), F.sort_array(F.collect_list(F.struct(F.col(time).cast("timestamp").cast("long").alias("t"), (F.col("s") - F.col("o")).alias("d")))).alias("series")).filter("v > 0")
     point = F.pow(F.col("sm") - F.col("om"), 2) / F.col("v")
@@ -102,17 +132,14 @@ def smpi_bootstrap(pairs: DataFrame, field: Sequence[str], cell: str, *, replica
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*field).schema.fields)
 
     def run(batches):
-        drawn: dict[int, np.ndarray] = {}
         for batch in batches:
             rows = []
             for *key, w, v, series in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
-                for p in series:
-                    if p["t"] not in drawn:
-                        drawn[p["t"]] = np.random.default_rng([seed, p["t"] & (1 << 63) - 1]).poisson(1.0, replicates).astype(float)
-                times = np.array([drawn[p["t"]] for p in series])
-                d = np.array([p["d"] for p in series])
-                n = times.sum(0)
-                mean = np.divide(d @ times, n, out=np.zeros(replicates), where=n > 0)
+                t, d = np.array([p["t"] for p in series], np.int64), np.array([p["d"] for p in series])
+                size = max(1, BLOCK // len(t))
+                drawn = [(times.sum(0), d @ times) for b in range(0, replicates, size) for times in (resampled(t, b, min(replicates, b + size), seed),)]
+                n, total = (np.concatenate(x) for x in zip(*drawn, strict=True))
+                mean = np.divide(total, n, out=np.zeros(replicates), where=n > 0)
                 rows.append((*key, np.where(n > 0, w * mean**2 / v, 0.0), np.where(n > 0, w, 0.0)))
             sums: dict[tuple, list] = {}
             for *key, num, den in rows:
@@ -131,13 +158,15 @@ def smpi_bootstrap(pairs: DataFrame, field: Sequence[str], cell: str, *, replica
 
 def score_choices(table: DataFrame, items: Sequence[str], sims: Sequence[str], *, limit: int = 100) -> DataFrame:
     """(choice, sim, one column per item) of table(item, ref, sim, value): every choice of one reference per item, up to limit choices."""
-    choices = None
-    for item in items:
-        one = table.filter(F.col("item") == item).select(F.col("ref").alias(f"ref_{item}")).distinct()
-        choices = one if choices is None else choices.crossJoin(one)
     names = [f"ref_{i}" for i in items]
-    choices = choices.orderBy(*names).limit(limit).withColumn("choice", F.concat_ws("|", *names))
-    out = choices.crossJoin(table.filter(F.col("sim").isin(*sims)).select("sim").distinct())
+    # the n-th choice in order has the digits of n as places in the items' lists of references; nothing is multiplied out
+    lists = table.groupBy().agg(*(F.array_sort(F.collect_set(F.when(F.col("item") == item, F.col("ref")))).alias(f"refs_{item}") for item in items))
+    choices = table.sparkSession.range(limit).crossJoin(F.broadcast(lists)).withColumn("rest", F.col("id"))
+    for item in reversed(items):
+        size = F.size(f"refs_{item}")
+        choices = choices.filter(size > 0).withColumns({f"ref_{item}": F.get(f"refs_{item}", F.pmod("rest", size).cast("int")), "rest": F.floor(F.col("rest") / size)})
+    choices = choices.filter("rest = 0").select(*names, F.concat_ws("|", *names).alias("choice"))
+    out = choices.crossJoin(F.broadcast(table.filter(F.col("sim").isin(*sims)).select("sim").distinct()))
     for item in items:
         one = table.filter(F.col("item") == item).select(F.col("ref").alias(f"ref_{item}"), "sim", F.col("value").alias(item))
         out = out.join(one, [f"ref_{item}", "sim"], "left")

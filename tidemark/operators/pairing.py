@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.guards import finite
+from ..functions.quantiles import quantiles
 
 
 def pair(sims: DataFrame, refs: DataFrame, on: Sequence[str] = ("variable", "cell", "time"), *, sim: str = "source", ref: str = "source", value: str = "value") -> DataFrame:
@@ -55,7 +56,7 @@ def unified_mask(sims: DataFrame, refs: DataFrame, on: Sequence[str] = ("variabl
 def clip(df: DataFrame, keys: Sequence[str], value: str = "value", low: float = 0.05, high: float = 0.95, least: int = 0) -> DataFrame:
     """Rows whose value lies between two percentiles of their group; groups of least rows or fewer stay whole."""
     kept = df.filter(F.col(value).isNotNull())
-    bounds = kept.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("__q"), F.count(F.lit(1)).alias("__n"))
+    bounds = quantiles(kept, keys, value, (low, high)).withColumnsRenamed({"q": "__q", "n": "__n"})
     return kept.join(bounds, list(keys)).filter((F.col("__n") <= least) | F.col(value).between(F.col("__q")[0], F.col("__q")[1])).drop("__q", "__n")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
+
 
 def column_profile(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """n, mean, sd (ddof 1), min, max."""
@@ -15,7 +17,9 @@ def column_profile(df: DataFrame, keys: Sequence[str], value: str = "value") ->
 
 def field_profile(df: DataFrame, keys: Sequence[str], cells: int, value: str = "value") -> DataFrame:
     """mean, sd (ddof 0), min, max, median, and the valid part of the grid's cells in percent."""
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"), F.median(value).alias("median"), (100 * F.count(value) / cells).alias("coverage"))
+    middle = quantiles(df, keys, value, (0.5,)).select(*keys, F.col("q")[0].alias("median"))
+    got = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"), (100 * F.count(value) / cells).alias("coverage"))
+    return got.join(middle, list(keys), "left").select(*keys, "mean", "sd", "min", "max", "median", "coverage")
 
 
 def best_and_worst(df: DataFrame, key: str, value: str, k: int = 3) -> DataFrame:

@@ -92,10 +92,14 @@ def transformed(pairs: DataFrame, keys: Sequence[str], fun: Callable[[Column], C
 
 
 def moments(pairs: DataFrame, keys: Sequence[str], *, with_mean: bool = False) -> DataFrame:
-    """The moments of each group; with_mean also the sums about the reference's mean, from the same exchange."""
+    """The moments of each group; with_mean also the sums about the reference's mean.
+
+    The means are aggregated first and joined back, one row per group, so only partial sums are
+    shuffled as long as the means fit a broadcast, and rows are never sorted by group.
+    """
     if not with_mean:
         return pairs.groupBy(*keys).agg(*(F.expr(c).alias(n) for n, c in MOMENTS.items()))
-    about = pairs.withColumn("__om", F.avg("o").over(W.partitionBy(*keys)))
+    about = pairs.join(pairs.groupBy(*keys).agg(F.avg("o").alias("__om")), list(keys))
     return about.groupBy(*keys).agg(*(F.expr(c).alias(n) for n, c in (MOMENTS | DEVIATIONS).items()))
 
 

@@ -136,24 +136,26 @@ def welch(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> Dat
     return got.select(*keys, "n", ratio(F.col("m0") - F.col("m1"), F.sqrt(a + b)).alias("t"), freedom.alias("df")).withColumn("p", tails.p_t(F.col("t"), F.col("df")))
 
 
-def global_rank(df: DataFrame, by: str, ties: Sequence[str] = (), bins: int = 200) -> DataFrame:
-    """df with rank, 1 ... n in the order of by (and ties), computed by ranges and never in one task.
+def global_rank(df: DataFrame, by: str, bins: int = 200) -> DataFrame:
+    """(by, rank): each value with the number of rows that have it or a smaller one, computed by ranges and never in one task.
 
-    The range bounds are quantiles; what lies before a range is added up over the ranges' counts.
+    Equal values are one row from the first aggregate on. The range bounds are quantiles of them; what lies before
+    a range is added up over the ranges' counts.
     """
-    cuts = df.agg(F.percentile_approx(by, F.array(*(F.lit(k / bins) for k in range(1, bins))), 10_000)).first()[0] or []
+    values = df.groupBy(by).agg(F.count(F.lit(1)).alias("__c"))
+    cuts = values.agg(F.percentile_approx(by, F.array(*(F.lit(k / bins) for k in range(1, bins))), 10_000)).first()[0] or []
     bounds = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    ranged = df.withColumn("__r", F.size(F.filter(bounds, lambda c: c < F.col(by))))
-    before = ranged.groupBy("__r").agg(F.count(F.lit(1)).alias("__c")).select("__r", (F.sum("__c").over(W.orderBy("__r")) - F.col("__c")).alias("__before"))
-    own = F.row_number().over(W.partitionBy("__r").orderBy(by, *ties))
-    return ranged.withColumn("__own", own).join(F.broadcast(before), "__r").withColumn("rank", F.col("__own") + F.col("__before")).drop("__r", "__own", "__before")
+    ranged = values.withColumn("__r", F.size(F.filter(bounds, lambda c: c < F.col(by))))
+    before = ranged.groupBy("__r").agg(F.sum("__c").alias("__s")).select("__r", (F.sum("__s").over(W.orderBy("__r")) - F.col("__s")).alias("__before"))
+    own = F.sum("__c").over(W.partitionBy("__r").orderBy(by))
+    return ranged.withColumn("__own", own).join(F.broadcast(before), "__r").select(by, (F.col("__own") + F.col("__before")).alias("rank"))
 
 
 def false_discovery(tests: DataFrame, keys: Sequence[str], p: str = "p", alpha: float = 0.05) -> DataFrame:
     """Benjamini-Hochberg over all rows together: threshold, significant and, per keys, the share of significant tests."""
     valid = tests.filter(F.col(p).isNotNull())
     n = valid.count()
-    passed = global_rank(valid, p, keys).filter(F.col(p) <= F.col("rank") * (alpha / max(1, n)))
+    passed = global_rank(valid, p).filter(F.col(p) <= F.col("rank") * (alpha / max(1, n)))
     threshold = passed.agg(F.coalesce(F.max(p), F.lit(0.0)).alias("threshold"))
     marked = tests.crossJoin(F.broadcast(threshold)).withColumn("significant", F.coalesce((F.col(p) <= F.col("threshold")) & (F.col("threshold") > 0), F.lit(False)))
     return marked.withColumn("proportion", F.avg(F.col("significant").cast("int")).over(W.partitionBy(*keys)))

@@ -15,6 +15,10 @@ ACCUMULATED = ("precipitation", "runoff", "snowfall", "subsurface_runoff", "surf
 ACCUMULATED_UNITS = ("mm", "kg m-2", "kg/m2", "kg m**-2")
 #: Ranks of resolutions, the finest first.
 RESOLUTIONS = {"hour": 0, "3hour": 0, "day": 1, "week": 2, "month": 3, "year": 4}
+#: The hours of a step that each resolution allows, exclusive of both ends.
+SPANS = (("hour", 5 / 6, 7 / 6), ("3hour", 2.5, 3.5), ("6hour", 5, 7), ("day", 22, 26), ("8day", 168, 216), ("month", 672 - 1e-9, 768 + 1e-9), ("year", 8040, 9480))
+#: Parts of file names by resolution, the first that is found counts.
+NAMED = (("hour", ("hourly", "hour", "hr")), ("month", ("monthly", "month", "mon")), ("day", ("daily", "day")))
 #: Names that need more than one point in time, and those that a climatology can't have.
 NOT_CLIMATOLOGY = ("nPhaseScore", "nIavScore", "APFB")
 TWO_POINTS = ("correlation", "correlation_R2", "ubcorrelation", "ubcorrelation_R2", "NSE", "KGE", "KGESS", "mKGE", "nKGE", "pc_ampli", "pc_max", "pc_min", "CRMSD", "rv", "cp", "br2")
@@ -111,6 +115,14 @@ def adds_up(variable: str, unit: str) -> bool:
     return variable.lower() in ACCUMULATED and unit.strip().lower() in ACCUMULATED_UNITS
 
 
+def resample_by_kind(df: DataFrame, keys: Sequence[str], resolution: str, *, value: str = "value", time: str = "time") -> DataFrame:
+    """Per period the sum of variables that add up, by name and unit (adds_up), and the mean of all others. df has variable and unit."""
+    sums = F.lower("variable").isin(*ACCUMULATED) & F.lower(F.trim("unit")).isin(*ACCUMULATED_UNITS)
+    by = [*keys, "variable", "unit"]
+    got = df.groupBy(*by, _instant(F.date_trunc(resolution, time)).alias(time)).agg(F.sum(value).alias("__s"), F.avg(value).alias("__m"))
+    return got.select(*by, time, F.when(sums, F.col("__s")).otherwise(F.col("__m")).alias(value))
+
+
 def infer_step(df: DataFrame, keys: Sequence[str], time: str = "time") -> DataFrame:
     """(keys, days, resolution): the median step of each group's axis."""
     times = df.select(*keys, F.col(time).cast("timestamp").cast("double").alias("__t")).distinct()
@@ -133,6 +145,26 @@ def resolution_by_count(df: DataFrame, file: str, time: str = "time") -> DataFra
     return df.groupBy(file).agg(F.countDistinct(time).alias("n")).withColumn("resolution", name)
 
 
+def resolution_by_span(df: DataFrame, keys: Sequence[str], time: str = "time") -> DataFrame:
+    """(keys, n, resolution) from the span over the number of steps, within a tolerance of each resolution; NULL for one step or none that fits."""
+    seconds = F.col(time).cast("timestamp").cast("double")
+    got = df.groupBy(*keys).agg(F.countDistinct(time).alias("n"), (F.max(seconds) - F.min(seconds)).alias("__span"))
+    hours = F.col("__span") / (F.col("n") - 1) / 3600
+    name = F.when(F.col("n") <= 1, None)
+    for resolution, low, high in SPANS:
+        name = name.when((hours > low) & (hours < high), resolution)
+    return got.select(*keys, "n", name.alias("resolution"))
+
+
+def resolution_by_name(path: Column) -> Column:
+    """The resolution that a part of a file name stands for: hourly before monthly before daily; NULL if none does."""
+    stem = F.lower(F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", ""))
+    name = F.lit(None).cast("string")
+    for resolution, words in reversed(NAMED):
+        name = F.when(stem.rlike(f"(^|[^a-z0-9])({'|'.join(words)})([^a-z0-9]|$)"), resolution).otherwise(name)
+    return name
+
+
 def use_years(project: tuple[Column, Column], sim: tuple[Column, Column], ref: tuple[Column, Column], strict: bool = False) -> tuple[Column, Column]:
     """The years that are compared: what all cover, or with strict those of the project."""
     return project if strict else (F.greatest(project[0], sim[0], ref[0]), F.least(project[1], sim[1], ref[1]))
@@ -176,6 +208,21 @@ def climatology_findings(names: Sequence[str], points: int) -> list[str]:
     return bad + [f"{n} needs two points in time" for n in names if points < 2 and n in TWO_POINTS]
 
 
+def climatology_gate(refs: DataFrame, sims: DataFrame, names: Sequence[str], time: str = "time") -> DataFrame:
+    """(ref, sim, points, name, finding) per pair of refs(source, time) and sims(source, time) and name: why they can't be compared as climatologies; NULL if they can.
+
+    The two axes must have the same dates; names that need a cycle or several years never fit, others need two points.
+    """
+    axis_of = lambda df, name: df.select(F.col("source").alias(name), F.to_date(time).alias("d")).distinct().groupBy(name).agg(F.count(F.lit(1)).alias(f"n_{name}"), F.sort_array(F.collect_list("d")).alias(f"axis_{name}"))
+    pairs = axis_of(refs, "ref").crossJoin(F.broadcast(axis_of(sims, "sim")))  # sources are few, and an axis of a climatology is short
+    each = pairs.withColumn("name", F.explode(F.array(*map(F.lit, names))))
+    said = (
+        F.when(F.col("n_ref") != F.col("n_sim"), "axes of other lengths").when(F.col("axis_ref") != F.col("axis_sim"), "other dates")
+        .when(F.col("name").isin(*NOT_CLIMATOLOGY), "not defined for a climatology").when(F.col("name").isin(*TWO_POINTS) & (F.col("n_ref") < 2), "needs two points in time")
+    )
+    return each.select("ref", "sim", F.col("n_ref").alias("points"), "name", said.alias("finding"))
+
+
 def storage_change(df: DataFrame, keys: Sequence[str], variable: str = "Terrestrial_Water_Storage_Change", value: str = "value", time: str = "time") -> DataFrame:
     """For that variable the change since the step before; others as they are."""
     before = F.lag(value).over(W.partitionBy(*keys).orderBy(time))

@@ -65,11 +65,11 @@ def j3_station_pairing(spark, sf_dir):
     return got.groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("s") - F.col("o")), 5).alias("d"))
 
 
-@query("""WITH l AS (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1), r AS (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY 1)
+@query("""WITH l AS (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'purchase' AND value > 110 GROUP BY 1), r AS (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'signup' AND value > 110 GROUP BY 1)
 SELECT coalesce(l.k, r.k) AS user_id, CASE WHEN l.k IS NULL THEN 'missing left' WHEN r.k IS NULL THEN 'missing right' ELSE 'repeated' END AS finding FROM l FULL JOIN r ON l.k = r.k WHERE l.k IS NULL OR r.k IS NULL OR l.n > 1 OR r.n > 1""")
 def j7_key_findings(spark, sf_dir):
     e = domain.table(spark, sf_dir, "events")
-    return pairing.key_findings(e.filter("event_type = 'purchase'"), e.filter("event_type = 'signup'"), "user_id")
+    return pairing.key_findings(e.filter("event_type = 'purchase' AND value > 110"), e.filter("event_type = 'signup' AND value > 110"), "user_id")
 
 
 @query("""SELECT s_suppkey, round(n_line, 2) AS n_line FROM supplier LEFT JOIN (SELECT l_suppkey, sum(l_quantity) AS n_line FROM lineitem WHERE l_discount > 0.09 GROUP BY 1) ON s_suppkey = l_suppkey""")
@@ -139,6 +139,24 @@ def c4_portrait_seasonal(spark, sf_dir):
     return rounded(compare.parallel(seasonal, ["ref", "sim", "season"], ["nRMSEScore"]), "value")
 
 
+SQL_BY_SEASON = SQL_GRID[SQL_GRID.index("moments AS") :].replace("moments AS (SELECT ref, sim, cell,", f"seasons AS (SELECT ref, sim, cell, {SQL_SEASON} AS season,").replace("GROUP BY 1, 2, 3", "GROUP BY 1, 2, 3, 4")
+SQL_ALL_SEASONAL = f"""{SQL_GRID}, {SQL_BY_SEASON}, f AS (""" + " UNION ALL ".join(f"SELECT ref, sim, season, cell, '{n}' AS name, {sql} AS value FROM seasons" for n, sql in SQL_METRICS.items()) + f"""),
+q AS (SELECT ref, sim, season, name, quantile_cont(value, 0.05::DOUBLE) AS a, quantile_cont(value, 0.95::DOUBLE) AS b FROM f GROUP BY 1, 2, 3, 4)
+SELECT ref, sim, season, name, round(median(value), 4) AS value FROM f JOIN q USING (ref, sim, season, name) WHERE name NOT LIKE 'n%' AND value BETWEEN a AND b GROUP BY 1, 2, 3, 4
+UNION ALL SELECT ref, sim, season, name, round(sum({SQL_W} * value) / sum({SQL_W}) FILTER (value IS NOT NULL), 4) FROM f WHERE name LIKE 'n%' GROUP BY 1, 2, 3, 4"""
+
+
+@query(f"WITH {SQL_ALL_SEASONAL}")
+def c4_portrait_all(spark, sf_dir):
+    """Every metric and score that moments give, by season."""
+    from ..operators import timeops
+
+    pairs = domain.grid_pairs(spark, sf_dir).withColumn("season", timeops.season("time"))
+    keys, names = [*KEYS, "season"], list(SQL_METRICS)
+    seasonal = weighted(skill.unpivot(skill.metrics(pairs, keys, names), keys, names))
+    return rounded(compare.parallel(seasonal, ["ref", "sim", "season"], SCORES), "value")
+
+
 SQL_TAYLOR = f"""{SQL_GRID}, e AS (SELECT *, {SQL_W} AS w, sqrt(greatest(0, s_sd * s_sd + o_sd * o_sd - 2 * s_sd * o_sd * r)) AS c FROM moments),
 t AS (SELECT ref, sim, sum(w * s_sd) / sum(w) AS sd_sim, sum(w * o_sd) / sum(w) AS sd_ref, sum(w * r) / (sum(w) FILTER (r IS NOT NULL)) AS r, sum(w * c) / (sum(w) FILTER (c IS NOT NULL)) AS crmsd FROM e GROUP BY 1, 2),
 d AS (SELECT *, sqrt(greatest(0, sd_sim * sd_sim + sd_ref * sd_ref - 2 * sd_sim * sd_ref * greatest(-1, least(1, r)))) AS crmsd_diagram FROM t)"""
@@ -264,6 +282,14 @@ def r4_overall_summary(spark, sf_dir):
     return rounded(report.overall_summary(field(spark, sf_dir, SCORES), ["ref", "sim", "name"]), "mean", digits=6)
 
 
+@query(f"""WITH {SQL_STATIONS}, p AS (SELECT a.station_id, a.value AS s, b.value AS o FROM st a JOIN st b USING (station_id, time) WHERE a.source = 'click' AND b.source = 'view' AND a.value IS NOT NULL AND b.value IS NOT NULL)
+SELECT station_id, count(*) AS n, """ + ", ".join(f"round({f}({c}), 7) AS {side}_{name}" for side, c in (("ref", "o"), ("sim", "s")) for name, f in (("mean", "avg"), ("median", "median"), ("max", "max"), ("min", "min"), ("sum", "sum"))) + " FROM p GROUP BY 1")
+def c17_basic_stations(spark, sf_dir):
+    s = domain.station_series(spark, sf_dir)
+    got = compare.basic_pairs(pairing.pair(s.filter("source = 'click'"), s.filter("source = 'view'"), ["station_id", "time"]), ["station_id"])
+    return rounded(got, *(c for c in got.columns if "_" in c and c != "station_id"), digits=7)
+
+
 # comparisons that are a statistic on each source, under their own names
 def _alias(name, module, of):
     QUERIES[name] = module.QUERIES[of]
@@ -271,7 +297,7 @@ def _alias(name, module, of):
         SQL[name] = module.SQL[of]
 
 
-_alias("c14_mann_kendall", stat_queries, "st10_mann_kendall")
+_alias("c14_mann_kendall", stat_queries, "st10_mann_kendall_p")
 _alias("c15_standard_deviation", stat_queries, "st2_st3_spread")
 _alias("c16_functional_response", stat_queries, "st9_functional_response")
 _alias("c17_basic", stat_queries, "st1_basic")

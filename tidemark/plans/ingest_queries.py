@@ -30,8 +30,12 @@ def query(sql=None):
 
 
 def scratch(spark):
-    """A new path in the folder that all executors see; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new path in the folder that all executors see; a temporary one only where none is set and the session is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -114,9 +118,51 @@ def t10_resample_sum(spark, sf_dir):
 @query(f"""WITH {SQL_GRID}, d AS (SELECT cell, (epoch(time) - epoch(lag(time) OVER (PARTITION BY cell ORDER BY time))) / 86400 AS d FROM wide)
 SELECT cell, median(d)::DOUBLE AS days, CASE WHEN median(d) <= 1.5 THEN 'day' WHEN median(d) <= 45 THEN 'month' ELSE 'year' END AS resolution FROM d GROUP BY 1""")
 def t11_infer_step(spark, sf_dir):
-    steps = timeops.infer_step(domain.grid_wide(spark, sf_dir), ["cell"])
-    assert timeops.upsampled(steps.limit(0), "day").columns == steps.columns
-    return steps
+    return timeops.infer_step(domain.grid_wide(spark, sf_dir), ["cell"])
+
+
+@query(f"""WITH {SQL_STATIONS}, t AS (SELECT DISTINCT station_id, source, time FROM st), d AS (SELECT station_id, source, (epoch(time) - epoch(lag(time) OVER (PARTITION BY station_id, source ORDER BY time))) / 86400 AS d FROM t)
+SELECT station_id, source, median(d)::DOUBLE AS days, CASE WHEN median(d) <= 45 THEN 'month' ELSE 'year' END AS resolution FROM d GROUP BY 1, 2 HAVING median(d) > 1.5""")
+def t11_refused(spark, sf_dir):
+    """The series that are too coarse to be compared by day."""
+    steps = timeops.infer_step(domain.station_series(spark, sf_dir), ["station_id", "source"])
+    return timeops.upsampled(steps, "day")
+
+
+SQL_KINDS = f"""{SQL_GRID}, kinds AS (SELECT v AS variable, u AS unit, cell, time, value FROM series, (VALUES ('Precipitation', ' MM '), ('Total_Runoff', 'mm day-1'), ('price', 'mm')) AS k(v, u) WHERE source = 'R')"""
+
+
+@query(f"WITH {SQL_KINDS} SELECT variable, unit, cell, date_trunc('quarter', time)::TIMESTAMP AS time, round(CASE WHEN variable = 'Precipitation' THEN sum(value) ELSE avg(value) END, 2) AS value FROM kinds GROUP BY 1, 2, 3, 4")
+def t10_resample_by_kind(spark, sf_dir):
+    named = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.lit(u).alias("unit")) for v, u in (("Precipitation", " MM "), ("Total_Runoff", "mm day-1"), ("price", "mm")))))
+    series = domain.grid_series(spark, sf_dir).filter("source = 'R'").drop("variable").withColumn("k", named).select("cell", "time", "value", "k.variable", "k.unit")
+    return rounded(timeops.resample_by_kind(series, ["cell"], "quarter"), "value", digits=2)
+
+
+@query(f"""WITH {SQL_STATIONS}, x AS (SELECT station_id || '-' || source AS series, time FROM st UNION ALL SELECT 'grid-' || s_nationkey, date_trunc('month', l_shipdate) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+g AS (SELECT series, count(DISTINCT time) AS n, (epoch(max(time)) - epoch(min(time))) / 3600 AS span FROM x GROUP BY 1), h AS (SELECT series, n, span / nullif(n - 1, 0) AS h FROM g)
+SELECT series, n, CASE WHEN n <= 1 THEN NULL WHEN h > 22 AND h < 26 THEN 'day' WHEN h > 168 AND h < 216 THEN '8day' WHEN h >= 672 AND h <= 768 THEN 'month' WHEN h > 8040 AND h < 9480 THEN 'year' END AS resolution FROM h""")
+def t15_resolution_by_span(spark, sf_dir):
+    stations = domain.station_series(spark, sf_dir).select(F.concat_ws("-", "station_id", "source").alias("series"), "time")
+    cells = domain.grid_wide(spark, sf_dir).select(F.concat(F.lit("grid-"), "cell").alias("series"), "time")
+    return timeops.resolution_by_span(stations.unionByName(cells), ["series"])
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'hour' WHEN 1 THEN 'month' WHEN 2 THEN 'day' WHEN 3 THEN 'month' END AS resolution FROM part""")
+def t15_resolution_by_name(spark, sf_dir):
+    k = F.col("p_partkey")
+    names = F.array(*map(F.lit, ("/d/gpp_3_HR.nc", "/day/x-Monthly-mean.nc", "/d/daily.nc", "/d/mon_of_day.nc", "/d/holiday_monitor.nc")))
+    return domain.table(spark, sf_dir, "part").select("p_partkey", timeops.resolution_by_name(F.element_at(names, (k % 5 + 1).cast("int"))).alias("resolution"))
+
+
+@query(f"""WITH {SQL_GRID}, r AS (SELECT cell AS ref, month(time) AS m FROM wide WHERE cell < 4 GROUP BY 1, 2), s AS (SELECT cell AS sim, month(time) AS m FROM wide WHERE cell < 4 AND (cell <> 1 OR month(time) < 12) AND (cell <> 2 OR month(time) = 7) GROUP BY 1, 2),
+ra AS (SELECT ref, list(m ORDER BY m) AS a FROM r WHERE ref <> 2 OR m = 7 GROUP BY 1), sa AS (SELECT sim, list(m ORDER BY m) AS b FROM s GROUP BY 1)
+SELECT ref::VARCHAR AS ref, sim::VARCHAR AS sim, len(a) AS points, name, CASE WHEN len(a) <> len(b) THEN 'axes of other lengths' WHEN a <> b THEN 'other dates' WHEN name = 'APFB' THEN 'not defined for a climatology' WHEN name = 'KGE' AND len(a) < 2 THEN 'needs two points in time' END AS finding FROM ra, sa, (VALUES ('bias'), ('KGE'), ('APFB')) AS n(name)""")
+def t19_climatology_gate(spark, sf_dir):
+    """Climatologies of four cells as references and, with months left out, as sims."""
+    w = domain.grid_wide(spark, sf_dir).filter("cell < 4").select(F.col("cell").cast("string").alias("source"), F.make_date(F.lit(2000), F.month("time"), F.lit(15)).alias("time"), F.month("time").alias("m"))
+    refs, sims = w.filter("source <> '2' OR m = 7"), w.filter("(source <> '1' OR m < 12) AND (source <> '2' OR m = 7)")
+    return timeops.climatology_gate(refs, sims, ["bias", "KGE", "APFB"])
 
 
 @query("""SELECT o_custkey, greatest(1996, min(year(o_orderdate))) AS first, least(2000, max(year(o_orderdate))) AS last FROM orders GROUP BY 1""")
@@ -241,9 +287,11 @@ SQL_FINE = """fine AS (SELECT (o_orderkey % 20)::INT AS i_lat, (o_custkey % 40):
 fi AS (SELECT *, -85.5 + i_lat * 9.0 AS lat, -175.5 + i_lon * 9.0 AS lon FROM fine)"""
 
 
-@query("""SELECT i::INT AS i_lat, (-90 + 7.5 + 15.0 * i)::DOUBLE AS lat FROM range(12) AS r(i)""")
+@query(f"""WITH {SQL_FINE} SELECT i::INT AS i_lat, (-90 + 7.5 + 15.0 * i)::DOUBLE AS lat, count(value) AS n, round(sum(value), 2) AS total FROM range(12) AS r(i) LEFT JOIN fi ON floor((lat + 90) / 15) = i GROUP BY 1, 2""")
 def g1_target_axis(spark, sf_dir):
-    return grid.axis(spark, -90, 90, 15.0, "lat")
+    """What of the fine grid lies in each cell of the target axis."""
+    cells = fine(spark, sf_dir).select(F.floor((F.col("lat") + 90) / 15).cast("int").alias("i_lat"), "value")
+    return rounded(grid.axis(spark, -90, 90, 15.0, "lat").join(cells, "i_lat", "left").groupBy("i_lat", "lat").agg(F.count("value").alias("n"), F.sum("value").alias("total")), "total", digits=2)
 
 
 SQL_WEIGHTS = """la AS (SELECT s.i AS i_lat, t.i AS t_lat, sin(radians(least(-81 + 9.0 * s.i, -75 + 15.0 * t.i))) - sin(radians(greatest(-90 + 9.0 * s.i, -90 + 15.0 * t.i))) AS w FROM range(20) s(i), range(12) t(i) WHERE -90 + 9.0 * s.i < -75 + 15.0 * t.i AND -90 + 15.0 * t.i < -81 + 9.0 * s.i),
@@ -343,6 +391,33 @@ def g13_g16_usable_stations(spark, sf_dir):
     return got.select("station_id", F.col("use_syear").cast("long").alias("use_syear"), F.col("use_eyear").cast("long").alias("use_eyear"))
 
 
+@query("""WITH y AS (SELECT o_custkey AS station_id, min(year(o_orderdate)) AS a, max(year(o_orderdate)) AS b, avg(o_totalprice) AS area FROM orders GROUP BY 1)
+SELECT station_id, a AS use_syear, b AS use_eyear FROM y WHERE b - a + 1 >= 3 AND area BETWEEN 100000 AND 260000 AND (station_id % 9) * 0.05 <= 0.2""")
+def g14_gauge_allocation(spark, sf_dir):
+    """Gauges whose upstream area and allocation error are within limits."""
+    o = orders(spark, sf_dir).select(F.col("o_custkey").alias("station_id"), F.col("t").alias("time"), F.col("o_totalprice").alias("value"))
+    areas = o.groupBy("station_id").agg(F.avg("value").alias("area"))
+    listed = grid.valid_years(o).join(areas, "station_id").withColumns({"syears": F.array("syear"), "eyears": F.array("eyear"), "lat": F.lit(0.0), "lon": F.lit(0.0), "error": (F.col("station_id") % 9) * 0.05})
+    return grid.usable_stations(listed, min_years=3, area=(100000, 260000), max_error=0.2).select("station_id", F.col("use_syear").cast("long").alias("use_syear"), F.col("use_eyear").cast("long").alias("use_eyear"))
+
+
+@query("""WITH y AS (SELECT o_custkey AS station_id, min(year(o_orderdate)) AS a, max(year(o_orderdate)) AS b, avg(o_totalprice) AS area FROM orders WHERE month(o_orderdate) <= 2 GROUP BY 1)
+SELECT station_id, a AS use_syear, b AS use_eyear FROM y WHERE b - a + 1 >= 4 AND area <= 150000""")
+def g15_direct_match(spark, sf_dir):
+    """The same without an allocation, at the stations' own places."""
+    o = orders(spark, sf_dir).filter("month(t) <= 2").select(F.col("o_custkey").alias("station_id"), F.col("t").alias("time"), F.col("o_totalprice").alias("value"))
+    listed = grid.valid_years(o).join(o.groupBy("station_id").agg(F.avg("value").alias("area")), "station_id").withColumns({"syears": F.array("syear"), "eyears": F.array("eyear"), "lat": F.lit(0.0), "lon": F.lit(0.0)})
+    return grid.usable_stations(listed, min_years=4, area=(0, 150000)).select("station_id", F.col("use_syear").cast("long").alias("use_syear"), F.col("use_eyear").cast("long").alias("use_eyear"))
+
+
+@query("""WITH y AS (SELECT o_custkey AS station_id, min(year(o_orderdate)) AS a, max(year(o_orderdate)) AS b FROM orders WHERE month(o_orderdate) <= 2 GROUP BY 1) SELECT station_id, a AS use_syear, b AS use_eyear FROM y WHERE b - a >= 4""")
+def g16_site_filter(spark, sf_dir):
+    """A data set whose span is the difference of its years."""
+    o = orders(spark, sf_dir).filter("month(t) <= 2").select(F.col("o_custkey").alias("station_id"), F.col("t").alias("time"), F.col("o_totalprice").alias("value"))
+    listed = grid.valid_years(o).withColumns({"syears": F.array("syear"), "eyears": F.array("eyear"), "lat": F.lit(0.0), "lon": F.lit(0.0)})
+    return grid.usable_stations(listed, min_years=4, inclusive=False).select("station_id", F.col("use_syear").cast("long").alias("use_syear"), F.col("use_eyear").cast("long").alias("use_eyear"))
+
+
 @query(f"WITH {SQL_FINE} SELECT (i_lat // 3)::INT AS i_lat, (i_lon // 3)::INT AS i_lon, round(avg(value), 3) AS value FROM fi GROUP BY 1, 2 HAVING count(*) = 9")
 def g17_coarsen(spark, sf_dir):
     return rounded(grid.coarsen(fine(spark, sf_dir).select("i_lat", "i_lon", "value"), 3, []), "value", digits=3)
@@ -394,9 +469,9 @@ def catalog(spark, sf_dir):
 SQL_CATALOG = """cat AS (SELECT (p_partkey % 4)::VARCHAR AS variable, p_partkey AS name, (1990 + p_partkey % 10)::INT AS first_year, (2005 + p_partkey % 10)::INT AS last_year, ['year', 'month', 'day'][(p_partkey % 3 + 1)::INT] AS resolution, [0, 1, 3][(p_partkey % 3 + 1)::INT] AS rank, 0.25 * (1 + p_partkey % 8) AS grid FROM part)"""
 
 
-@query(f"WITH {SQL_CATALOG} SELECT name FROM cat WHERE variable = '2' AND first_year <= 1995 AND last_year >= 2010 AND rank >= 1")
+@query(f"WITH {SQL_CATALOG} SELECT name FROM cat WHERE variable = '1' AND first_year <= 1995 AND last_year >= 2010 AND rank >= 1")
 def x4_coverage(spark, sf_dir):
-    return inventory.coverage(catalog(spark, sf_dir), "2", 1995, 2010, "month").select("name")
+    return inventory.coverage(catalog(spark, sf_dir), "1", 1995, 2010, "month").select("name")
 
 
 @query(f"WITH {SQL_CATALOG}, r AS (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY abs(grid - 0.6), rank - 1, name) AS k FROM cat WHERE rank >= 1) SELECT variable, name, resolution, grid::DOUBLE AS grid FROM r WHERE k = 1")
@@ -404,10 +479,11 @@ def j11_best_variant(spark, sf_dir):
     return inventory.best_variant(catalog(spark, sf_dir), ["variable"], "month", 0.6).select("variable", "name", "resolution", "grid")
 
 
-@query("SELECT c_nationkey, count(DISTINCT c_mktsegment) AS n, count(DISTINCT c_mktsegment) <= 1 AS agreed FROM customer GROUP BY 1")
+@query("SELECT c_custkey // 3 AS trio, count(DISTINCT c_mktsegment) AS n, count(DISTINCT c_mktsegment) <= 1 AS agreed FROM customer GROUP BY 1")
 def x5_agreement(spark, sf_dir):
-    got = inventory.agreement(domain.table(spark, sf_dir, "customer"), ["c_nationkey"], "c_mktsegment")
-    return got.select("c_nationkey", F.size("values").cast("long").alias("n"), "agreed")
+    trios = domain.table(spark, sf_dir, "customer").withColumn("trio", F.floor(F.col("c_custkey") / 3))
+    got = inventory.agreement(trios, ["trio"], "c_mktsegment")
+    return got.select("trio", F.size("values").cast("long").alias("n"), "agreed")
 
 
 @query(f"""WITH {SQL_CATALOG}, h AS (SELECT variable, max(first_year) AS a, min(last_year) AS b FROM cat WHERE variable <> '3' GROUP BY 1), w AS (SELECT * FROM (VALUES ('0', 1980, 1985), ('1', 2000, 2004), ('3', 2000, 2004)) AS v(variable, fy, ly))
@@ -418,9 +494,12 @@ def x6_findings(spark, sf_dir):
     return inventory.findings(wanted, have)
 
 
-@query("SELECT o_orderstatus AS source, 9.0::DOUBLE AS step FROM orders GROUP BY 1 HAVING max(o_orderkey % 20) > 0")
+@query("""WITH c AS (SELECT DISTINCT o_custkey % 11 AS source, -85.5 + (o_orderkey % 20) * (0.25 * (o_custkey % 11)) + (o_orderkey % 3) * 0.01 AS lat FROM orders), d AS (SELECT source, lat - lag(lat) OVER (PARTITION BY source ORDER BY lat) AS d FROM c)
+SELECT source, round(abs(median(d)), 4)::DOUBLE AS step FROM d GROUP BY 1 HAVING round(abs(median(d)), 4) > 0.001 AND round(abs(median(d)), 4) < 10""")
 def x7_grid_step(spark, sf_dir):
-    cells = domain.table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("source"), (-85.5 + (F.col("o_orderkey") % 20) * 9.0).alias("lat"))
+    source = F.col("o_custkey") % 11
+    lat = -85.5 + (F.col("o_orderkey") % 20) * (0.25 * source) + (F.col("o_orderkey") % 3) * 0.01
+    cells = domain.table(spark, sf_dir, "orders").select(source.alias("source"), lat.alias("lat"))
     return inventory.grid_step(cells, ["source"])
 
 
@@ -439,9 +518,9 @@ def x9_kind_of_axis(spark, sf_dir):
     return inventory.kind_of_axis(orders(spark, sf_dir).select(F.col("o_custkey").alias("source"), F.col("t").alias("time")))
 
 
-@query("""WITH h AS (SELECT DISTINCT c_nationkey AS k, c_custkey % 11 AS v FROM customer) SELECT a.k AS "case", b.v AS variable FROM (SELECT DISTINCT k FROM h) a, (SELECT DISTINCT v FROM h) b WHERE (a.k, b.v) NOT IN (SELECT k, v FROM h)""")
+@query("""WITH h AS (SELECT DISTINCT c_nationkey AS k, c_custkey % 97 AS v FROM customer) SELECT a.k AS "case", b.v AS variable FROM (SELECT DISTINCT k FROM h) a, (SELECT DISTINCT v FROM h) b WHERE (a.k, b.v) NOT IN (SELECT k, v FROM h)""")
 def x10_set_differences(spark, sf_dir):
-    return inventory.set_differences(domain.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("case"), (F.col("c_custkey") % 11).alias("variable")))
+    return inventory.set_differences(domain.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("case"), (F.col("c_custkey") % 97).alias("variable")))
 
 
 # ---- sources, sinks, streaming
@@ -483,6 +562,13 @@ def io8_io10_formats(spark, sf_dir):
     return got.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("s_acctbal"), 2).alias("total"))
 
 
+@query(f"WITH {SQL_STATIONS} SELECT source, count(*) AS n, round(sum(value), 2) AS total FROM st GROUP BY 1")
+def io8_station_series(spark, sf_dir):
+    tables.write_stations(domain.station_series(spark, sf_dir), out := scratch(spark), "csv")
+    got = tables.read_series(spark, out, "csv", "source string, station_id long, time timestamp_ntz, value double")
+    return rounded(got.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), "total", digits=2)
+
+
 @query(f"WITH {SQL_GRID} SELECT cell, count(*) AS n FROM wide GROUP BY 1")
 def io11_compact(spark, sf_dir):
     out = scratch(spark)

@@ -80,11 +80,38 @@ def st10_mann_kendall(spark, sf_dir):
     return rounded(stats.mann_kendall(domain.grid_series(spark, sf_dir), BY), "tau", digits=6).drop("p", "significant")
 
 
-@query()
+def simpson(f: str, a: str, b: str, n: int = 1000) -> str:
+    """SQL for the integral of f, an expression in {x}, from a to b."""
+    x = f"(({a}) + (({b}) - ({a})) * i / {n}.0)"
+    return f"((({b}) - ({a})) / {3 * n}.0 * list_sum(list_transform(range(0, {n + 1}), lambda i: (CASE WHEN i = 0 OR i = {n} THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END) * ({f.format(x=x)}))))"
+
+
+#: SQL for p values, by integration: of z (two-sided), of t with df (two-sided), of f with d1 and d2 (upper).
+SQL_P_NORMAL = "(2 * " + simpson("exp(-{x} * {x} / 2) / sqrt(2 * pi())", "abs(z)", "abs(z) + 14") + ")"
+SQL_P_T = "(2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * " + simpson("power(greatest(0, cos({x})), df - 1)", "atan(abs(t) / sqrt(df))", "pi() / 2") + ")"
+SQL_P_F = "(2 * exp(lgamma((d1 + d2) / 2.0) - lgamma(d1 / 2.0) - lgamma(d2 / 2.0)) * " + simpson("power(sin({x}), d1 - 1) * power(greatest(0, cos({x})), d2 - 1)", "asin(sqrt(d1 * f / (d1 * f + d2)))", "pi() / 2") + ")"
+
+
+def _sql_kendall(series):
+    return f"""WITH {SQL_GRID}, x AS ({series}), k AS (SELECT a.source, a.cell, sum(sign(b.value - a.value))::BIGINT AS score FROM x a JOIN x b ON a.source = b.source AND a.cell = b.cell AND a.time < b.time GROUP BY 1, 2),
+g AS (SELECT source, cell, value, count(*) AS c FROM x GROUP BY 1, 2, 3), n AS (SELECT source, cell, sum(c)::BIGINT AS n, sum(c * (c - 1) / 2) AS tied, sum(c * (c - 1) * (2 * c + 5)) AS ties FROM g GROUP BY 1, 2),
+s AS (SELECT source, cell, n, score, score / sqrt(n * (n - 1) / 2 * (n * (n - 1) / 2 - tied)) AS tau, score / sqrt((n * (n - 1) * (2 * n + 5) - ties) / 18) AS z FROM n JOIN k USING (source, cell)),
+p AS (SELECT *, {SQL_P_NORMAL} AS p FROM s)
+SELECT source, cell, n, score, round(tau, 6) AS tau, sign(score)::DOUBLE AS trend, round(p, 6) AS p, p < 0.05 AS significant FROM p"""
+
+
+@query(_sql_kendall("SELECT source, cell, time, value FROM series"))
 def st10_mann_kendall_p(spark, sf_dir):
     return rounded(stats.mann_kendall(domain.grid_series(spark, sf_dir), BY), "tau", "p", digits=6)
 
 
+@query(_sql_kendall("SELECT source, cell, time, round(value / 2000) AS value FROM series"))
+def st10_mann_kendall_ties(spark, sf_dir):
+    """Values in whole steps of 2000, so that many are equal."""
+    coarse = domain.grid_series(spark, sf_dir).withColumn("value", F.round(F.col("value") / 2000))
+    return rounded(stats.mann_kendall(coarse, BY), "tau", "p", digits=6)
+
+
 @query(f"""WITH {SQL_GRID}, d AS (SELECT cell, count(*) AS n, var_samp("R" - "A") AS ra, var_samp("R" - "B") AS rb, var_samp("R" - "C") AS rc, var_samp("A" - "B") AS ab, var_samp("A" - "C") AS ac, var_samp("B" - "C") AS bc FROM wide GROUP BY 1),
 v AS (SELECT *, ra + rb + rc + ab + ac + bc AS t FROM d),
 x AS (SELECT cell, n, greatest(ra, rb, rc, ab, ac, bc) AS top, (ra + rb + rc - t / 3) / 2 AS vr, (ra + ab + ac - t / 3) / 2 AS va, (rb + ab + bc - t / 3) / 2 AS vb, (rc + ac + bc - t / 3) / 2 AS vc FROM v),
@@ -105,19 +132,46 @@ def st12_welch(spark, sf_dir):
     return rounded(rounded(_welch(spark, sf_dir).drop("p"), "t", digits=5), "df", digits=3)
 
 
-@query()
+SQL_WELCH = f"""{SQL_GRID}, w AS (SELECT ref, sim, cell, count(*) AS n, avg(s) - avg(o) AS d, var_samp(s) / count(*) AS a, var_samp(o) / count(*) AS b FROM pairs GROUP BY 1, 2, 3),
+wt AS (SELECT ref, sim, cell, n, d / nullif(sqrt(a + b), 0) AS t, (a + b) ** 2 * (n - 1) / nullif(a * a + b * b, 0) AS df FROM w), wp AS (SELECT *, {SQL_P_T} AS p FROM wt)"""
+
+
+@query(f"""WITH {SQL_WELCH}, k AS (SELECT *, count(*) OVER (ORDER BY p) AS rank, count(*) OVER () AS m FROM wp), th AS (SELECT coalesce(max(p) FILTER (p <= rank * 0.05 / m), 0) AS threshold FROM k)
+SELECT ref, sim, cell, n, round(t, 6) AS t, round(df, 3) AS df, round(p, 6) AS p, round(threshold, 6) AS threshold, p <= threshold AND threshold > 0 AS significant, round(avg((p <= threshold AND threshold > 0)::INT) OVER (PARTITION BY cell), 6) AS proportion FROM wp, th""")
 def st12_false_discovery(spark, sf_dir):
-    return rounded(stats.false_discovery(_welch(spark, sf_dir), ["cell"]), "t", "df", "p", "threshold", "proportion", digits=6)
+    return rounded(stats.false_discovery(_welch(spark, sf_dir), ["cell"]), "t", "p", "threshold", "proportion", digits=6).withColumn("df", F.round("df", 3))
 
 
-@query()
+@query(f"""WITH {SQL_GRID}, l AS (SELECT cell, "R" AS y, k AS predictor, CASE k WHEN 'discount' THEN ("R" - "A") / "R" WHEN 'tax' THEN ("B" - "R") / "R" ELSE ("C" - "R") / "R" END AS x FROM wide, (VALUES ('discount'), ('tax'), ('both')) AS v(k)),
+q AS (SELECT cell, predictor, quantile_cont(x, 0.25::DOUBLE) AS a, quantile_cont(x, 0.5::DOUBLE) AS b, quantile_cont(x, 0.75::DOUBLE) AS c FROM l GROUP BY 1, 2),
+g AS (SELECT cell, predictor, CASE WHEN x <= a THEN 0 WHEN x <= b THEN 1 WHEN x <= c THEN 2 ELSE 3 END AS part, count(*) AS n, avg(y) AS m, var_pop(y) AS v FROM l JOIN q USING (cell, predictor) GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+h AS (SELECT *, sum(n * m) OVER w / sum(n) OVER w AS gm FROM g WINDOW w AS (PARTITION BY cell, predictor)),
+s AS (SELECT cell, predictor, count(*) - 1 AS d1, sum(n) - count(*) AS d2, sum(n * (m - gm) ** 2) AS between_, sum(n * v) AS within_ FROM h GROUP BY 1, 2 HAVING count(*) >= 2),
+e AS (SELECT *, (between_ / d1) / nullif(within_ / d2, 0) AS f FROM s), p AS (SELECT *, {SQL_P_F} AS p FROM e)
+SELECT cell, arg_min(predictor, (round(p, 15), predictor)) AS predictor, round(arg_min(f, (round(p, 15), predictor)), 3) AS f, round(least(1, min(p) * count(*)), 5) AS p FROM p GROUP BY 1""")
 def st13_anova_one_way(spark, sf_dir):
-    return rounded(stats.anova_one_way(domain.grid_wide(spark, sf_dir), ["cell"], "R", ["A", "B", "C"]), "f", "p", digits=5)
+    """The price by what part of it discount, tax and both make."""
+    r = F.col("R")
+    wide = domain.grid_wide(spark, sf_dir).withColumns({"discount": (r - F.col("A")) / r, "tax": (F.col("B") - r) / r, "both": (F.col("C") - r) / r})
+    return rounded(stats.anova_one_way(wide, ["cell"], "R", ["discount", "tax", "both"]), "p", digits=5).withColumn("f", F.round("f", 3))
 
 
-@query()
+SQL_TWO_WAY = f"""{SQL_GRID}, u AS (SELECT cell, ("R" - min("R") OVER c) / (max("R") OVER c - min("R") OVER c) AS y, (x1 - min(x1) OVER c) / (max(x1) OVER c - min(x1) OVER c) AS a, (x2 - min(x2) OVER c) / (max(x2) OVER c - min(x2) OVER c) AS b
+  FROM (SELECT cell, "R", ("A" - "R") AS x1, ("B" - "R") AS x2 FROM wide) WINDOW c AS (PARTITION BY cell)),
+v AS (SELECT cell, y - avg(y) OVER c AS y, a - avg(a) OVER c AS a, b - avg(b) OVER c AS b, a * b - avg(a * b) OVER c AS ab FROM u WINDOW c AS (PARTITION BY cell)),
+w AS (SELECT cell, y, a, b, b - a * sum(a * b) OVER c / sum(a * a) OVER c AS b2, a - b * sum(a * b) OVER c / sum(b * b) OVER c AS a2, ab - a * sum(a * ab) OVER c / sum(a * a) OVER c AS ab1 FROM v WINDOW c AS (PARTITION BY cell)),
+x AS (SELECT *, ab1 - b2 * sum(b2 * ab1) OVER c / sum(b2 * b2) OVER c AS ab2 FROM w WINDOW c AS (PARTITION BY cell)),
+ss AS (SELECT cell, count(*) - 4 AS d2, sum(y * a2) ** 2 / sum(a2 * a2) AS sa, sum(y * b2) ** 2 / sum(b2 * b2) AS sb, sum(y * ab2) ** 2 / sum(ab2 * ab2) AS sab,
+  sum(y * y) - sum(y * a) ** 2 / sum(a * a) - sum(y * b2) ** 2 / sum(b2 * b2) - sum(y * ab2) ** 2 / sum(ab2 * ab2) AS rest FROM x GROUP BY 1),
+tt AS (SELECT cell, term, CASE term WHEN 'discount' THEN sa WHEN 'tax' THEN sb WHEN 'discount:tax' THEN sab ELSE rest END AS sum_sq, CASE term WHEN 'discount' THEN sa WHEN 'tax' THEN sb WHEN 'discount:tax' THEN sab END / (rest / d2) AS f, 1 AS d1, d2
+  FROM ss, (VALUES ('discount'), ('tax'), ('discount:tax'), ('residual')) AS k(term))"""
+
+
+@query(f"WITH {SQL_TWO_WAY} SELECT cell, term, round(sum_sq, 5) AS sum_sq, round(f, 4) AS f, CASE WHEN f IS NOT NULL THEN round({SQL_P_F}, 5) END AS p FROM tt")
 def st14_anova_two_way(spark, sf_dir):
-    return rounded(stats.anova_two_way(domain.grid_wide(spark, sf_dir), ["cell"], "R", ["A", "B"]), "sum_sq", "f", "p", digits=5)
+    """The price by what discount and tax make of it."""
+    wide = domain.grid_wide(spark, sf_dir).withColumns({"discount": F.col("A") - F.col("R"), "tax": F.col("B") - F.col("R")})
+    return rounded(rounded(stats.anova_two_way(wide, ["cell"], "R", ["discount", "tax"]), "sum_sq", "p", digits=5), "f")
 
 
 @query()
@@ -150,7 +204,8 @@ def st5_station_correlation(spark, sf_dir):
     return rounded(stats.correlation(side("view", "x").join(side("click", "y"), ["station_id", "time"]), ["station_id"]).drop("covariance"), "correlation", digits=6)
 
 
-@query()
+@query(f"""WITH {SQL_GRID}, v AS (SELECT ref, sim, avg(d_mean * d_mean / nullif(o_var1, 0)) AS v FROM moments GROUP BY 1, 2), g AS (SELECT ref, avg(v) AS m, stddev_samp(v) AS sd, count(v) AS n FROM v GROUP BY 1)
+SELECT ref, n, round(m, 5) AS mean, round(m - 4.302652729749464 * sd / sqrt(n), 5) AS low, round(m + 4.302652729749464 * sd / sqrt(n), 5) AS high FROM g WHERE n = 3""")
 def c18_smpi_interval(spark, sf_dir):
     """The mean of the sims' index per reference, with the 95 % interval of the t distribution."""
     from ..operators import skill
