@@ -17,8 +17,8 @@ from .tokens import combined, hashed
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 4, 6, 7), (0, 1, 2, 3, 4))
 #: Words of a window that is compared, and the part of them that must agree.
 WINDOW, AGREE, LEAST = 20, 0.8, 8
-#: Bits of the filter that all tasks get, whatever the size of the benchmark, and probes per hash.
-FILTER_BITS, PROBES = 24, 4
+#: The filter that all tasks get has 2^FILTER_BITS bits by the number of seeds, at most the last (32 MB), and so many probes per hash.
+FILTER_BITS, PROBES = (16, 28), 4
 
 SEGMENTS = "segment string, id {}, start long, tokens array<long>, hits array<struct<at:int,seed:long>>"
 
@@ -34,9 +34,14 @@ def _seeds(h: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
-def _probe(seed: np.ndarray, k: int) -> np.ndarray:
+def _probe(seed: np.ndarray, k: int, bits: int) -> np.ndarray:
     """The filter's bit for the k-th probe of each hash."""
-    return ((seed.view(np.uint64) * np.uint64(2 * k + 3)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return ((seed.view(np.uint64) * np.uint64(2 * k + 3)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _set(filled: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of these bits are set."""
+    return (filled[at >> 6] >> (at & 63)) & 1 == 1
 
 
 def benchmark_seeds(bench: DataFrame, *, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -60,26 +65,28 @@ def benchmark_seeds(bench: DataFrame, *, id_col: str, text_col: str) -> tuple[Da
 
 
 def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """A Bloom filter of all seeds. It has 2^FILTER_BITS bits however many seeds there are, so its size is bounded."""
+    """A Bloom filter of all seeds, in words of 64 bits. It has 16 bits a seed, so that few positions pass, up to a size that no benchmark exceeds."""
+    low, high = FILTER_BITS
+    size = min(high, max(low, (16 * seeds.count()).bit_length()))
 
     def run(batches):
         for batch in batches:
-            bits = np.unique(np.concatenate([_probe(batch.column(0).to_numpy(zero_copy_only=False), k) for k in range(PROBES)]))
+            bits = np.unique(np.concatenate([_probe(batch.column(0).to_numpy(zero_copy_only=False), k, size) for k in range(PROBES)]))
             yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array(np.left_shift(np.int64(1), bits & 63))], names=["word", "bits"])
 
     words = seeds.select("seed").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    out = np.zeros(1 << (size - 6), dtype=np.int64)
     for r in words.toLocalIterator():
         out[r["word"]] = r["bits"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    return out
 
 
 def segments_of(h: np.ndarray, starts: np.ndarray, filled: np.ndarray) -> list[tuple]:
     """(name, text, start, tokens, hits) of each stretch of a text round the positions that pass the filter."""
-    found = []
+    found, bits = [], len(filled).bit_length() + 5
     for values, at in _seeds(h, starts):
         for k in range(PROBES):  # most positions go at the first probe
-            keep = filled[_probe(values, k)]
+            keep = _set(filled, _probe(values, k, bits))
             values, at = values[keep], at[keep]
         found.append((values, at))
     values, at = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -111,11 +118,11 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     items, seeds = benchmark_seeds(bench, id_col=item_col, text_col=item_text_col)
-    known = spark.sparkContext.broadcast(np.packbits(seed_filter(seeds), bitorder="little"))
+    known = spark.sparkContext.broadcast(seed_filter(seeds))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches):
-        filled = np.unpackbits(known.value, bitorder="little").view(bool)
+        filled = known.value
         for batch in batches:
             rows = [(r, first + t, *rest) for first, h, starts in hashed((t.as_py() for t in batch.column(1)), strip=True) for r, t, *rest in segments_of(h, starts, filled)]
             if rows:
