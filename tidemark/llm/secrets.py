@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +12,8 @@ from .common import fresh_dir, text_or_empty
 
 MARK, STAND_IN = "\x01", "\x02"
 SPANS = "array<struct<start:int,end:int>>"
+#: Findings are gathered in blocks of so many, as each that is added copies its block.
+BLOCK = 256
 
 #: The patterns of the base rules.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -46,22 +47,25 @@ def spans(text: Column, rule: Rule) -> Column:
     """
     clean = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, STAND_IN)).otherwise(text)
     parts = F.split(F.regexp_replace(clean, rule.pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.lit(None).cast(SPANS).alias("found"))
+    none, no_blocks = F.array().cast(SPANS), F.array().cast(f"array<{SPANS}>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), none.alias("block"), no_blocks.alias("blocks"))
 
     def step(acc: Column, part: Column) -> Column:
         end = acc["at"] + F.length(part)
         kept = acc["match"] if rule.keep is None else acc["match"] & rule.keep(part)
-        more = F.concat(F.coalesce(acc["found"], F.array().cast(SPANS)), F.array(F.struct(acc["at"].alias("start"), end.alias("end"))))
-        return F.struct(end.alias("at"), (~acc["match"]).alias("match"), F.when(kept, more).otherwise(acc["found"]).alias("found"))
+        more = F.concat(acc["block"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"))))
+        full = kept & (F.size(acc["block"]) >= BLOCK - 1)
+        block = F.when(full, none).when(kept, more).otherwise(acc["block"])
+        return F.struct(end.alias("at"), (~acc["match"]).alias("match"), block.alias("block"), F.when(full, F.concat(acc["blocks"], F.array(more))).otherwise(acc["blocks"]).alias("blocks"))
 
-    return F.coalesce(F.aggregate(parts, start, step)["found"], F.array().cast(SPANS))
+    return F.aggregate(parts, start, step, lambda acc: F.flatten(F.concat(acc["blocks"], F.array(acc["block"]))))
 
 
 def _ledger(spark, ledger_dir: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(f"blob string, kind string, version int, spans {SPANS}").parquet(f"{ledger_dir}/*")
-    except AnalysisException:  # nothing has been scanned yet
+    at = spark._jvm.org.apache.hadoop.fs.Path(ledger_dir)
+    if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):  # nothing has been scanned yet
         return None
+    return spark.read.schema(f"blob string, kind string, version int, spans {SPANS}").parquet(f"{ledger_dir}/*")
 
 
 def scan_new(docs: DataFrame, ledger_dir: str, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
