@@ -93,3 +93,119 @@ def test_pipeline_stages_take_nulls_and_nothing(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, DATA).count() <= 4, name
         assert stage(spark, odd.limit(0), DATA).count() == 0, name
+
+
+def tables(spark, folder, rows, labels, bench):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return docs
+
+
+def test_each_stage_against_brute_force(spark, tmp_path):
+    rng = random.Random(21)
+    rows, labels, plain = [], [], lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    shared = [plain(12) for _ in range(4)]
+    bench = [(k, plain(30)) for k in range(10)]
+    for k in range(240):
+        toxic = k % 6 == 0
+        lines = [prose(rng, 40, toxic), plain(60)]
+        lines += [shared[j] for j in range(4) if rng.random() < 0.1 * j]
+        if k % 20 == 7:
+            item = bench[k % 10][1].split()
+            item[rng.randrange(30)] = "other"
+            lines.append(" ".join(item))
+        rows.append((k, "\n".join(lines), "en", f"s{k % 3}", 0))
+        labels.append((k, int(toxic)))
+    for k in range(240, 280):  # near copies
+        words = rows[k - 240][1].replace("\n", " \n ").split(" ")
+        words[rng.randrange(len(words))] = "changed"
+        rows.append((k, " ".join(words), "en", None, 0))
+    rows += [(300, None, "en", "s0", 0), (None, "", "en", "s1", 0), (None, plain(50), "en", "s1", 0)]
+    docs = tables(spark, str(tmp_path), rows, labels, bench)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def ids(df):
+        return sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in df.collect())
+
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    # toxicity: the score of each row by itself
+    model = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    meter = toxicity.Meter(model)
+    score = lambda text: float(toxicity._scores(model, toxicity.np.array([meter.count(text)]))[0])
+    assert ids(stages["toxicity"](spark, docs, str(tmp_path))) == sorted(key(r) for r in rows if score(r[1]) < 0.5)
+    # lines
+    where = {}
+    for r in rows:
+        for line in (r[1] or "").split("\n"):
+            where.setdefault(line.strip(" \t\n\x0b\f\r").lower(), set()).add(r[0])
+    lost = lambda r, line: len(k := line.strip(" \t\n\x0b\f\r").lower()) >= 40 and len(where[k]) >= 5 and r[0] != max(i if i is not None else -1 for i in where[k])
+    want = sorted((r[0] is None, r[0] or 0, "\n".join(x for x in (r[1] or "").split("\n") if not lost(r, x))) for r in rows)
+    assert ids(stages["line_dedup"](spark, docs, str(tmp_path))) == want
+    # near duplicates: components of the Jaccard index
+    cut = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4)) if w}
+    sets = [cut(r[1]) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (not sets[i] and not sets[j]) or (both and both / (len(sets[i]) + len(sets[j]) - both) >= 0.8):
+                a, b = sorted((find(i), find(j)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+                root[b] = a
+    assert ids(stages["near_dedup"](spark, docs, str(tmp_path))) == sorted(key(r) for i, r in enumerate(rows) if find(i) == i)
+    # benchmark passages: a window of 20 words with four fifths alike
+    def leaks(text):
+        w = (text or "").lower().split()
+        for _, item in bench:
+            m = item.lower().split()
+            for shift in range(-len(m), len(w)):
+                same = [0 <= shift + k < len(w) and w[shift + k] == m[k] for k in range(len(m))]
+                if sum(same) >= 16 and any(sum(same[k : k + 20]) >= 16 for k in range(len(m) - 19)):
+                    return True
+        return False
+
+    assert ids(stages["decontamination"](spark, docs, str(tmp_path))) == sorted(key(r) for r in rows if not leaks(r[1]))
+    # mixing: whole copies, near the targets
+    got = stages["mixing"](spark, docs, str(tmp_path)).collect()
+    size = lambda t: len((t or "").split())
+    sizes = {s: sum(size(r[1]) for r in rows if r[3] == s) for s in ("s0", "s1", "s2", None)}
+    taken = {s: sum(r.copies * size(r.text) for r in got if r.source == s) for s in sizes}
+    total, weights = sum(sizes.values()), {"s0": 5, "s1": 2, "s2": 1, None: 5}
+    targets, left = {}, set(sizes)
+    while True:  # what a source can't give goes to the others
+        share = (total - sum(targets.values())) / sum(weights[s] for s in left)
+        if not (full := {s for s in left if weights[s] * share > 3 * sizes[s]}):
+            break
+        targets |= {s: 3 * sizes[s] for s in full}
+        left -= full
+    targets |= {s: weights[s] * share for s in left}
+    assert all(abs(taken[s] - targets[s]) <= 200 for s in sizes) and all(1 <= r.copies <= 3 for r in got)
+
+
+def test_near_duplicates_of_the_table_against_brute_force(spark):
+    """Recall of pairs of different texts with a Jaccard index of 0.8 or more over 5-word shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    sets, holders = {}, {}
+    for k, text in rows.items():
+        w = text.lower().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        for s in sets[k]:
+            holders.setdefault(s, []).append(k)
+    pairs = {}
+    for held in holders.values():
+        for i in held:
+            for j in held:
+                if i < j:
+                    pairs[i, j] = pairs.get((i, j), 0) + 1
+    near = [p for p, n in pairs.items() if rows[p[0]] != rows[p[1]] and n / (len(sets[p[0]]) + len(sets[p[1]]) - n) >= 0.8]
+    kept = {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, "").select("doc_id").collect()}
+    lost = [p for p in near if p[0] in kept and p[1] in kept]
+    print(f"near pairs {len(near)}, left in {len(lost)}")
+    assert near and len(lost) <= 0.02 * len(near)

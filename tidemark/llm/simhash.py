@@ -246,11 +246,12 @@ def _compared(buckets: DataFrame, edges: DataFrame, similar) -> DataFrame:
     return edges
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 2, radii: tuple[int, ...] = (2, 3, 6), shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 2, radii: tuple[int, ...] = (2, 3), shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near duplicates, that with the smallest id, all columns as they were.
 
     Exact copies are one node. Nodes whose fingerprints (over pairs of words, so that a changed word touches
-    few features) lie within the largest radius, or that share a band of min-hashes, are candidates, and are linked if the Jaccard index of their sets of
+    few features) lie within the largest radius are candidates, found by covering masks; those farther apart are candidates
+    if they share a band of min-hashes. Candidates are linked if the Jaccard index of their sets of
     5-word shingles is similarity or more; sketches only rule out pairs far below it, or hold the whole sets. Groups are the components. Nodes of one
     fingerprint or band are compared until none is left. The smaller radii come first only to join what they can: within
     a component no pair needs to be looked at again, so that thousands of near copies of one text don't
