@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.guards import weighted_mean
 from ..operators import compare, pairing, report, skill
 from . import domain, stat_queries
-from .domain import FIELD, KEYS, SQL_GRID, SQL_METRICS, SQL_STATIONS
+from .domain import FIELD, KEYS, SQL_GRID, SQL_METRICS, SQL_PARTS, SQL_STATIONS
 from .skill_queries import SQL_SCORES
 from .stat_queries import rounded
 
@@ -123,6 +123,13 @@ def c3_parallel_coordinates(spark, sf_dir):
     return rounded(compare.parallel(field(spark, sf_dir), FIELD, SCORES), "value")
 
 
+@query(f"""WITH {SQL_PARTS}, field AS (SELECT ref, sim, d_mean AS value FROM moments) SELECT ref, sim, count(value) AS n, round(min(value), 3) AS low, round(quantile_cont(value, 0.25::DOUBLE), 3) AS q25, round(median(value), 3) AS median, round(quantile_cont(value, 0.75::DOUBLE), 3) AS q75, round(max(value), 3) AS high FROM field GROUP BY 1, 2""")
+def c8_whiskers_wide(spark, sf_dir):
+    """Whiskers over a grid whose cells are the parts."""
+    bias = skill.metrics(domain.grid_pairs(spark, sf_dir, parts=True), KEYS, ["bias"]).withColumnRenamed("bias", "value")
+    return rounded(compare.whiskers(bias, FIELD), "low", "q25", "median", "q75", "high", digits=3)
+
+
 SQL_SEASON = """CASE WHEN month(time) IN (12, 1, 2) THEN 'DJF' WHEN month(time) <= 5 THEN 'MAM' WHEN month(time) <= 8 THEN 'JJA' ELSE 'SON' END"""
 
 

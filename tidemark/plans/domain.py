@@ -26,13 +26,14 @@ def lon(cell: str = "cell"):
     return (-144.0 + 72.0 * F.floor(F.col(cell) / 5)).alias("lon")
 
 
-def grid_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cell, time, R, A, B, C): the reference and the simulations, one row per cell and month."""
+def grid_wide(spark: SparkSession, sf_dir: str, *, parts: bool = False) -> DataFrame:
+    """(cell, time, R, A, B, C): the reference and the simulations, one row per cell and month; with parts each part is a cell, so cells grow with the data."""
     p, d, t = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
-    items = table(spark, sf_dir, "lineitem").select("l_suppkey", F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("time"), p, d, t)
+    items = table(spark, sf_dir, "lineitem").select("l_partkey" if parts else "l_suppkey", F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("time"), p, d, t)
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("cell"))
     values = {"R": p, "A": p * (1 - d), "B": p * (1 + t), "C": p * (1 - d) * (1 + t)}
-    return items.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("cell", "time").agg(*(F.avg(v).alias(n) for n, v in values.items()))
+    placed = items.withColumnRenamed("l_partkey", "cell") if parts else items.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    return placed.groupBy("cell", "time").agg(*(F.avg(v).alias(n) for n, v in values.items()))
 
 
 def grid_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +41,9 @@ def grid_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_wide(spark, sf_dir).unpivot(["cell", "time"], ["R", *SIMS], "source", "value").withColumn("variable", F.lit("price"))
 
 
-def grid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grid_pairs(spark: SparkSession, sf_dir: str, *, parts: bool = False) -> DataFrame:
     """(ref, sim, cell, time, s, o). The wide table is its own pairing: no join is needed."""
-    wide = grid_wide(spark, sf_dir).withColumnRenamed("R", "o")
+    wide = grid_wide(spark, sf_dir, parts=parts).withColumnRenamed("R", "o")
     return wide.unpivot(["cell", "time", "o"], list(SIMS), "sim", "s").select(F.lit("R").alias("ref"), "sim", "cell", "time", "s", "o")
 
 
@@ -69,6 +70,7 @@ moments AS (SELECT ref, sim, cell, count(*) AS n, sum(s) AS s_sum, sum(o) AS o_s
   stddev_pop(s - o) AS d_sd, var_pop(s - o) AS d_var, max(s) AS s_max, min(s) AS s_min, max(o) AS o_max, min(o) AS o_min,
   covar_pop(s, o) / nullif(stddev_pop(s) * stddev_pop(o), 0) AS r FROM pairs GROUP BY 1, 2, 3)
 """
+SQL_PARTS = SQL_GRID.replace("s_nationkey AS cell", "l_partkey AS cell").replace("FROM lineitem JOIN supplier ON l_suppkey = s_suppkey", "FROM lineitem")
 SQL_STATIONS = """
 st AS (SELECT event_type AS source, user_id AS station_id, date_trunc('day', ts)::TIMESTAMP AS time, avg(value) AS value FROM events GROUP BY 1, 2, 3)
 """

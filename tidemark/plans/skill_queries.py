@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.guards import weighted_mean
 from ..operators import skill
 from . import domain
-from .domain import FIELD, KEYS, SQL_GRID, SQL_METRICS
+from .domain import FIELD, KEYS, SQL_GRID, SQL_METRICS, SQL_PARTS
 
 QUERIES, SQL = {}, {}
 
@@ -38,6 +38,16 @@ def query(sql=None):
     return add
 
 
+WIDE = ["bias", "RMSE", "correlation", "KGE", "nBiasScore", "nRMSEScore"]
+
+
+@query(f"WITH {SQL_PARTS} SELECT ref, sim, cell, " + ", ".join(f'round({SQL_METRICS[n]}, 3) AS "{n}"' for n in WIDE) + " FROM moments")
+def mt_wide_grid(spark, sf_dir):
+    """Every part a cell: the number of cells grows with the data."""
+    got = skill.metrics(domain.grid_pairs(spark, sf_dir, parts=True), KEYS, WIDE)
+    return got.select(*KEYS, *(F.round(n, 3).alias(n) for n in WIDE))
+
+
 SQL_ABOUT = f"""{SQL_GRID}, about AS (SELECT p.*, o_mean AS om FROM pairs p JOIN moments USING (ref, sim, cell)),
 dev AS (SELECT ref, sim, cell, sum(abs(s - o)) AS a, 2 * sum(abs(o - om)) AS b, sum((s - o) ** 2) AS sse, sum((abs(s - om) + abs(o - om)) ** 2) AS spread FROM about GROUP BY 1, 2, 3)"""
 
