@@ -80,3 +80,10 @@ def test_nulls_long_texts_and_repeats(spark):
 
 def test_redact():
     assert pii.redact("to a@b.co, 1.2.3.4", [("ip", 11, 18), ("email", 3, 9)]) == "to [EMAIL], [IP]"
+
+
+def test_spelled_digits_among_groups_of_digits():
+    text = "call +1 555 one two three 4567 today"
+    base, more = pii.detect(text)
+    assert [text[a:b] for a, b in more["phone"]] == ["+1 555 one two three 4567"] or [text[a:b] for a, b in base["phone"]] == ["+1 555 one two three 4567"]
+    assert pii.detect("in 2024 one of two or three 10 year plans")[1] == {k: [] for k in pii.KINDS}

@@ -29,8 +29,8 @@ _TRANSLATE = str.maketrans(HOMOGLYPHS)
 _LOOKALIKE = re.compile("[" + re.escape("".join(HOMOGLYPHS)) + "]")
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _DIGIT_WORD = "|".join(DIGITS)
-#: Four spelled digits in a row, or more; digits may stand among them.
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ \t,-]{{1,3}})?(?:{_DIGIT_WORD})(?:[ \t,-]{{1,3}}(?:{_DIGIT_WORD}|[0-9])(?![A-Za-z0-9])){{3,}}", re.IGNORECASE)
+#: Four digits or groups of digits in a row, or more, of which one at least is spelled before the last three; groups before it belong to it.
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ \t,-]{{1,3}})?(?:[0-9]{{1,6}}[ \t,-]{{1,3}}){{0,6}}(?:{_DIGIT_WORD})(?:[ \t,-]{{1,3}}(?:{_DIGIT_WORD}|[0-9]{{1,6}})(?![A-Za-z0-9])){{3,}}", re.IGNORECASE)
 _SPELLED_ONE = re.compile(rf"plus[ \t,-]+|{_DIGIT_WORD}|[0-9]|[ \t,-]+", re.IGNORECASE)
 _HINT_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{_DIGIT_WORD})[ \t,-]{{1,3}}(?:{_DIGIT_WORD}|[0-9])(?![A-Za-z0-9])", re.IGNORECASE)
 #: at and dot in brackets, or as words between parts of a name that ends in a spelled dot.
