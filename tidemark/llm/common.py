@@ -50,6 +50,8 @@ def spool(df: DataFrame, what: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     found = spark.read.schema(df.schema).parquet(path)
     found.spooled_at = path
+    if Scratch.open:
+        Scratch.open[-1].append(found)
     return found
 
 
@@ -60,6 +62,28 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+class Scratch:
+    """A block at whose end the tables spooled inside are deleted, but for those that keep was called with."""
+
+    open: list[list[DataFrame]] = []
+
+    def __enter__(self) -> Scratch:
+        self.kept: list[DataFrame] = []
+        Scratch.open.append([])
+        return self
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.append(table)
+        return table
+
+    def __exit__(self, kind, *_) -> None:
+        made, kept = Scratch.open.pop(), {t.spooled_at for t in self.kept}
+        if kind is None:
+            discard(*(t for t in made if t.spooled_at not in kept))
+        if Scratch.open:
+            Scratch.open[-1] += self.kept
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

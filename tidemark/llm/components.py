@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import Scratch, discard, spool
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,4 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = after
-        now = spool(_star(_star(now, True), False), "edges")
+        with Scratch() as scratch:
+            now, last = scratch.keep(spool(_star(_star(now, True), False), "edges")), now
+        discard(last)

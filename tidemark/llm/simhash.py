@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import is_empty, spool
+from .common import Scratch, is_empty, spool
 from .components import components
 from .tokens import combined, hash_words, mixed
 from .tokens import words as text_words
@@ -230,18 +230,19 @@ def _compared(buckets: DataFrame, edges: DataFrame, similar) -> DataFrame:
     comparisons; only nodes that are unlike the first few of their bucket meet pair by pair.
     """
     for turn in range(ROUNDS + 1):
-        roots = components(edges)
-        labelled = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-        several = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("node", "comp")).alias("head")).filter("lo < hi")
-        live = spool(labelled.join(several.select("key", "head"), "key"), "near-buckets")
-        if is_empty(live):
-            break
-        if turn < ROUNDS:
-            met = live.filter("node <> head.node AND comp <> head.comp").select(F.col("head.node").alias("u"), F.col("node").alias("v"))
-        else:
-            a, b = live.alias("a"), live.alias("b")
-            met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-        edges = spool(edges.unionByName(similar(met)), "near-edges")
+        with Scratch() as scratch:
+            roots = components(edges)
+            labelled = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+            several = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("node", "comp")).alias("head")).filter("lo < hi")
+            live = scratch.keep(spool(labelled.join(several.select("key", "head"), "key"), "near-buckets"))
+            if is_empty(live):
+                break
+            if turn < ROUNDS:
+                met = live.filter("node <> head.node AND comp <> head.comp").select(F.col("head.node").alias("u"), F.col("node").alias("v"))
+            else:
+                a, b = live.alias("a"), live.alias("b")
+                met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+            edges = scratch.keep(spool(edges.unionByName(similar(met)), "near-edges"))
         buckets = live.filter("node <> head.node").select("key", "node")
     return edges
 
@@ -260,10 +261,17 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
+    with Scratch() as scratch:
+        stays = scratch.keep(spool(_first_of_each(docs, digest, key, text_col, words, radii, shingle, similarity), "near-stays"))
+    nth = F.row_number().over(W.partitionBy("__digest").orderBy("__digest"))
+    return docs.withColumn("__digest", digest).join(stays, "__digest").filter(key == F.col("__key")).withColumn("__nth", nth).filter("__nth = 1").drop("__digest", "__key", "__nth")
+
+
+def _first_of_each(docs: DataFrame, digest: Column, key: Column, text_col: str, words: int, radii: tuple[int, ...], shingle: int, similarity: float) -> DataFrame:
+    """(__digest, __key) of the text that stays of each group. Tables of a step are deleted once the next has read them."""
     every = spool(sketches(docs.select(digest.alias("__digest"), key.alias("__key"), F.col(text_col).alias("__body")), text_col="__body", keep=["__digest", "__key"], words=words, shingle=shingle), "near-rows")
     told = spool(every.groupBy("__digest").agg(F.min("__key").alias("__key"), F.first("fp").alias("fp"), F.first("low").alias("low"), F.first("bands").alias("bands")), "near-nodes")
     heads = spool(told.groupBy("fp").agg(F.min("__digest").alias("head")), "near-heads")
-
     texts = docs.select(digest.alias("__digest"), F.col(text_col).cast("string").alias("__body"))
 
     def similar(edges: DataFrame) -> DataFrame:
@@ -274,18 +282,19 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     head = lambda end: heads.select(F.col("fp").alias(end), F.col("head").alias(f"h{end}"))
     within = told.select("fp", F.col("__digest").alias("v")).join(heads.select("fp", F.col("head").alias("u")), "fp").filter("u <> v").select("u", "v")
-    edges = spool(similar(within), "near-edges")
+    with Scratch() as scratch:
+        edges = scratch.keep(spool(similar(within), "near-edges"))
     for radius in radii:
-        roots = components(edges)
-        # a root is the smallest of its fingerprint too, so that fingerprint can stand for the component
-        of_root = heads.select(F.col("head").alias("root"), F.col("fp").alias("root_fp"))
-        labelled = spool(heads.join(roots.join(of_root, "root"), F.col("head") == F.col("node"), "left").select("fp", F.coalesce("root_fp", "fp").alias("comp")), "near-labels")
-        across = links(labelled, radius).join(head("u"), "u").join(head("v"), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
-        edges = spool(edges.unionByName(similar(across)), "near-edges")
+        with Scratch() as scratch:
+            roots = components(edges)
+            # a root is the smallest of its fingerprint too, so that fingerprint can stand for the component
+            of_root = heads.select(F.col("head").alias("root"), F.col("fp").alias("root_fp"))
+            labelled = spool(heads.join(roots.join(of_root, "root"), F.col("head") == F.col("node"), "left").select("fp", F.coalesce("root_fp", "fp").alias("comp")), "near-labels")
+            across = links(labelled, radius).join(head("u"), "u").join(head("v"), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
+            edges = scratch.keep(spool(edges.unionByName(similar(across)), "near-edges"))
     keys = F.explode(F.concat(F.array("fp"), "bands")).alias("key")
     edges = _compared(told.select(keys, F.col("__digest").alias("node")), edges, similar)
-    member = spool(components(edges), "near-components")
+    with Scratch() as scratch:
+        member = scratch.keep(spool(components(edges), "near-components"))
     grouped = told.select("__digest", "__key").join(member, F.col("__digest") == F.col("node"), "left").select("__digest", "__key", F.coalesce("root", "__digest").alias("root"))
-    stays = grouped.groupBy("root").agg(F.min(F.struct("__key", "__digest")).alias("first")).select(F.col("first.__digest").alias("__digest"), F.col("first.__key").alias("__key"))
-    nth = F.row_number().over(W.partitionBy("__digest").orderBy("__digest"))
-    return docs.withColumn("__digest", digest).join(stays, "__digest").filter(key == F.col("__key")).withColumn("__nth", nth).filter("__nth = 1").drop("__digest", "__key", "__nth")
+    return grouped.groupBy("root").agg(F.min(F.struct("__key", "__digest")).alias("first")).select(F.col("first.__digest").alias("__digest"), F.col("first.__key").alias("__key"))
