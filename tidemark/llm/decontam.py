@@ -17,8 +17,8 @@ from .tokens import combined, hashed
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 4, 6, 7), (0, 1, 2, 3, 4))
 #: Words of a window that is compared, and the part of them that must agree.
 WINDOW, AGREE, LEAST = 20, 0.8, 8
-#: The filter that all tasks get has 2^FILTER_BITS bits by the number of seeds, at most the last (32 MB), and so many probes per hash.
-FILTER_BITS, PROBES = (16, 28), 4
+#: The filter that all tasks get has 2^FILTER_BITS bits by the number of seeds, from the first (2 MB) to the last (32 MB), and so many probes per hash.
+FILTER_BITS, PROBES = (24, 28), 4
 
 SEGMENTS = "segment string, id {}, start long, tokens array<long>, hits array<struct<at:int,seed:long>>"
 
@@ -65,9 +65,9 @@ def benchmark_seeds(bench: DataFrame, *, id_col: str, text_col: str) -> tuple[Da
 
 
 def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """A Bloom filter of all seeds, in words of 64 bits. It has 16 bits a seed, so that few positions pass, up to a size that no benchmark exceeds."""
+    """A Bloom filter of all seeds, in words of 64 bits. It has 64 bits a seed, so that hardly any other position passes, up to a size that no benchmark exceeds."""
     low, high = FILTER_BITS
-    size = min(high, max(low, (16 * seeds.count()).bit_length()))
+    size = min(high, max(low, (64 * seeds.count()).bit_length()))
 
     def run(batches):
         for batch in batches:
