@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, lines, mixing, passages, pii, secrets, simhash, toxicity, warc
+from . import decontam, exact, lines, mixing, passages, phrases, pii, secrets, simhash, toxicity, warc
 from .common import documents, fresh_dir
 
 
@@ -60,7 +60,11 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(documents(spark, sf_dir, "doc_id", "text")).withColumnsRenamed({"doc": "doc_id", "start": "start_word", "end": "end_word", "partner": "partner_id"})
 
 
-QUERIES = (op1_mix_sources, op2_toxicity, op3_simhash, op4_decontaminate, op5_line_dedup, op6_exact_dedup, op7_warc, op8_secret_scan, op9_pii, op10_repeated_passages)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.ranked(*phrases.collocations(documents(spark, sf_dir, "doc_id", "lang", "text")), 2000)
+
+
+QUERIES = (op1_mix_sources, op2_toxicity, op3_simhash, op4_decontaminate, op5_line_dedup, op6_exact_dedup, op7_warc, op8_secret_scan, op9_pii, op10_repeated_passages, op11_collocations)
 
 
 def queries():

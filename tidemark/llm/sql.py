@@ -75,3 +75,24 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
        sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents LEFT JOIN g USING (doc_id)
 """
+
+OP11 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+             unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+g AS (SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i:i + size - 1], ' '))) AS phrase
+      FROM w, range(1, 5) AS s(size)),
+f AS (SELECT lang, phrase, size, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE size > 1 AND a >= 30),
+k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+x AS (SELECT k.lang, k.phrase, k.a, k.k, h.a AS l, t.a AS r, ((2000000::HUGEINT * k.a) // (h.a + t.a))::BIGINT AS score
+      FROM k JOIN f h ON h.lang = k.lang AND h.phrase = array_to_string(words[1:k], ' ') JOIN f t ON t.lang = k.lang AND t.phrase = array_to_string(words[k + 1:], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM x),
+i AS (SELECT lang, array_to_string(words[s:s + m - 1], ' ') AS phrase, max(a) AS longer FROM c, range(2, 4) AS sizes(m), range(1, 4) AS starts(s)
+      WHERE m < size AND s + m - 1 <= size GROUP BY ALL),
+r AS (SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+      FROM b LEFT JOIN i USING (lang, phrase) WHERE place = 1 AND coalesce(longer * 100 < a * 80, true))
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN n USING (lang) WHERE rank <= 2000
+"""
