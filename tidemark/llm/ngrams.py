@@ -14,7 +14,7 @@ from .tokens import mixed
 #: Odd bases of the polynomials over bytes and over words, modulo 2^64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 #: Bytes of text that are worked on at once.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 #: Words that a block takes over from the one before, so that n-grams across the cut are whole.
 CARRY = 3
 
@@ -39,11 +39,16 @@ class Block(NamedTuple):
         return self.text[self.starts[k] : self.ends[k]].tobytes()
 
 
-@functools.cache
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of base and of its inverse modulo 2^64."""
-    grown = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]), dtype=np.uint64)
-    return grown(base), grown(pow(base, -1, 1 << 64))
+    """The first powers of base and of its inverse modulo 2^64, size or more."""
+    if base not in _powers or len(_powers[base][0]) < size:
+        size = -(-size // 65536) * 65536
+        grown = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]), dtype=np.uint64)
+        _powers[base] = grown(base), grown(pow(base, -1, 1 << 64))
+    return _powers[base]
 
 
 @functools.cache
@@ -97,7 +102,7 @@ def blocks(column: pa.Array, blanks: np.ndarray, breaks: np.ndarray | None = Non
         rows = np.searchsorted(offsets, starts + at, "right") - 1
         parted = np.searchsorted(np.flatnonzero(breaks[text]), starts) if breaks is not None else np.zeros(len(starts), np.int64)
         pieces = piece + parted + rows
-        up, down = powers(BYTE_BASE, 1 << max(12, (max(len(text), 1) - 1).bit_length()))
+        up, down = powers(BYTE_BASE, len(text) + 1)
         sums = np.zeros(len(text) + 1, np.uint64)
         np.cumsum(values[text] * up[: len(text)], out=sums[1:])
         hashes = mixed((sums[ends] - sums[starts]) * down[starts])
@@ -122,7 +127,7 @@ def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.
     same = np.ones(len(sizes), bool)
     order = np.argsort(sizes, kind="stable")
     lengths, firsts = np.unique(sizes[order], return_index=True)
-    for n, part in zip(lengths.tolist(), np.split(order, firsts[1:]), strict=True):
+    for n, part in zip(lengths.tolist(), np.split(order, firsts[1:]), strict=False):  # without words there is no length
         for some in np.array_split(part, max(1, len(part) * n >> 24)) if n else ():
             if n < 4096:
                 step = np.arange(n)
@@ -151,7 +156,7 @@ def identify(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprints(hashes: np.ndarray, n: int) -> np.ndarray:
     """For each position the fingerprint of the n words from there, as far as they fit: a difference of two prefix sums."""
-    up, down = powers(WORD_BASE, 1 << max(12, len(hashes).bit_length()))
+    up, down = powers(WORD_BASE, len(hashes) + 1)
     sums = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
     m = max(0, len(hashes) - n + 1)

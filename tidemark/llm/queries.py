@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, lines, mixing, passages, phrases, pii, secrets, simhash, toxicity, warc
+from . import decontam, exact, infill, lines, lm, mixing, passages, phrases, pii, secrets, simhash, toxicity, warc
 from .common import documents, fresh_dir
 
 
@@ -64,7 +64,18 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.ranked(*phrases.collocations(documents(spark, sf_dir, "doc_id", "lang", "text")), 2000)
 
 
-QUERIES = (op1_mix_sources, op2_toxicity, op3_simhash, op4_decontaminate, op5_line_dedup, op6_exact_dedup, op7_warc, op8_secret_scan, op9_pii, op10_repeated_passages, op11_collocations)
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = lm.train(docs.filter(~lm.held_out()))
+    scored = lm.score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", lm.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.fill_in_middle(infill.store(documents(spark, sf_dir, "doc_id", "text")), output=False).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = (op1_mix_sources, op2_toxicity, op3_simhash, op4_decontaminate, op5_line_dedup, op6_exact_dedup, op7_warc, op8_secret_scan, op9_pii, op10_repeated_passages, op11_collocations, op12_lm_score, op13_fill_in_middle)
 
 
 def queries():
