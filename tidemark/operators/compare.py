@@ -12,8 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.guards import ratio, root, weighted_mean
-from ..functions.quantiles import quantiles
-from .pairing import clip
+from ..functions.positions import positions
+from ..functions.quantiles import clipped_median, quantiles
+from ..sources.scratch import spooled
 
 #: What distributions of these metrics are cut at from below.
 FLOORS = {"KGE": -1.0, "KGESS": -1.0, "NSE": -1.0, "MFM": 0.0}
@@ -28,9 +29,10 @@ def heat_map(field: DataFrame, rows: Sequence[str], sims: Sequence[str], *, valu
 def parallel(field: DataFrame, keys: Sequence[str], scores: Sequence[str], *, weight: str = "w") -> DataFrame:
     """(keys, name, value) of field(keys, name, value, w): scores by weighted mean, metrics by the median of the middle 90 %."""
     is_score = F.col("name").isin(*scores)
+    field = spooled(field.select(*keys, "name", "value", weight), "field")
     means = field.filter(is_score).groupBy(*keys, "name").agg(weighted_mean("value", weight).alias("value"))
     by = [*keys, "name"]
-    medians = quantiles(clip(field.filter(~is_score), by), by, "value", (0.5,)).select(*by, F.col("q")[0].alias("value"))
+    medians = clipped_median(field.filter(~is_score), by, "value").select(*by, F.col("median").alias("value"))
     return means.unionByName(medians).filter("value IS NOT NULL")
 
 
@@ -180,7 +182,6 @@ def by_class(field: DataFrame, mask: DataFrame, keys: Sequence[str], scores: Seq
     differ in the mask alone.
     """
     classed = field.join(mask, cell)
-    both = classed.unionByName(classed.withColumn("class_id", F.lit(None).cast(mask.schema["class_id"].dataType)))
-    label = F.coalesce(F.col("class_id"), F.lit(-1)).alias("class_id")
-    got = parallel(both.withColumn("class_id", label), [*keys, "class_id"], scores, weight=weight)
+    both = classed.withColumn("class_id", F.explode(F.array("class_id", F.lit(-1).cast(mask.schema["class_id"].dataType))))
+    got = parallel(both, [*keys, "class_id"], scores, weight=weight)
     return got.withColumn("class_id", F.when(F.col("class_id") >= 0, F.col("class_id")))

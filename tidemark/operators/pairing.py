@@ -43,14 +43,36 @@ def pair_stations(sims: DataFrame, refs: DataFrame, normalised: str, *, station:
     return exact.unionByName(again.select(exact.columns))
 
 
-def unified_mask(sims: DataFrame, refs: DataFrame, on: Sequence[str] = ("variable", "cell", "time"), *, value: str = "value") -> DataFrame:
-    """The refs whose place all sims of the variable have a finite value at. No order of the sims matters."""
-    valid = sims.filter(finite(value).isNotNull())
-    by = [c for c in on if c in ("variable",)]
-    many = sims.groupBy(*by).agg(F.countDistinct("source").alias("__n"))
-    full = valid.groupBy(*on).agg(F.countDistinct("source").alias("__have"))
-    full = (full.join(many, by) if by else full.crossJoin(F.broadcast(many))).filter("__have = __n").select(*on)
-    return refs.join(full, list(on), "left_semi")
+def axes(df: DataFrame, on: Sequence[str] = ("variable", "cell", "time")) -> DataFrame:
+    """(variable, source, time): the times of each source, whether or not a value stands there."""
+    return df.select(*(c for c in on if c == "variable"), "source", "time").distinct()
+
+
+def axis_findings(sims: DataFrame, refs: DataFrame, on: Sequence[str] = ("variable", "cell", "time")) -> DataFrame:
+    """(variable, source, finding) of sims whose axis is not the reference's: another length, other times, or no time in common."""
+    by = [c for c in on if c == "variable"]
+    s, r = axes(sims, on), axes(refs, on).drop("source").distinct().withColumn("__r", F.lit(1))
+    there = r.groupBy(*by).agg(F.count(F.lit(1)).alias("__want"))
+    got = s.join(r, [*by, "time"], "left").groupBy(*by, "source").agg(F.count(F.lit(1)).alias("__have"), F.count("__r").alias("__both"))
+    known = got.join(there, by) if by else got.crossJoin(F.broadcast(there))
+    finding = F.when(F.col("__both") == 0, "no time in common").when(F.col("__have") != F.col("__want"), "another length").when(F.col("__both") != F.col("__have"), "other times")
+    return known.select(*by, "source", finding.alias("finding")).filter("finding IS NOT NULL")
+
+
+def unified_mask(sims: DataFrame, refs: DataFrame, on: Sequence[str] = ("variable", "cell", "time"), *, value: str = "value", strict: bool = False) -> DataFrame:
+    """The refs at whose place no sim of the variable lacks a finite value. No order of the sims matters.
+
+    A sim has a say only at the times of its own axis: a short sim doesn't cut the others, and a time that no sim has stays. A row with
+    a NULL value is on the axis. A sim without a time in common fails the job; with strict so does any axis that isn't the reference's.
+    """
+    by = [c for c in on if c == "variable"]
+    valid = sims.filter(finite(value).isNotNull()).groupBy(*on).agg(F.countDistinct("source").alias("__have"))
+    asked = axes(sims, on).groupBy(*by, "time").agg(F.count(F.lit(1)).alias("__ask"))
+    wrong = axis_findings(sims, refs, on).filter("true" if strict else "finding = 'no time in common'")
+    said = wrong.agg(F.min(F.concat_ws(" ", "source", "finding")).alias("__wrong"))
+    kept = refs.join(asked, [*by, "time"], "left").join(valid, list(on), "left").filter(F.coalesce("__ask", F.lit(0)) == F.coalesce("__have", F.lit(0))).select(refs.columns)
+    fine = F.when(F.col("__wrong").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("axes differ: "), F.col("__wrong"))).cast("boolean"))
+    return kept.crossJoin(F.broadcast(said)).filter(fine).drop("__wrong")
 
 
 def clip(df: DataFrame, keys: Sequence[str], value: str = "value", low: float = 0.05, high: float = 0.95, least: int = 0) -> DataFrame:

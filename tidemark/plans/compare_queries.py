@@ -87,12 +87,25 @@ def j9_complete_rows(spark, sf_dir):
     return got.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("a"), 2).alias("a"), F.round(F.sum("b"), 2).alias("b"))
 
 
-@query(f"""WITH {SQL_GRID}, v AS (SELECT cell, time, count(*) AS k FROM series WHERE source <> 'R' AND NOT (source = 'A' AND month(time) = 4) AND NOT (source = 'C' AND cell = 2) GROUP BY 1, 2)
-SELECT cell, count(*) AS n, round(sum("R"), 2) AS total FROM wide JOIN v USING (cell, time) WHERE k = 3 GROUP BY 1""")
+#: Simulations with gaps and with axes of their own: C ends in 1996, B starts in 1993, A lacks the Aprils and C a cell.
+SHORT = "NOT (source = 'C' AND year(time) > 1996) AND NOT (source = 'B' AND year(time) < 1993)"
+HOLES = "(source = 'A' AND month(time) = 4) OR (source = 'C' AND cell = 2)"
+
+
+@query(f"""WITH {SQL_GRID}, s AS (SELECT source, cell, time, CASE WHEN NOT ({HOLES}) THEN value END AS value FROM series WHERE source <> 'R' AND {SHORT}),
+hit AS (SELECT w.cell, w.time FROM wide w JOIN (SELECT DISTINCT source, time FROM s) x ON x.time = w.time LEFT JOIN s ON s.source = x.source AND s.time = w.time AND s.cell = w.cell WHERE s.value IS NULL)
+SELECT cell, year(time) AS year, count(*) AS n, round(sum("R"), 2) AS total FROM wide ANTI JOIN hit USING (cell, time) GROUP BY 1, 2""")
 def m2_unified_mask(spark, sf_dir):
     sims, refs = sources(spark, sf_dir)
-    holed = sims.withColumn("value", F.when(~F.expr("(source = 'A' AND month(time) = 4) OR (source = 'C' AND cell = 2)"), F.col("value")))
-    return pairing.unified_mask(holed, refs).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    holed = sims.filter(SHORT).withColumn("value", F.when(~F.expr(HOLES), F.col("value")))
+    return pairing.unified_mask(holed, refs).groupBy("cell", F.year("time").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query(f"""WITH {SQL_GRID}, s AS (SELECT * FROM series WHERE source <> 'R' AND {SHORT}), a AS (SELECT source, list(DISTINCT time ORDER BY time) AS t FROM s GROUP BY 1), r AS (SELECT list(DISTINCT time ORDER BY time) AS t FROM wide)
+SELECT source, CASE WHEN len(list_intersect(a.t, r.t)) = 0 THEN 'no time in common' WHEN len(a.t) <> len(r.t) THEN 'another length' ELSE 'other times' END AS finding FROM a, r WHERE a.t <> r.t""")
+def m2_axis_findings(spark, sf_dir):
+    sims, refs = sources(spark, sf_dir)
+    return pairing.axis_findings(sims.filter(SHORT), refs).select("source", "finding")
 
 
 @query(f"""WITH {SQL_FIELD}, q AS (SELECT ref, sim, name, quantile_cont(value, 0.05::DOUBLE) AS a, quantile_cont(value, 0.95::DOUBLE) AS b FROM field GROUP BY 1, 2, 3)
