@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import tails
 from tidemark.functions.quantiles import quantiles
-from tidemark.operators import stats
-from tidemark.operators.compare import resampled
+from tidemark.operators import compare, stats
 
 
 def series(spark, values, keys=(1,)):
@@ -78,10 +77,57 @@ def test_quantiles_by_ranges_are_exact(spark):
         assert got[g].n == len(v) and np.allclose(got[g].q, np.quantile(v, at), rtol=1e-12)
 
 
-def test_bootstrap_weights_have_mean_and_variance_one():
-    w = resampled(np.arange(0, 3600 * 2000, 3600), 0, 500, 3)
-    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:-1].ravel(), w[1:].ravel())[0, 1]) < 0.01
-    assert (resampled(np.arange(0, 3600 * 2000, 3600), 100, 120, 3) == w[:, 100:120]).all()
+def test_replicates_draw_with_replacement(monkeypatch):
+    monkeypatch.setattr(compare, "BLOCK", 64)
+    compare.drawn.cache_clear()
+    n, reps = 1000, 400
+    w = np.concatenate([compare.drawn(7, n, k, reps, 3) for k in range(-(-n // 64))], axis=1)
+    assert w.shape == (reps, n) and (w.sum(1) == n).all()
+    # of draws with replacement each count has mean 1, variance 1 - 1/n, and two counts the covariance -1/n
+    assert abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:-1].ravel(), w[1:].ravel())[0, 1]) < 0.01 and abs((w.sum(0) / reps).std() - (1 / reps) ** 0.5) < 0.005
+    halves = w[:, :512].sum(1)
+    assert abs(halves.mean() - 512) < 4 and abs(halves.var() - n * 0.512 * 0.488) < 60
+    assert (compare.drawn(7, n, 3, reps, 3) == w[:, 192:256]).all() and (compare.drawn(8, n, 3, reps, 3) != w[:, 192:256]).any()
+    compare.drawn.cache_clear()
+
+
+def index_of(s, o, w):
+    n = w.sum()
+    m = (w * o).sum() / n
+    var = (w * (o - m) ** 2).sum() / (n - 1)
+    return ((w * s).sum() / n - m) ** 2 / var
+
+
+def test_bootstraps_match_plain_ones_from_the_same_draws(spark, monkeypatch):
+    # one block here, as tasks of the session don't see the patch
+    rng = np.random.default_rng(0)
+    data = {c: (rng.normal(1 + c, 1, 60), rng.normal(0, 1 + c, 60)) for c in range(4)}
+    rows = [("R", "A", c, 1.0 + c, datetime(2000 + t // 12, t % 12 + 1, 1), float(s[t]), float(o[t])) for c, (s, o) in data.items() for t in range(60 if c else 50)]
+    df = spark.createDataFrame(rows, "ref string, sim string, cell int, w double, time timestamp_ntz, s double, o double")
+    got = [compare.smpi_bootstrap(df.repartition(n), ["ref", "sim"], "cell", replicates=50).first() for n in (1, 4)]
+    draws = compare.drawn(0, 60, 0, 50, 0)
+    x = [sum((1.0 + c) * index_of(s[: 60 if c else 50], o[: 60 if c else 50], draws[b][: 60 if c else 50]) for c, (s, o) in data.items()) / 10 for b in range(50)]
+    for r in got:
+        assert (r.low, r.high) == pytest.approx(np.quantile(x, (0.05, 0.95)).tolist()) and r.low < r.value < r.high
+    own = compare.smpi_stations(df.withColumnRenamed("cell", "station_id"), ["ref", "sim"], replicates=50).first()
+    unit = {r.cell: r.u for r in df.select("cell", F.xxhash64(F.col("ref"), F.col("sim"), F.col("cell").cast("string"), F.lit(0)).alias("u")).distinct().collect()}
+    bounds = []
+    for c, (s, o) in data.items():
+        n = 60 if c else 50
+        draws = compare.drawn(unit[c], n, 0, 50, 0)
+        bounds.append(np.quantile([index_of(s[:n], o[:n], draws[b]) for b in range(50)], (0.05, 0.95)))
+    assert (own.low, own.high) == pytest.approx(np.mean(bounds, axis=0).tolist())
+
+
+def test_a_long_series_is_resampled_by_blocks(spark):
+    rng = np.random.default_rng(1)
+    n = 3 * compare.BLOCK + 100
+    s, o = rng.normal(1, 1, n), rng.normal(0, 1, n)
+    df = spark.createDataFrame([("R", "A", 1, k, float(s[k]), float(o[k])) for k in range(n)], "ref string, sim string, station_id int, time int, s double, o double").repartition(5)
+    got = compare.smpi_stations(df, ["ref", "sim"], replicates=20).first()
+    unit = df.select(F.xxhash64(F.lit("R"), F.lit("A"), F.lit("1"), F.lit(0))).first()[0]
+    draws = np.concatenate([compare.drawn(unit, n, k, 20, 0) for k in range(4)], axis=1)
+    assert (got.low, got.high) == pytest.approx(np.quantile([index_of(s, o, d) for d in draws], (0.05, 0.95)).tolist())
 
 
 def test_windows(spark):
@@ -116,3 +162,21 @@ def test_regressions(spark):
     assert one.predictor == "a" and one.p < 1e-6
     two = {r.term: r for r in stats.anova_two_way(df, ["cell"], "y", ["a", "b"]).collect()}
     assert set(two) == {"a", "b", "a:b", "residual"} and two["a"].p < 1e-6 and two["residual"].p is None
+
+
+def test_regression_of_parts_by_degrees_of_freedom(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 2))
+    y = x @ [1.5, -0.5] + rng.normal(0, 0.3, 40)
+    k, b, _, p, r2 = stats._pls_of(y, x, 1, 5)
+    u, v = (x - x.mean(0)) / x.std(0), (y - y.mean()) / y.std()
+    w = u.T @ v / np.linalg.norm(u.T @ v)
+    t = u @ w
+    plain = w * (t @ v) / (t @ t)
+    left = v - u @ plain
+    spread = np.sqrt(np.diag(np.linalg.inv(u.T @ u)) * (left @ left) / (40 - 1 - 1))
+    assert k == 1 and b == pytest.approx(plain) and p == pytest.approx([tails.t_two_sided(c / s, 38) for c, s in zip(plain, spread, strict=True)]) and r2 == pytest.approx(1 - left @ left / 40)
+    rows = [(c, i, float(y[i]), float(x[i, 0]), 2.0 if c == 1 else float(x[i, 1])) for c, n in ((0, 40), (1, 40), (2, 3)) for i in range(n)]
+    got = stats.partial_least_squares(spark.createDataFrame(rows, "cell int, time int, y double, a double, b double"), ["cell"], "y", ["a", "b"]).collect()
+    assert all(r.coefficient is None and r.components is None and r.p is None for r in got if r.cell == 1) and sum(r.cell == 1 for r in got) == 2
+    assert all(r.coefficient is not None for r in got if r.cell != 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -101,63 +101,97 @@ def between_sims(series: DataFrame, on: Sequence[str], keys: Sequence[str], valu
     return both.groupBy(*keys, "sim_a", "sim_b").agg(ratio(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"))
 
 
-#: Weights that a task holds at once.
-BLOCK = 1 << 22
+#: Times of a block of a series, and replicates that are drawn at once.
+BLOCK, AT_ONCE = 4096, 250
 
 
-def _poisson_table() -> np.ndarray:
-    """The value of the Poisson distribution of mean 1 for each of 65536 equally likely draws."""
-    below = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(20)])
-    return np.searchsorted(below, (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float64)
+def _generator(*seed: int) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence([s & 0xFFFFFFFFFFFFFFFF for s in seed])))
 
 
-def resampled(t: np.ndarray, first: int, end: int, seed: int) -> np.ndarray:
-    """The weight of each time in the replicates first ... end - 1."""
-    x = t.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(first, end, dtype=np.uint64) + np.uint64(seed << 32))[None, :] * np.uint64(0xC2B2AE3D27D4EB4F)
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0x94D049BB133111EB)
-    return _poisson_table()[x >> np.uint64(48)]
+@functools.lru_cache(64)
+def drawn(unit: int, n: int, block: int, replicates: int, seed: int) -> np.ndarray:
+    """How often each time of a block of a series of n times is drawn, one row per replicate; over all blocks a replicate draws n times with replacement.
+
+    A replicate's draws are dealt to the two halves of the series by a binomial draw, and so on down to the block, where they are
+    dealt to its times. Every number comes from the seed, the series and the part alone, so tasks agree without a common table.
+    """
+    first, end, count = 0, -(-n // BLOCK), np.full(replicates, n, np.int64)
+    times = lambda k: min(n, k * BLOCK)
+    while end - first > 1:
+        middle = (first + end + 1) // 2
+        left = _generator(seed, unit, first, end).binomial(count, (times(middle) - times(first)) / (times(end) - times(first)))
+        first, end, count = (first, middle, left) if block < middle else (middle, end, count - left)
+    size = times(block + 1) - times(block)
+    rng = _generator(seed, unit, block, end, 1)
+    return np.concatenate([rng.multinomial(count[k : k + AT_ONCE], np.full(size, 1 / size)) for k in range(0, replicates, AT_ONCE)]).astype(np.int32)
+
+
+def _replicates(pairs: DataFrame, field: Sequence[str], cell: str, weight: str, time: str, own_axis: bool, replicates: int, seed: int) -> DataFrame:
+    """(field, cell, weight, b, x): (mean s - mean o)^2 / var1(o) of each cell in each replicate; NULL where that variance is 0.
+
+    With own_axis every cell draws from its own times, else all cells of a field draw the same times of the field's axis. Cells are worked on by blocks of times,
+    so no task holds a long series, and the blocks' sums are added up.
+    """
+    pairs = pairs.dropna(subset=["s", "o"]).select(*field, cell, weight, F.col(time).alias("__t"), "s", "o")
+    if own_axis:
+        placed = positions(pairs, [*field, cell], ["__t"], position="__p", total="__n")
+    else:
+        axis = spooled(positions(pairs.select(*field, "__t").distinct(), list(field), ["__t"], position="__p", total="__n"), "axis")
+        placed = pairs.join(axis, [*field, "__t"])
+    unit = F.xxhash64(*(F.col(c).cast("string") for c in ([*field, cell] if own_axis else ())), F.lit(0)) if own_axis else F.lit(0).cast("long")
+    by = [*field, cell, weight]
+    middle = pairs.groupBy(*field, cell).agg(F.avg("o").alias("__m"))
+    blocks = placed.join(middle, [*field, cell]).withColumns({"__block": F.floor(F.col("__p") / BLOCK).cast("long"), "__unit": unit}).groupBy(*by, "__unit", "__n", "__block").agg(
+        F.collect_list(F.struct((F.col("__p") % BLOCK).cast("int").alias("p"), (F.col("s") - F.col("__m")).alias("s"), (F.col("o") - F.col("__m")).alias("o"))).alias("__rows")
+    )
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.select(*by).schema.fields)
+
+    def run(batches):
+        for batch in batches:
+            columns = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            for r in range(batch.num_rows):
+                rows = columns["__rows"][r].values
+                p, s, o = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                times = drawn(columns["__unit"][r].as_py(), columns["__n"][r].as_py(), columns["__block"][r].as_py(), replicates, seed)[:, p]
+                sums = [times.sum(1).astype(float), times @ s, times @ o, times @ (o * o)]
+                same = [pa.array([columns[n][r].as_py()] * replicates, columns[n].type) for n in by]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(replicates)), *map(pa.array, sums)], names=[*by, "b", "n", "ss", "so", "oo"])
+
+    parts = blocks.mapInArrow(run, f"{names}, b long, n double, ss double, so double, oo double")
+    whole = parts.groupBy(*by, "b").agg(*(F.sum(c).alias(c) for c in ("n", "ss", "so", "oo")))
+    n, so = F.col("n"), F.col("so")
+    left = F.col("oo") - so * so / n
+    var = F.when((n > 1) & (left > 1e-12 * F.col("oo")), left / (n - 1))
+    return whole.select(*by, "b", F.when(n > 0, ratio(F.pow((F.col("ss") - so) / n, 2), var)).alias("x"))
+
+
+def _points(pairs: DataFrame, field: Sequence[str], cell: str, weight: str) -> DataFrame:
+    got = pairs.dropna(subset=["s", "o"]).groupBy(*field, cell, weight).agg(F.avg("o").alias("om"), F.var_samp("o").alias("v"), F.avg("s").alias("sm"))
+    return got.select(*field, cell, weight, F.when(F.col("v") != 0, ratio(F.pow(F.col("sm") - F.col("om"), 2), F.col("v"))).alias("x"))
 
 
 def smpi_bootstrap(pairs: DataFrame, field: Sequence[str], cell: str, *, replicates: int = 1000, seed: int = 0, weight: str = "w", time: str = "time", levels: Sequence[float] = (0.05, 0.95)) -> DataFrame:
     """(field, value, low, high): the weighted mean over cells of (mean s - mean o)^2 / var1(o), and its bootstrap over time.
 
-    Instead of drawing n times with replacement, each time gets a weight from the Poisson distribution of mean 1, which comes to the same for many times.
-    All cells are resampled alike: a replicate's weight of a time is a hash of seed, time and replicate, so tasks need
-    no common table and hold one block of replicates of one cell. Cells give partial sums per replicate; only those are shuffled.
+    A replicate draws as many times as the axis has, with replacement, and all cells take the same ones; means and variance are those of the drawn times.
     """
-    cells = pairs.groupBy(*field, cell, weight).agg(F.avg("o").alias("om"), F.var_samp("o").alias("v"), F.avg("s").alias("sm"), F.sort_array(F.collect_list(F.struct(F.col(time).cast("timestamp").cast("long").alias("t"), (F.col("s") - F.col("o")).alias("d")))).alias("series")).filter("v > 0")
-    point = F.pow(F.col("sm") - F.col("om"), 2) / F.col("v")
-    value = cells.groupBy(*field).agg(weighted_mean(point, weight).alias("value"))
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*field).schema.fields)
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for *key, w, v, series in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
-                t, d = np.array([p["t"] for p in series], np.int64), np.array([p["d"] for p in series])
-                size = max(1, BLOCK // len(t))
-                drawn = [(times.sum(0), d @ times) for b in range(0, replicates, size) for times in (resampled(t, b, min(replicates, b + size), seed),)]
-                n, total = (np.concatenate(x) for x in zip(*drawn, strict=True))
-                mean = np.divide(total, n, out=np.zeros(replicates), where=n > 0)
-                rows.append((*key, np.where(n > 0, w * mean**2 / v, 0.0), np.where(n > 0, w, 0.0)))
-            sums: dict[tuple, list] = {}
-            for *key, num, den in rows:
-                held = sums.setdefault(tuple(key), [np.zeros(replicates), np.zeros(replicates)])
-                held[0] += num
-                held[1] += den
-            out = [(*key, b, float(num[b]), float(den[b])) for key, (num, den) in sums.items() for b in range(replicates)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=[*field, "b", "num", "den"])
-
-    parts = cells.select(*field, weight, "v", "series").mapInArrow(run, f"{names}, b long, num double, den double")
-    each = parts.groupBy(*field, "b").agg(ratio(F.sum("num"), F.sum("den")).alias("x"))
+    value = _points(pairs, field, cell, weight).groupBy(*field).agg(weighted_mean("x", weight).alias("value"))
+    each = _replicates(pairs, field, cell, weight, time, False, replicates, seed).groupBy(*field, "b").agg(weighted_mean("x", weight).alias("x"))
     band = each.groupBy(*field).agg(F.percentile("x", F.array(*(F.lit(p) for p in levels))).alias("q"))
     return value.join(band, list(field)).select(*field, "value", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
+def smpi_stations(pairs: DataFrame, field: Sequence[str], station: str = "station_id", *, replicates: int = 100, seed: int = 0, time: str = "time", levels: Sequence[float] = (0.05, 0.95)) -> DataFrame:
+    """(field, value, low, high): means over stations of each one's index and of the bounds of its own bootstrap."""
+    flat = pairs.withColumn("__w", F.lit(1.0))
+    value = _points(flat, field, station, "__w")
+    each = _replicates(flat, field, station, "__w", time, True, replicates, seed)
+    band = each.groupBy(*field, station).agg(F.percentile("x", F.array(*(F.lit(p) for p in levels))).alias("q"))
+    both = value.select(*field, station, "x").join(band, [*field, station])
+    return both.groupBy(*field).agg(F.avg("x").alias("value"), F.avg(F.col("q")[0]).alias("low"), F.avg(F.col("q")[1]).alias("high"))
+
+
 def score_choices(table: DataFrame, items: Sequence[str], sims: Sequence[str], *, limit: int = 100) -> DataFrame:
     """(choice, sim, one column per item) of table(item, ref, sim, value): every choice of one reference per item, up to limit choices."""
     names = [f"ref_{i}" for i in items]

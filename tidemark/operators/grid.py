@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -119,19 +118,25 @@ def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     return y[k] + t * (s[k] + t * ((3 * d[k] - 2 * s[k] - s[k + 1]) / step + t * (s[k] + s[k + 1] - 2 * d[k]) / step**2))
 
 
-def cubic_axis(df: DataFrame, points: Sequence[float], others: Sequence[str], name: str, *, value: str = "value") -> DataFrame:
-    """Values at points along one axis by a cubic spline per line of the grid; lines with a gap give NULL. Once per axis regrids a grid."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*others).schema.fields)
-    at = np.array(sorted(points), dtype=float)
+def cubic_matrix(x: Sequence[float], at: Sequence[float]) -> np.ndarray:
+    """What each point of the axis x counts for at each point of at: a spline through values is linear in them. One row per point of at."""
+    x = np.asarray(x, dtype=float)
+    return np.stack([cubic_spline(x, unit, np.asarray(at, dtype=float)) for unit in np.eye(len(x))], axis=1)
+
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(name)
-        x, y = pdf[name].to_numpy(float), pdf[value].to_numpy(float)
-        inside = at[(at >= x[0]) & (at <= x[-1])]
-        got = cubic_spline(x, y, inside) if np.isfinite(y).all() and len(x) > 1 else np.full(len(inside), np.nan)
-        return pd.DataFrame([[*key, a, v] for a, v in zip(inside, got, strict=True)], columns=[*others, name, value])
+def cubic_axis(df: DataFrame, points: Sequence[float], others: Sequence[str], name: str, *, value: str = "value") -> DataFrame:
+    """(others, name, value) at points along one axis by a cubic spline per line of the grid; lines with a gap give NULL, points off the axis no row.
 
-    return df.select(*others, name, value).groupBy(*others).applyInPandas(run, f"{fields}, {name} double, {value} double").withColumn(value, F.when(~F.isnan(value), F.col(value)))
+    The weights of the axis, which is short, are solved for once; each line, no longer than the axis, is multiplied with them in the JVM. Once per axis regrids a grid.
+    """
+    x = sorted(r[0] for r in df.select(F.col(name).cast("double")).distinct().dropna().collect())
+    at = [float(p) for p in sorted(points) if x and x[0] <= p <= x[-1]]
+    weights = cubic_matrix(x, at).tolist() if len(x) > 1 else [[float("nan")] * len(x) for _ in at]
+    table = F.array(*(F.struct(F.lit(p).alias("at"), F.array(*map(F.lit, w)).alias("w")) for p, w in zip(at, weights, strict=True))) if at else F.array().cast("array<struct<at:double,w:array<double>>>")
+    line = F.transform(F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(name).cast("double").alias("x"), F.col(value).cast("double").alias("v"))))), lambda p: p["v"])
+    lines = df.groupBy(*others).agg(line.alias("__line")).withColumn("__w", F.explode(table))
+    dot = F.aggregate(F.zip_with("__line", "__w.w", lambda v, w: v * w), F.lit(0.0), lambda a, b: a + b)
+    return lines.select(*others, F.col("__w.at").alias(name), F.when((F.size("__line") == len(x)) & (len(x) > 1), dot).alias(value))
 
 
 def zonal(df: DataFrame, step: float, others: Sequence[str], statistic: str, *, skip_missing: bool = True, low: tuple[float, float] = (-90.0, -180.0), value: str = "value") -> DataFrame:
@@ -154,6 +159,73 @@ def most_common(df: DataFrame, by: Sequence[str], classes: Sequence[int], *, lea
     return counts.groupBy(*by).agg(F.min(F.struct(order.alias("o"), F.col(value).alias("v")))["v"].alias(value))
 
 
+def _side(p: Column, q: Column, r: Column) -> Column:
+    """Twice the signed area of a triangle: positive if r lies to the left of the way from p to q."""
+    return (q["lon"] - p["lon"]) * (r["lat"] - p["lat"]) - (q["lat"] - p["lat"]) * (r["lon"] - p["lon"])
+
+
+def _in_circle(p: Column, q: Column, r: Column, s: Column) -> Column:
+    """Whether s lies within the circle through p, q and r."""
+    row = lambda x: (x["lon"] - s["lon"], x["lat"] - s["lat"])
+    (ax, ay), (bx, by), (cx, cy) = row(p), row(q), row(r)
+    det = (ax * ax + ay * ay) * (bx * cy - cx * by) - (bx * bx + by * by) * (ax * cy - cx * ay) + (cx * cx + cy * cy) * (ax * by - bx * ay)
+    return det * F.signum(_side(p, q, r)) > 0
+
+
+def mesh_triangles(mesh: DataFrame) -> DataFrame:
+    """(qi, qj, k, a, b, c): the triangles of a curvilinear grid mesh(i, j, lat, lon), corners as (i, j, lat, lon).
+
+    Each point goes to the four cells that it is a corner of, so one exchange gathers the corners. A cell is cut along the diagonal that lies inside it, and if both
+    do along the one whose triangles' circles hold no fourth corner. With one corner missing a cell is one triangle; points without coordinates are missing.
+    """
+    at = lambda di, dj: F.struct((F.col("i") - di).alias("qi"), (F.col("j") - dj).alias("qj"), F.lit(2 * di + dj).alias("corner"))
+    point = F.struct("i", "j", "lat", "lon")
+    placed = mesh.filter("lat IS NOT NULL AND lon IS NOT NULL").select(F.explode(F.array(at(0, 0), at(0, 1), at(1, 0), at(1, 1))).alias("at"), point.alias("p")).select("at.*", "p")
+    corners = placed.groupBy("qi", "qj").agg(*(F.max(F.when(F.col("corner") == k, F.col("p"))).alias(f"p{k}") for k in range(4)))
+    a, b, c, d = (F.col(f"p{k}") for k in range(4))  # b and c lie between a and d
+    tri = lambda k, x, y, z: F.struct(F.lit(k).alias("k"), x.alias("a"), y.alias("b"), z.alias("c"))
+    across, along = _side(b, c, a) * _side(b, c, d) < 0, _side(a, d, b) * _side(a, d, c) < 0
+    turned = along & (~across | _in_circle(a, b, c, d))
+    whole = F.when(turned, F.array(tri(0, a, b, d), tri(1, a, d, c))).otherwise(F.array(tri(0, a, b, c), tri(1, d, c, b)))
+    three = F.when(a.isNull(), F.array(tri(0, d, c, b))).when(b.isNull(), F.array(tri(0, a, d, c))).when(c.isNull(), F.array(tri(0, a, b, d))).otherwise(F.array(tri(0, a, b, c)))
+    there = sum(p.isNotNull().cast("int") for p in (a, b, c, d))
+    cut = corners.filter(there >= 3).select("qi", "qj", F.explode(F.when(there == 4, whole).otherwise(three)).alias("t")).select("qi", "qj", "t.*")
+    return cut.filter(_side(F.col("a"), F.col("b"), F.col("c")) != 0)
+
+
+def mesh_weights(triangles: DataFrame, step: float, origin: tuple[float, float] | None = None) -> DataFrame:
+    """(i, j, i_lat, i_lon, w): what each mesh point counts for at the points origin + step * (i_lat, i_lon), that lie in a triangle.
+
+    A triangle meets only the target points in its own bounding box, so points are located without a product of grids; their number follows the area. A
+    point on a shared edge takes the first triangle, which gives the same value. The origin is the mesh's lowest latitude and longitude, from where targets reach up.
+    """
+    corner = [F.col(c) for c in "abc"]
+    if origin is None:
+        low = triangles.agg(*(F.min(F.least(*(c[n] for c in corner))).alias(f"o_{n}") for n in ("lat", "lon")))
+        placed = triangles.crossJoin(F.broadcast(low))
+    else:
+        placed = triangles.withColumns({"o_lat": F.lit(float(origin[0])), "o_lon": F.lit(float(origin[1]))})
+    box = {}
+    for n in ("lat", "lon"):
+        ends = [(f(*(c[n] for c in corner)) - F.col(f"o_{n}")) / step for f in (F.least, F.greatest)]
+        box |= {f"lo_{n}": F.greatest(F.ceil(ends[0] - 1e-9), F.lit(0)).cast("int"), f"hi_{n}": F.floor(ends[1] + 1e-9).cast("int")}
+    touched = placed.withColumns(box).filter("lo_lat <= hi_lat AND lo_lon <= hi_lon").withColumn("i_lat", F.explode(F.sequence("lo_lat", "hi_lat"))).withColumn("i_lon", F.explode(F.sequence("lo_lon", "hi_lon")))
+    at = F.struct((F.col("o_lat") + F.col("i_lat") * step).alias("lat"), (F.col("o_lon") + F.col("i_lon") * step).alias("lon"))
+    a, b, c = corner
+    parts = [_side(b, c, at) / _side(a, b, c), _side(c, a, at) / _side(a, b, c), _side(a, b, at) / _side(a, b, c)]
+    point = lambda p, w: F.struct(p["i"].alias("i"), p["j"].alias("j"), F.greatest(w, F.lit(0.0)).alias("w"))
+    inside = touched.filter(F.least(*parts) >= -1e-9).select("i_lat", "i_lon", F.struct("qi", "qj", "k", F.array(*(point(p, w) for p, w in zip(corner, parts, strict=True))).alias("points")).alias("t"))
+    first = inside.groupBy("i_lat", "i_lon").agg(F.min_by("t", F.struct("t.qi", "t.qj", "t.k")).alias("t"))
+    return first.select("i_lat", "i_lon", F.explode("t.points").alias("p")).select("p.i", "p.j", "i_lat", "i_lon", "p.w").filter("w > 0")
+
+
+def on_mesh(df: DataFrame, weights: DataFrame, others: Sequence[str], *, value: str = "value") -> DataFrame:
+    """(i_lat, i_lon, others, value): linear interpolation of df(i, j, others, value) by mesh weights. NULL if a corner that counts is missing; no row outside the mesh."""
+    w = F.col("w")
+    got = df.join(weights, ["i", "j"]).groupBy("i_lat", "i_lon", *others).agg(F.sum(w * F.col(value)).alias("v"), F.sum(F.when(F.col(value).isNotNull(), w)).alias("n"))
+    return got.select("i_lat", "i_lon", *others, F.when(F.col("n") >= 1 - 1e-9, F.col("v") / F.col("n")).alias(value))
+
+
 def at_stations(df: DataFrame, stations: DataFrame, lats: DataFrame, lons: DataFrame, resolution: float, *, key: str = "station_id", tolerance: float | None = None) -> DataFrame:
     """(station, rest of df): the values of the cell nearest to each station, by axis. Stations farther than the tolerance have no row."""
     limit = resolution / 2 if tolerance is None else tolerance

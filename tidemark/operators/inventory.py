@@ -12,21 +12,43 @@ from pyspark.sql import functions as F
 RANK = {"year": 0, "month": 1, "8day": 2, "week": 2, "day": 3, "6hour": 4, "3hour": 5, "hour": 6, "30min": 7}
 
 
+#: The years, months and days of a date in a file name, with or without a mark between. A single v or r before makes it a version.
+DATE = r"(?<![0-9])(?<!(?<![\p{L}\p{N}])[vVrR])((?:19|20)[0-9]{2}(?:[-_/]?(?:0[1-9]|1[0-2])(?:[-_/]?(?:0[1-9]|[12][0-9]|3[01]))?)?)(?![0-9])"
+#: Granularities of a date, the finest last.
+FINENESS = {"year": 1, "month": 2, "day": 3}
+
+
+def stem(path: str | Column) -> Column:
+    """The file's name without its last suffix."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"(?<=.)\.[^.]*$", "")
+
+
 def date_token(path: str | Column) -> tuple[Column, Column]:
-    """(token, granularity) of the last date in a file name: yyyymmdd, yyyymm or yyyy from 1800 to 2199; versions such as v2010 don't count."""
-    name = F.regexp_extract(path, r"([^/]+)$", 1)
-    tokens = F.regexp_extract_all(name, F.lit(r"(?<![0-9vV.])((?:18|19|20|21)[0-9]{2}(?:[-_]?(?:0[1-9]|1[0-2])(?:[-_]?(?:0[1-9]|[12][0-9]|3[01]))?)?)(?![0-9])"), F.lit(1))
-    token = F.regexp_replace(F.get(tokens, F.size(tokens) - 1), "[-_]", "")
-    return token, F.when(F.length(token) == 8, "day").when(F.length(token) == 6, "month").when(F.length(token) == 4, "year")
+    """(token, granularity) of the date that a file name is told by: of the finest dates in it the last one.
+
+    A year that is one end of a span such as 2001-2010 counts only if there is no other. Versions such as v2010 or _r2050 are no dates.
+    """
+    name = stem(path)
+    spans = F.regexp_replace(name, r"(?<![0-9])((?:19|20)[0-9]{2})[-_](?=(?:19|20)[0-9]{2}(?![0-9]))", "$1\u0001")  # marks the years of a span
+    fine = lambda t: F.length(F.regexp_replace(t, "[^0-9]", ""))
+    tokens = F.regexp_extract_all(name, F.lit(DATE), F.lit(1))
+    apart = F.regexp_extract_all(F.regexp_replace(spans, r"(?:19|20)[0-9]{2}\u0001((?:19|20)[0-9]{2}\u0001)*(?:19|20)[0-9]{2}", "\u0001"), F.lit(DATE), F.lit(1))
+    finest = F.array_max(F.transform(tokens, fine))
+    of = lambda some: F.filter(some, lambda t: fine(t) == finest)
+    own = F.when((finest == 4) & (F.size(of(apart)) > 0), of(apart)).otherwise(of(tokens))
+    token = F.regexp_replace(F.get(own, F.size(own) - 1), "[-_/]", "")
+    return token, F.when(finest == 8, "day").when(finest == 6, "month").when(finest == 4, "year")
 
 
 def files(paths: DataFrame, path: str = "path") -> DataFrame:
-    """(folder, granularity, first_year, last_year, files, dated): per folder the commonest granularity and the span."""
+    """(folder, granularity, first_year, last_year, files, dated): per folder the commonest granularity, the finer of equals, and the span; a folder of one file is single."""
     token, kind = date_token(path)
     each = paths.select(F.regexp_extract(path, r"^(.*)/[^/]+$", 1).alias("folder"), kind.alias("granularity"), F.substring(token, 1, 4).cast("int").alias("year"))
     counts = each.groupBy("folder", "granularity").agg(F.count(F.lit(1)).alias("n"), F.min("year").alias("a"), F.max("year").alias("b"))
-    common = F.max(F.when(F.col("granularity").isNotNull(), F.struct("n", "granularity")))["granularity"]
-    return counts.groupBy("folder").agg(common.alias("granularity"), F.min("a").alias("first_year"), F.max("b").alias("last_year"), F.sum("n").alias("files"), F.sum(F.when(F.col("granularity").isNotNull(), F.col("n")).otherwise(0)).alias("dated"))
+    rank = F.create_map(*(F.lit(x) for kv in FINENESS.items() for x in kv))[F.col("granularity")]
+    common = F.max(F.when(F.col("granularity").isNotNull(), F.struct(F.col("n"), rank.alias("rank"), F.col("granularity"))))["granularity"]
+    got = counts.groupBy("folder").agg(common.alias("granularity"), F.min("a").alias("first_year"), F.max("b").alias("last_year"), F.sum("n").alias("files"), F.sum(F.when(F.col("granularity").isNotNull(), F.col("n")).otherwise(0)).alias("dated"))
+    return got.withColumn("granularity", F.when(F.col("files") == 1, "single").otherwise(F.coalesce("granularity", F.lit("year"))))
 
 
 def station_id(path: str | Column) -> Column:
@@ -41,10 +63,14 @@ def stations(series: DataFrame, key: str = "station_id", time: str = "time", val
 
 
 def signatures(inputs: DataFrame, keys: Sequence[str], config: str, version: str) -> DataFrame:
-    """(keys, hash): a digest of configuration, code version and the sorted (path, size, modified) of a task's inputs."""
-    one = F.concat_ws("|", "path", "size", "modified")
-    listed = F.concat_ws("\n", F.lit(config), F.lit(version), F.concat_ws("\n", F.array_sort(F.collect_list(one))))
-    return inputs.groupBy(*keys).agg(F.sha2(listed, 256).alias("hash"))
+    """(keys, hash): a digest of configuration, code version and the (path, size, modified) of a task's inputs, whatever their order.
+
+    The inputs' hashes are added up under two seeds, with their number, so the digest is a partial aggregate and no task lists the files.
+    """
+    one = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in ("path", "size", "modified")))
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), one).cast("decimal(20,0)")).cast("string")
+    sums = inputs.groupBy(*keys).agg(total("a").alias("__a"), total("b").alias("__b"), F.count(F.lit(1)).alias("__n"))
+    return sums.select(*keys, F.sha2(F.concat_ws("\n", F.lit(config), F.lit(version), "__a", "__b", F.col("__n").cast("string")), 256).alias("hash"))
 
 
 def coverage(catalog: DataFrame, variable: str, first: int, last: int, resolution: str) -> DataFrame:

@@ -232,10 +232,14 @@ def pls1(x: np.ndarray, y: np.ndarray, components: int) -> np.ndarray:
     return w @ np.linalg.solve(p.T @ w, np.array(q))
 
 
-def _pls_of(y: np.ndarray, x: np.ndarray, most: int, folds: int) -> tuple[int, np.ndarray, float, np.ndarray, float]:
-    """(components, coefficients, intercept, p, R2); the number of components has the best score over folds forward in time."""
+def _pls_of(y: np.ndarray, x: np.ndarray, most: int, folds: int) -> tuple[int, np.ndarray, float, np.ndarray, float] | None:
+    """(components, coefficients, intercept, p, R2); the number of components has the best score over folds forward in time.
+
+    None for a constant predictor or series, and where values less components less 1 leave no degree of freedom.
+    """
     sx, sy = x.std(0, ddof=0), y.std()
-    sx, sy = np.where(sx > 0, sx, 1), sy or 1.0
+    if not (sx > 0).all() or not sy > 0:
+        return None
     u, v = (x - x.mean(0)) / sx, (y - y.mean()) / sy
     n, size = len(y), len(y) // (folds + 1)
 
@@ -252,14 +256,16 @@ def _pls_of(y: np.ndarray, x: np.ndarray, most: int, folds: int) -> tuple[int, n
     best = max(range(1, min(most, x.shape[1]) + 1), key=score) if size >= 2 else 1
     b = pls1(u, v, best)
     left = v - u @ b
-    rest, freedom = float((v**2).sum()), max(1, n - x.shape[1] - 1)
+    rest, freedom = float((v**2).sum()), n - best - 1
+    if freedom < 1:
+        return None
     spread = np.sqrt(np.maximum(0, np.diag(np.linalg.pinv(u.T @ u)) * (left @ left) / freedom))
     p = np.array([tails.t_two_sided(c / s, freedom) if s > 0 else np.nan for c, s in zip(b, spread, strict=True)])
     return best, b, float(y.mean()), p, 1 - float(left @ left) / rest if rest > 0 else np.nan
 
 
 def partial_least_squares(df: DataFrame, keys: Sequence[str], y: str, predictors: Sequence[str], *, time: str = "time", most: int = 10, folds: int = 5) -> DataFrame:
-    """(predictor, components, coefficient, intercept, p, r2, anomaly) per group: standardised PLS1, on the group in one task."""
+    """(predictor, components, coefficient, intercept, p, r2, anomaly) per group: standardised PLS1, on the group in one task; all NULL where a predictor is constant or too few values are left."""
     whole = df.select(*keys, F.col(time).alias("__t"), y, *predictors).dropna()
     columns = [*keys, "predictor", "components", "coefficient", "intercept", "p", "r2", "anomaly"]
 
@@ -268,7 +274,9 @@ def partial_least_squares(df: DataFrame, keys: Sequence[str], y: str, predictors
         x, v = pdf[list(predictors)].to_numpy(float), pdf[y].to_numpy(float)
         if len(v) < 3:
             return pd.DataFrame(columns=columns)
-        k, b, mean, p, r2 = _pls_of(v, x, most, folds)
+        if (found := _pls_of(v, x, most, folds)) is None:
+            return pd.DataFrame([[*key, name, *[None] * 6] for name in predictors], columns=columns)
+        k, b, mean, p, r2 = found
         sx = x.std(0)
         return pd.DataFrame([[*key, name, k, b[i], mean, p[i], r2, b[i] * v.std() / sx[i] if sx[i] > 0 else np.nan] for i, name in enumerate(predictors)], columns=columns)
 

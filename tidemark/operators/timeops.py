@@ -14,7 +14,11 @@ from ..functions.guards import ratio
 ACCUMULATED = ("precipitation", "runoff", "snowfall", "subsurface_runoff", "surface_runoff", "total_irrigation_amount", "total_runoff")
 ACCUMULATED_UNITS = ("mm", "kg m-2", "kg/m2", "kg m**-2")
 #: Ranks of resolutions, the finest first.
-RESOLUTIONS = {"hour": 0, "3hour": 0, "day": 1, "week": 2, "month": 3, "year": 4}
+RESOLUTIONS = {"hour": 0, "day": 1, "week": 2, "month": 3, "year": 4}
+#: The longest step of each class in days.
+CLASSES = (("hour", 1 / 12), ("day", 1.5), ("week", 10.0), ("month", 45.0))
+#: How many steps a file of a year, month or day has at each resolution.
+COUNTS = {"year": ((10, 13, "month"), (350, 370, "day"), (8000, 9000, "hour")), "month": ((27, 32, "day"), (650, 750, "hour"), (1, 1, "month")), "day": ((20, 25, "hour"), (1, 1, "day"))}
 #: The hours of a step that each resolution allows, exclusive of both ends.
 SPANS = (("hour", 5 / 6, 7 / 6), ("3hour", 2.5, 3.5), ("6hour", 5, 7), ("day", 22, 26), ("8day", 168, 216), ("month", 672 - 1e-9, 768 + 1e-9), ("year", 8040, 9480))
 #: Parts of file names by resolution, the first that is found counts.
@@ -124,11 +128,14 @@ def resample_by_kind(df: DataFrame, keys: Sequence[str], resolution: str, *, val
 
 
 def infer_step(df: DataFrame, keys: Sequence[str], time: str = "time") -> DataFrame:
-    """(keys, days, resolution): the median step of each group's axis."""
+    """(keys, days, resolution): the median step of each group's axis, and the class of resolutions that it belongs to."""
     times = df.select(*keys, F.col(time).cast("timestamp").cast("double").alias("__t")).distinct()
     steps = times.withColumn("__d", (F.col("__t") - F.lag("__t").over(W.partitionBy(*keys).orderBy("__t"))) / 86400)
     d = F.col("days")
-    name = F.when(d.isNull(), None).when(d <= 1.5 / 24, "hour").when(d <= 4 / 24, "3hour").when(d <= 1.5, "day").when(d <= 45, "month").otherwise("year")
+    name = F.when(d.isNull(), None)
+    for resolution, most in CLASSES:
+        name = name.when(d <= most, resolution)
+    name = name.otherwise("year")
     return steps.groupBy(*keys).agg(F.median("__d").alias("days")).withColumn("resolution", name)
 
 
@@ -138,11 +145,23 @@ def upsampled(steps: DataFrame, target: str) -> DataFrame:
     return steps.filter(rank[F.col("resolution")] > RESOLUTIONS[target])
 
 
-def resolution_by_count(df: DataFrame, file: str, time: str = "time") -> DataFrame:
-    """(file, n, resolution) from how many steps a year's file has."""
+def resolution_by_count(df: DataFrame, file: str, time: str = "time", *, files: str | Column = "year", units: str | Column | None = None, step: str | Column | None = None) -> DataFrame:
+    """(file, n, resolution) from how many steps a file of a year, month or day has (files says which); NULL where no count fits.
+
+    If units (of the time axis) name months, the raw step decides: month, or so many months, written 3month; and month where that is unclear.
+    """
     n = F.col("n")
-    name = F.when(n.between(10, 13), "month").when(n.between(350, 370), "day").when(n.between(8700, 8800), "hour").when(n.between(2900, 2940), "3hour").when(n == 1, "year")
-    return df.groupBy(file).agg(F.countDistinct(time).alias("n")).withColumn("resolution", name)
+    col = lambda c: F.lit(None).cast("string") if c is None else F.col(c) if isinstance(c, str) else c
+    groups = F.lit(files) if files in COUNTS else col(files)
+    name = F.lit(None).cast("string")
+    for group, rules in COUNTS.items():
+        for low, high, resolution in rules:
+            name = F.when((F.col("__f") == group) & n.between(low, high), resolution).otherwise(name)
+    got = df.groupBy(file).agg(F.countDistinct(time).alias("n"), F.max(groups).alias("__f"), F.max(F.lower(col(units))).alias("__u"), F.max(col(step).cast("double")).alias("__s"))
+    s = F.col("__s")
+    whole = F.round(s).cast("int")
+    months = F.when((F.col("__f") == "year") & n.between(10, 13), "month").when(F.abs(s - 1) < 0.2, "month").when((whole > 1) & (F.abs(s - whole) < 0.2), F.concat(whole.cast("string"), F.lit("month"))).otherwise("month")
+    return got.select(file, "n", F.when(F.col("__u").contains("month"), months).otherwise(name).alias("resolution"))
 
 
 def resolution_by_span(df: DataFrame, keys: Sequence[str], time: str = "time") -> DataFrame:

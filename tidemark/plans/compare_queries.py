@@ -249,6 +249,22 @@ def c13_smpi(spark, sf_dir):
     return rounded(got.select("ref", "sim", "value"), "value", digits=6)
 
 
+def station_pairs(spark, sf_dir):
+    series = domain.station_series(spark, sf_dir)
+    return pairing.pair(series.filter("source = 'click'"), series.filter("source = 'view'"), ["station_id", "time"])
+
+
+@query(f"""WITH {SQL_STATIONS}, p AS (SELECT a.station_id, a.value AS s, b.value AS o FROM st a JOIN st b USING (station_id, time) WHERE a.source = 'click' AND b.source = 'view'),
+x AS (SELECT station_id, (avg(s) - avg(o)) ** 2 / nullif(var_samp(o), 0) AS x FROM p WHERE s IS NOT NULL AND o IS NOT NULL GROUP BY 1) SELECT 'view' AS ref, 'click' AS sim, round(avg(x), 6) AS value FROM x""")
+def c13_smpi_stations(spark, sf_dir):
+    return rounded(compare.smpi_stations(station_pairs(spark, sf_dir), ["ref", "sim"], replicates=20).select("ref", "sim", "value"), "value", digits=6)
+
+
+@query()
+def c13_smpi_stations_bootstrap(spark, sf_dir):
+    return rounded(compare.smpi_stations(station_pairs(spark, sf_dir), ["ref", "sim"]), "value", "low", "high", digits=6)
+
+
 @query()
 def c13_smpi_bootstrap(spark, sf_dir):
     return rounded(compare.smpi_bootstrap(weighted(domain.grid_pairs(spark, sf_dir)), FIELD, "cell"), "value", "low", "high", digits=6)

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import units
+from ..functions import positions, units
 from ..operators import grid, inventory, normalize, pairing, timeops
 from ..sources import tables
 from ..streaming import moments as streaming
@@ -43,6 +43,16 @@ def orders(spark, sf_dir):
     return domain.table(spark, sf_dir, "orders").withColumn("t", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
+# ---- samples of long series
+
+
+@query("""WITH p AS (SELECT o_orderpriority, o_orderkey, o_totalprice, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)),
+s AS (SELECT *, greatest(1, n // 200) AS step FROM p) SELECT o_orderpriority, o_orderkey, o_totalprice FROM s WHERE k % step = 0 AND k < step * 200""")
+def v1_stride_sample(spark, sf_dir):
+    """200 points of each priority's prices in order."""
+    return positions.stride_sample(domain.table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice"), ["o_orderpriority"], ["o_totalprice", "o_orderkey"], positions.LIMITS["points"])
+
+
 # ---- time
 
 
@@ -116,19 +126,33 @@ def t10_resample_sum(spark, sf_dir):
 
 
 @query(f"""WITH {SQL_GRID}, d AS (SELECT cell, (epoch(time) - epoch(lag(time) OVER (PARTITION BY cell ORDER BY time))) / 86400 AS d FROM wide)
-SELECT cell, median(d)::DOUBLE AS days, CASE WHEN median(d) <= 1.5 THEN 'day' WHEN median(d) <= 45 THEN 'month' ELSE 'year' END AS resolution FROM d GROUP BY 1""")
+SELECT cell, median(d)::DOUBLE AS days, CASE WHEN median(d) <= 1.5 THEN 'day' WHEN median(d) <= 10 THEN 'week' WHEN median(d) <= 45 THEN 'month' ELSE 'year' END AS resolution FROM d GROUP BY 1""")
 def t11_infer_step(spark, sf_dir):
     return timeops.infer_step(domain.grid_wide(spark, sf_dir), ["cell"])
 
 
 @query(f"""WITH {SQL_STATIONS}, t AS (SELECT DISTINCT station_id, source, time FROM st), d AS (SELECT station_id, source, (epoch(time) - epoch(lag(time) OVER (PARTITION BY station_id, source ORDER BY time))) / 86400 AS d FROM t)
-SELECT station_id, source, median(d)::DOUBLE AS days, CASE WHEN median(d) <= 45 THEN 'month' ELSE 'year' END AS resolution FROM d GROUP BY 1, 2 HAVING median(d) > 1.5""")
+SELECT station_id, source, median(d)::DOUBLE AS days, CASE WHEN median(d) <= 10 THEN 'week' WHEN median(d) <= 45 THEN 'month' ELSE 'year' END AS resolution FROM d GROUP BY 1, 2 HAVING median(d) > 1.5""")
 def t11_refused(spark, sf_dir):
     """The series that are too coarse to be compared by day."""
     steps = timeops.infer_step(domain.station_series(spark, sf_dir), ["station_id", "source"])
     return timeops.upsampled(steps, "day")
 
 
+#: Steps in hours, the class of each, and whether a weekly comparison refuses it.
+STEPS = ((1, "hour", False), (2, "hour", False), (3, "day", False), (24, "day", False), (36, "day", False), (72, "week", False), (192, "week", False), (240, "week", False), (384, "month", True), (744, "month", True), (8760, "year", True))
+
+
+@query(f"""SELECT p_partkey, CASE p_partkey % {len(STEPS)} {" ".join(f"WHEN {k} THEN round({h} / 24.0::DOUBLE, 9)" for k, (h, _, _) in enumerate(STEPS))} END::DOUBLE AS days, CASE p_partkey % {len(STEPS)} {" ".join(f"WHEN {k} THEN '{r}'" for k, (_, r, _) in enumerate(STEPS))} END AS resolution,
+  CASE p_partkey % {len(STEPS)} {" ".join(f"WHEN {k} THEN {str(u).upper()}" for k, (_, _, u) in enumerate(STEPS))} END AS refused FROM part""")
+def t11_step_classes(spark, sf_dir):
+    """A series of eight steps per part."""
+    hours = F.element_at(F.array(*(F.lit(h) for h, _, _ in STEPS)), (F.col("p_partkey") % len(STEPS) + 1).cast("int"))
+    times = domain.table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"), hours.alias("h")).select("p_partkey", F.timestamp_seconds(F.lit(946684800) + F.col("k") * F.col("h") * 3600).alias("time"))
+    steps = timeops.infer_step(times, ["p_partkey"])
+    return steps.join(timeops.upsampled(steps, "week").select("p_partkey", F.lit(True).alias("r")), "p_partkey", "left").select("p_partkey", F.round("days", 9).alias("days"), "resolution", F.coalesce("r", F.lit(False)).alias("refused"))
+
+
 SQL_KINDS = f"""{SQL_GRID}, kinds AS (SELECT v AS variable, u AS unit, cell, time, value FROM series, (VALUES ('Precipitation', ' MM '), ('Total_Runoff', 'mm day-1'), ('price', 'mm')) AS k(v, u) WHERE source = 'R')"""
 
 
@@ -177,12 +201,35 @@ def t14_t16_season_and_water_year(spark, sf_dir):
     return orders(spark, sf_dir).groupBy(timeops.season("t").alias("season"), timeops.water_year("t", 10).cast("long").alias("water_year")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {SQL_GRID}, c AS (SELECT cell, year(time) AS y, count(DISTINCT time) AS n FROM wide GROUP BY 1, 2) SELECT cell || '-' || y AS file, n, CASE WHEN n BETWEEN 10 AND 13 THEN 'month' WHEN n = 1 THEN 'year' END AS resolution FROM c")
+@query(f"WITH {SQL_GRID}, c AS (SELECT cell, year(time) AS y, count(DISTINCT time) AS n FROM wide GROUP BY 1, 2) SELECT cell || '-' || y AS file, n, CASE WHEN n BETWEEN 10 AND 13 THEN 'month' END AS resolution FROM c")
 def t15_resolution_by_count(spark, sf_dir):
     w = domain.grid_wide(spark, sf_dir).withColumn("file", F.concat_ws("-", "cell", F.year("time")))
     return timeops.resolution_by_count(w, "file")
 
 
+@query("""WITH x AS (SELECT 'm' || strftime(o_orderdate, '%Y%m') || '-' || (o_custkey % 3) AS file, date_trunc('day', o_orderdate)::TIMESTAMP AS time, 'month' AS kind, NULL AS units, NULL::DOUBLE AS step FROM orders
+UNION ALL SELECT 'd' || strftime(ts, '%Y%m%d'), date_trunc('hour', ts)::TIMESTAMP, 'day', NULL, NULL FROM events
+UNION ALL SELECT 'p' || p_partkey, TIMESTAMP '2000-01-01' + INTERVAL 1 HOUR * k, CASE WHEN p_partkey % 2 = 0 THEN 'year' ELSE 'month' END, CASE WHEN p_partkey % 5 < 3 THEN 'Months since 2000-01-01' ELSE 'days since 2000-01-01' END, (p_partkey % 4) + 0.15 * (p_partkey % 3)
+  FROM part, range(8761) AS r(k) WHERE k < CASE p_partkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 12 WHEN 2 THEN 31 WHEN 3 THEN 365 WHEN 4 THEN 700 WHEN 5 THEN 14 ELSE 8100 END),
+c AS (SELECT file, count(DISTINCT time) AS n, max(kind) AS kind, max(lower(units)) AS u, max(step) AS s FROM x GROUP BY 1)
+SELECT file, n, CASE WHEN u LIKE '%month%' THEN CASE WHEN kind = 'year' AND n BETWEEN 10 AND 13 OR abs(s - 1) < 0.2 THEN 'month' WHEN s > 1.5 AND abs(s - round(s)) < 0.2 THEN round(s)::INT || 'month' ELSE 'month' END
+  WHEN kind = 'year' THEN CASE WHEN n BETWEEN 10 AND 13 THEN 'month' WHEN n BETWEEN 350 AND 370 THEN 'day' WHEN n BETWEEN 8000 AND 9000 THEN 'hour' END
+  WHEN kind = 'month' THEN CASE WHEN n BETWEEN 27 AND 32 THEN 'day' WHEN n BETWEEN 650 AND 750 THEN 'hour' WHEN n = 1 THEN 'month' END
+  WHEN n BETWEEN 20 AND 25 THEN 'hour' WHEN n = 1 THEN 'day' END AS resolution FROM c""")
+def t15_resolution_by_count_and_kind(spark, sf_dir):
+    """Files of a month of orders, of a day of events, and of a number of steps that the part's key gives."""
+    none = [F.lit(None).cast("string").alias("units"), F.lit(None).cast("double").alias("step")]
+    months = orders(spark, sf_dir).select(F.concat(F.lit("m"), F.date_format("t", "yyyyMM"), F.lit("-"), F.col("o_custkey") % 3).alias("file"), F.date_trunc("day", "t").cast("timestamp_ntz").alias("time"), F.lit("month").alias("kind"), *none)
+    days = domain.table(spark, sf_dir, "events").select(F.concat(F.lit("d"), F.date_format("ts", "yyyyMMdd")).alias("file"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time"), F.lit("day").alias("kind"), *none)
+    k = F.col("p_partkey")
+    many = F.element_at(F.array(*map(F.lit, (1, 12, 31, 365, 700, 14, 8100))), (k % 7 + 1).cast("int"))
+    part = domain.table(spark, sf_dir, "part").select(k, F.explode(F.sequence(F.lit(0), many - 1)).alias("h")).select(
+        F.concat(F.lit("p"), k).alias("file"), F.timestamp_seconds(F.lit(946684800) + F.col("h") * 3600).cast("timestamp_ntz").alias("time"), F.when(k % 2 == 0, "year").otherwise("month").alias("kind"),
+        F.when(k % 5 < 3, "Months since 2000-01-01").otherwise("days since 2000-01-01").alias("units"), (k % 4 + F.lit(0.15) * (k % 3)).cast("double").alias("step"),
+    )
+    return timeops.resolution_by_count(months.unionByName(days).unionByName(part), "file", files="kind", units="units", step="step")
+
+
 @query(f"WITH {SQL_GRID} SELECT source, cell, round(sum(value * day(last_day(time))) / sum(day(last_day(time))), 4) AS value FROM series GROUP BY 1, 2")
 def t17_annual_climatology(spark, sf_dir):
     return rounded(timeops.annual_climatology(domain.grid_series(spark, sf_dir), BY), "value")
@@ -333,7 +380,12 @@ def g5_nearest(spark, sf_dir):
     return rounded(got, "value", digits=3)
 
 
-@query()
+#: What each of 20 latitudes from -85.5 by 9 counts for at 12 from -82.5 by 15, as rows (source, target, weight).
+CUBIC = ", ".join(f"({i}, {k}, {w!r})" for k, row in enumerate(grid.cubic_matrix([-85.5 + 9.0 * i for i in range(20)], [-82.5 + 15.0 * k for k in range(12)]).tolist()) for i, w in enumerate(row))
+
+
+@query(f"""WITH {SQL_FINE}, w(i_lat, k, w) AS (VALUES {CUBIC}), t AS (SELECT i_lon, k, count(value) AS n, sum(w * value) AS v FROM fi JOIN w USING (i_lat) GROUP BY 1, 2)
+SELECT i_lon, -82.5 + 15.0 * k AS lat, CASE WHEN n = 20 THEN round(v, 3) END AS value FROM t""")
 def g6_cubic(spark, sf_dir):
     got = grid.cubic_axis(fine(spark, sf_dir), [-82.5 + 15.0 * k for k in range(12)], ["i_lon"], "lat")
     return rounded(got, "value", digits=3)
@@ -344,6 +396,36 @@ def g7_g10_zonal(spark, sf_dir):
     return rounded(grid.zonal(fine(spark, sf_dir), 18.0, [], "median"), "value", digits=3)
 
 
+SQL_MESH = """m AS (SELECT (k // 25)::INT AS i, (k % 25)::INT AS j, 0.9 * (k // 25) + 0.2 * (k % 25) + 0.03 * (k * 7 % 5) AS lat, 1.1 * (k % 25) - 0.15 * (k // 25) + 0.02 * (k * 11 % 7) AS lon,
+  CASE WHEN k % 41 <> 7 THEN v END AS v FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer) WHERE k % 97 <> 50)"""
+
+
+@query(f"""WITH {SQL_MESH}, b AS (SELECT DISTINCT i - di AS i, j - dj AS j FROM m, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS x(di, dj)),
+q AS (SELECT m0 AS a, m1 AS b, m2 AS c, m3 AS d FROM b LEFT JOIN m m0 ON m0.i = b.i AND m0.j = b.j LEFT JOIN m m1 ON m1.i = b.i AND m1.j = b.j + 1 LEFT JOIN m m2 ON m2.i = b.i + 1 AND m2.j = b.j LEFT JOIN m m3 ON m3.i = b.i + 1 AND m3.j = b.j + 1),
+r AS (SELECT *, a.i IS NOT NULL AND b.i IS NOT NULL AND c.i IS NOT NULL AND d.i IS NOT NULL AS whole,
+  (b.lon - a.lon) * (c.lon - a.lon) + (b.lat - a.lat) * (c.lat - a.lat) AS dot_a, abs((b.lon - a.lon) * (c.lat - a.lat) - (b.lat - a.lat) * (c.lon - a.lon)) AS cross_a,
+  (b.lon - d.lon) * (c.lon - d.lon) + (b.lat - d.lat) * (c.lat - d.lat) AS dot_d, abs((b.lon - d.lon) * (c.lat - d.lat) - (b.lat - d.lat) * (c.lon - d.lon)) AS cross_d FROM q),
+t AS (SELECT a AS x, b AS y, c AS z FROM r WHERE whole AND cross_a * dot_d + cross_d * dot_a >= 0 UNION ALL SELECT d, c, b FROM r WHERE whole AND cross_a * dot_d + cross_d * dot_a >= 0
+  UNION ALL SELECT a, b, d FROM r WHERE whole AND cross_a * dot_d + cross_d * dot_a < 0 UNION ALL SELECT a, d, c FROM r WHERE whole AND cross_a * dot_d + cross_d * dot_a < 0
+  UNION ALL SELECT a, b, c FROM r WHERE d.i IS NULL AND a.i IS NOT NULL AND b.i IS NOT NULL AND c.i IS NOT NULL UNION ALL SELECT a, b, d FROM r WHERE c.i IS NULL AND a.i IS NOT NULL AND b.i IS NOT NULL AND d.i IS NOT NULL
+  UNION ALL SELECT a, d, c FROM r WHERE b.i IS NULL AND a.i IS NOT NULL AND c.i IS NOT NULL AND d.i IS NOT NULL UNION ALL SELECT d, c, b FROM r WHERE a.i IS NULL AND b.i IS NOT NULL AND c.i IS NOT NULL AND d.i IS NOT NULL),
+o AS (SELECT min(lat) AS o_lat, min(lon) AS o_lon, max(lat) AS m_lat, max(lon) AS m_lon FROM m),
+la AS (SELECT unnest(range(0, ((m_lat - o_lat) / 0.7)::INT + 2)) AS i_lat, o_lat FROM o), lo AS (SELECT unnest(range(0, ((m_lon - o_lon) / 0.7)::INT + 2)) AS i_lon, o_lon FROM o),
+p AS (SELECT i_lat, i_lon, o_lat + 0.7 * i_lat AS lat, o_lon + 0.7 * i_lon AS lon FROM la, lo),
+h AS (SELECT i_lat, i_lon, x, y, z, (y.lon - x.lon) * (z.lat - x.lat) - (y.lat - x.lat) * (z.lon - x.lon) AS whole, p.lat, p.lon FROM p, t
+  WHERE p.lat BETWEEN least(x.lat, y.lat, z.lat) AND greatest(x.lat, y.lat, z.lat) AND p.lon BETWEEN least(x.lon, y.lon, z.lon) AND greatest(x.lon, y.lon, z.lon)),
+s AS (SELECT i_lat, i_lon, x.v AS vx, y.v AS vy, z.v AS vz, ((y.lon - lon) * (z.lat - lat) - (y.lat - lat) * (z.lon - lon)) / whole AS wx, ((z.lon - lon) * (x.lat - lat) - (z.lat - lat) * (x.lon - lon)) / whole AS wy, ((x.lon - lon) * (y.lat - lat) - (x.lat - lat) * (y.lon - lon)) / whole AS wz FROM h)
+SELECT i_lat::INT AS i_lat, i_lon::INT AS i_lon, round(avg(wx * vx + wy * vy + wz * vz), 4) AS value FROM s WHERE least(wx, wy, wz) >= -1e-9 GROUP BY 1, 2""")
+def g10_linear_mesh(spark, sf_dir):
+    """Balances of customers on a bent grid with holes, by linear interpolation on a regular one."""
+    k = F.col("c_custkey")
+    i, j = F.floor(k / 25).cast("int"), (k % 25).cast("int")
+    mesh = domain.table(spark, sf_dir, "customer").filter(k % 97 != 50).select(
+        i.alias("i"), j.alias("j"), (0.9 * i + 0.2 * j + 0.03 * (k * 7 % 5)).alias("lat"), (1.1 * j - 0.15 * i + 0.02 * (k * 11 % 7)).alias("lon"), F.when(k % 41 != 7, F.col("c_acctbal")).alias("value")
+    )
+    return rounded(grid.on_mesh(mesh, grid.mesh_weights(grid.mesh_triangles(mesh), 0.7), []), "value")
+
+
 @query("""WITH c AS (SELECT (o_custkey % 40)::INT AS block, (o_orderkey % 7)::INT AS value, count(*) AS n FROM orders WHERE o_orderkey % 7 < 5 GROUP BY 1, 2) SELECT block, arg_max(value, (n, -value)) AS value FROM c GROUP BY 1""")
 def g8_most_common(spark, sf_dir):
     o = domain.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).cast("int").alias("block"), (F.col("o_orderkey") % 7).cast("int").alias("value"))
@@ -442,11 +524,29 @@ def paths(spark, sf_dir):
     return orders(spark, sf_dir).select(F.concat(F.lit("/data/set"), c % 7, F.lit("/gpp_v2010_"), date, F.lit(".nc")).alias("path"))
 
 
-@query(f"""WITH {SQL_PATHS} SELECT '/data/set' || k AS folder, CASE WHEN count(*) FILTER (odd = 0) > count(*) FILTER (odd = 1) THEN 'month' WHEN count(*) FILTER (odd = 0) = count(*) FILTER (odd = 1) THEN 'month' ELSE 'day' END AS granularity, min(y) AS first_year, max(y) AS last_year, count(*) AS files, count(*) AS dated FROM paths GROUP BY k""")
+@query(f"""WITH {SQL_PATHS} SELECT '/data/set' || k AS folder, CASE WHEN count(*) = 1 THEN 'single' WHEN count(*) FILTER (odd = 0) > count(*) FILTER (odd = 1) THEN 'month' ELSE 'day' END AS granularity, min(y) AS first_year, max(y) AS last_year, count(*) AS files, count(*) AS dated FROM paths GROUP BY k""")
 def x1_files(spark, sf_dir):
     return inventory.files(paths(spark, sf_dir))
 
 
+#: File names with a year Y in them, the date that they stand for, and its granularity.
+NAMES = (
+    ("tas.Y01.nc", "Y01", "month"), ("MOD_r2050.nc", None, None), ("x_Y01_2020.nc", "Y01", "month"), ("proY.nc", "Y", "year"), ("prY0305.nc", "Y0305", "day"), ("ET_v2010.nc", None, None), ("v2010.nc", None, None),
+    ("gpp_Y-03-05_r2011.nc", "Y0305", "day"), ("exp_1990-2010_Y.nc", "Y", "year"), ("exp_Y_1990_2010.nc", "2010", "year"), ("ssp_2015-2100.nc", "2015", "year"), ("a_YY.nc", None, None), ("run_Y_03.v2.nc", "Y03", "month"),
+    ("nov2001.Y.nc", "Y", "year"), ("daily_2001_2002_2003.nc", "2003", "year"), ("1850_Y-12.nc", "Y12", "month"),
+)
+
+
+@query(f"""WITH n AS (SELECT p_partkey, (1990 + p_partkey % 30)::VARCHAR AS y, (p_partkey % {len(NAMES)})::INT AS k FROM part)
+SELECT p_partkey, replace(CASE k {" ".join(f"WHEN {k} THEN '{t}'" for k, (_, t, _) in enumerate(NAMES) if t)} END, 'Y', y) AS token, CASE k {" ".join(f"WHEN {k} THEN '{g}'" for k, (_, _, g) in enumerate(NAMES) if g)} END AS granularity FROM n""")
+def x1_date_tokens(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.element_at(F.array(*(F.lit(n) for n, _, _ in NAMES)), (k % len(NAMES) + 1).cast("int"))
+    path = F.concat(F.lit("/data/v1/"), F.replace(name, F.lit("Y"), (1990 + k % 30).cast("string")))
+    token, kind = inventory.date_token(path)
+    return domain.table(spark, sf_dir, "part").select("p_partkey", token.alias("token"), kind.alias("granularity"))
+
+
 @query(f"""WITH {SQL_STATIONS} SELECT station_id, min(year(time))::INT AS first_year, max(year(time))::INT AS last_year, count(*) AS n FROM st WHERE value IS NOT NULL GROUP BY 1""")
 def x2_stations(spark, sf_dir):
     return inventory.stations(domain.station_series(spark, sf_dir))
