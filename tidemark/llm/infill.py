@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
@@ -17,8 +18,8 @@ from .ngrams import mask
 
 #: What stands before the prefix, the suffix and the middle.
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
-#: Bytes of text in a frame; a frame ends with a unit.
-FRAME = 64 << 10
+#: Bytes of text in a frame; a frame ends with a unit. Rows that are worked on at once.
+FRAME, ROWS = 64 << 10, 512
 BLANK = mask(BLANKS.encode())
 FRAMES = pa.list_(pa.struct([("units", pa.int64()), ("chars", pa.int64()), ("bytes", pa.int64()), ("data", pa.binary())]))
 FRAMES_SQL = "array<struct<units: long, chars: long, bytes: long, data: binary>>"
@@ -35,16 +36,20 @@ def code_points(text: np.ndarray) -> int:
     return int(np.count_nonzero((text & 0xC0) != 0x80))
 
 
+@functools.cache
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1, write_content_size=True), zstandard.ZstdDecompressor()
+
+
 class Frames:
     """A text in independent Zstandard frames, with the units, characters and bytes up to the end of each."""
 
     def __init__(self, frames: Iterable[dict] = ()):
         self.frames = list(frames)
-        self.pack, self.unpack = zstandard.ZstdCompressor(level=1, write_content_size=True), zstandard.ZstdDecompressor()
 
     def add(self, piece: bytes, units: int = 0, chars: int = 0) -> None:
         last = self.frames[-1] if self.frames else {"units": 0, "chars": 0, "bytes": 0}
-        self.frames.append({"units": last["units"] + units, "chars": last["chars"] + chars, "bytes": last["bytes"] + len(piece), "data": self.pack.compress(piece)})
+        self.frames.append({"units": last["units"] + units, "chars": last["chars"] + chars, "bytes": last["bytes"] + len(piece), "data": _codec()[0].compress(piece)})
 
     def total(self, what: str) -> int:
         return self.frames[-1][what] if self.frames else 0
@@ -53,7 +58,7 @@ class Frames:
         return self.frames[k - 1][what] if k else 0
 
     def read(self, k: int) -> bytes:
-        return self.unpack.decompress(self.frames[k]["data"])
+        return _codec()[1].decompress(self.frames[k]["data"])
 
     def cut(self, units: int) -> tuple[int, int]:
         """(bytes, characters) up to the end of so many units; only the frame that holds the cut is read."""
@@ -87,12 +92,18 @@ def framed(text: bytes, size: int = FRAME) -> tuple[Frames, bool]:
     return made, any(m in text for m in (PREFIX, SUFFIX, MIDDLE))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", frame_bytes: int = FRAME) -> DataFrame:
     """(id, marked, frames) per row of docs, in the shared folder. Null and empty texts have no frames; marked texts hold a marker."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             made = [framed((t.as_py() or "").encode(), frame_bytes) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m for _, m in made], pa.bool_()), pa.array([f.frames for f, _ in made], FRAMES)], names=["id", "marked", "frames"])
 
@@ -164,7 +175,7 @@ def fill_in_middle(stored: DataFrame, *, seed: int = 42, share: int = 50, spm: i
         return n, form, chars, upto if chars is None else upto - chars, told.hexdigest(), again.hexdigest(), b"".join(whole).decode() if output else None
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [one(k.as_py(), m.as_py(), f.as_py() or []) for k, m, f in zip(*batch.columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema))], names=["id", *schema.names])
 
