@@ -1,6 +1,8 @@
 import random
+import threading
 
 from tidemark.llm import simhash
+from tidemark.llm.common import Scratch, spool
 
 
 def jaccard(a, b):
@@ -105,3 +107,71 @@ def test_every_near_copy_goes_whatever_its_fingerprint(spark):
     assert any(far)
     got = sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [2 * g for g in range(60)]
+
+
+def pairs_met(spark, n):
+    """How many pairs the bands of n unlike texts with a common header are compared in."""
+    rng = random.Random(5)
+    header = " ".join(f"h{k}" for k in range(60))
+    rows = [(k, header + " " + " ".join(f"w{rng.randrange(10**7)}" for _ in range(100))) for k in range(n)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    told = spool(simhash.sketches(docs, keep=["id"], words=2, shingle=5), "t")
+    buckets = told.select("bands", told["id"].alias("node")).selectExpr("explode(bands) AS key", "node")
+    met = []
+
+    def similar(edges):
+        met.append(edges.distinct().count())
+        return edges.limit(0)
+
+    none = spark.createDataFrame([], "u long, v long")
+    simhash._compared(buckets, none, similar, told.selectExpr("id AS node", "low"))
+    return sum(met)
+
+
+def test_pairs_grow_in_proportion_where_unlike_texts_share_a_header(spark):
+    small, middle, large = (pairs_met(spark, n) for n in (500, 1000, 2000))
+    assert middle < 2.6 * small and large < 2.6 * middle, (small, middle, large)
+
+
+def test_similar_texts_stay_together_in_finer_bands(spark, monkeypatch):
+    rng = random.Random(3)
+    rows, want = [], 0
+    for k in range(150):  # pairs of texts of over 128 shingles at about 0.8
+        text = [f"w{rng.randrange(10**7)}" for _ in range(300)]
+        other = list(text)
+        for _ in range(6):
+            other[rng.randrange(300)] = f"x{rng.randrange(10**7)}"
+        want += jaccard(text, other) >= 0.8
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    told = spool(simhash.sketches(spark.createDataFrame(rows, "id long, text string"), keep=["id"], words=2, shingle=5), "t")
+    buckets, sketch = told.selectExpr("explode(bands) AS key", "id AS node"), told.selectExpr("id AS node", "low")
+    for level in range(3):
+        buckets = simhash.refined(buckets, sketch, level)
+    keys = {}
+    for r in buckets.collect():
+        keys.setdefault(r.key, set()).add(r.node)
+    together = {n // 2 for nodes in keys.values() for n in nodes if n ^ 1 in nodes}
+    assert len(together) >= 0.99 * want
+
+
+def test_blocks_of_two_threads_do_not_delete_each_others_tables(spark):
+    inside, done = threading.Event(), threading.Event()
+    found = {}
+
+    def outer():
+        with Scratch():
+            spool(spark.range(3), "a")
+            inside.set()
+            done.wait(60)
+
+    def other():
+        inside.wait(60)
+        found["table"] = spool(spark.range(7), "b")
+        done.set()
+
+    threads = [threading.Thread(target=f) for f in (outer, other)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert found["table"].count() == 7

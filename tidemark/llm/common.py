@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,19 +45,39 @@ def spool(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_dir(spark, what)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     found = spark.read.schema(df.schema).parquet(path)
     found.spooled_at = path
-    if Scratch.open:
-        Scratch.open[-1].append(found)
+    if blocks := Scratch.open.get():
+        blocks[-1].append(found)
     return found
 
 
+_writing, _lock = {}, threading.Lock()
+
+
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession):
+    """While any thread writes, the session deletes the shuffle files of queries that have ended; the last one puts the setting back."""
+    key = id(spark._jsparkSession)
+    with _lock:
+        n, before = _writing.get(key, (0, None))
+        if not n:
+            before = spark.conf.get(CLEANUP)
+            spark.conf.set(CLEANUP, "true")
+        _writing[key] = n + 1, before
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writing.pop(key)
+            if n > 1:
+                _writing[key] = n - 1, before
+            else:
+                spark.conf.set(CLEANUP, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete spooled tables that nothing lazy reads any more."""
     for t in tables:
@@ -63,13 +86,14 @@ def discard(*tables: DataFrame) -> None:
 
 
 class Scratch:
-    """A block at whose end the tables spooled inside are deleted, but for those that keep was called with."""
+    """A block at whose end the tables spooled inside by its own thread are deleted, but for those that keep was called with."""
 
-    open: list[list[DataFrame]] = []
+    open: contextvars.ContextVar[tuple[list[DataFrame], ...]] = contextvars.ContextVar("open", default=())
 
     def __enter__(self) -> Scratch:
         self.kept: list[DataFrame] = []
-        Scratch.open.append([])
+        self.made: list[DataFrame] = []
+        self.token = Scratch.open.set((*Scratch.open.get(), self.made))
         return self
 
     def keep(self, table: DataFrame) -> DataFrame:
@@ -77,11 +101,12 @@ class Scratch:
         return table
 
     def __exit__(self, kind, *_) -> None:
-        made, kept = Scratch.open.pop(), {t.spooled_at for t in self.kept}
+        Scratch.open.reset(self.token)
+        kept = {t.spooled_at for t in self.kept}
         if kind is None:
-            discard(*(t for t in made if t.spooled_at not in kept))
-        if Scratch.open:
-            Scratch.open[-1] += self.kept
+            discard(*(t for t in self.made if t.spooled_at not in kept))
+        if blocks := Scratch.open.get():
+            blocks[-1].extend(self.kept)
 
 
 def is_empty(df: DataFrame) -> bool:
