@@ -23,14 +23,14 @@ from .tokens import mixed
 
 BLANK = mask(BLANKS.encode())
 #: Bytes of text that are worked on at once, and words that a task adds up before it sends them.
-BLOCK, SENT = 3 << 20, 1 << 19
+BLOCK, SENT = 4 << 20, 1 << 18
 #: Fixed numbers of tokens: the end of a text, and what stands before its first word. Words follow.
 END, START, FIRST = 0, 1, 2
 #: What is taken from each count, and what is added to each count of a single token.
 DISCOUNT, ADDED = 0.75, 0.1
 #: Steps of a stored probability per decade.
 STEPS = 4096
-#: Bits of a token's number within a block.
+#: Bits of a token's number within a block; a block's different words are fewer, as each but a few takes four bytes with its blank.
 LOCAL = 21
 
 
@@ -158,14 +158,14 @@ def _sequences(batch_texts: pa.Array, model: Model) -> Iterator[tuple[np.ndarray
 
 def _keys(kinds: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the real tokens (places), the keys (second, any, token) and (second, first, token), which sort by context."""
-    second, token, first = kinds[real - 1] << 2 * LOCAL + 1, kinds[real], kinds[real - 2] + 1 << LOCAL
+    second, token, first = kinds[real - 1] << 2 * LOCAL, kinds[real], kinds[real - 2] + 1 << LOCAL
     return second | token, second | first | token
 
 
 def _parts(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(second, first + 1 or 0 for any or -1 for an unknown first, token, kind of the second) of keys."""
-    local = keys >> LOCAL & (1 << LOCAL + 1) - 1
-    kind = keys >> 2 * LOCAL + 1
+    local = keys >> LOCAL & (1 << LOCAL) - 1
+    kind = keys >> 2 * LOCAL
     first = np.where(local == 0, 0, known[np.maximum(local - 1, 0)] + 1)
     first[(local > 0) & (first == 0)] = -1
     return known[kind], first, known[keys & (1 << LOCAL) - 1], kind
@@ -291,7 +291,7 @@ def _grams(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, "shard long, grams binary")
 
 
-def train(docs: DataFrame, *, text_col: str = "text", least: int = 2, shard_tokens: int = 1 << 20) -> Model:
+def train(docs: DataFrame, *, text_col: str = "text", least: int = 2, shard_tokens: int = 1 << 21) -> Model:
     """A model of two words' context over all texts of docs, in a folder of shards.
 
     Words are counted first and numbered by the range of their hash; then every n-gram is counted. A block adds up its own and sends
@@ -340,37 +340,84 @@ def train(docs: DataFrame, *, text_col: str = "text", least: int = 2, shard_toke
     return model
 
 
-def looked_up(model: Model, second: np.ndarray, first: np.ndarray, token: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(share, left) of n-grams that come sorted by context; 0 and 1 where the model doesn't hold the n-gram or its context."""
-    share, left = np.zeros(len(second)), np.ones(len(second))
-    asked = np.flatnonzero((second >= 0) & (first >= 0))
-    shards = model.shard(second[asked], first[asked], counts[asked])
+def _by_shard(model: Model, second: np.ndarray, first: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places in the arrays) of contexts."""
+    shards = model.shard(second, first, counts)
     order = np.argsort(shards.astype(np.uint16) if model.shards < 1 << 16 else shards, kind="stable")
-    asked, shards = asked[order], shards[order]
+    shards = shards[order]
     starts = np.flatnonzero(np.concatenate([[len(shards) > 0], shards[1:] != shards[:-1]]))
-    for shard, some in zip(shards[starts].tolist(), np.split(asked, starts[1:]), strict=False):
-        seconds, contexts, words, following, lefts, shares = model.opened(f"grams-{shard}")
-        if not seconds.n:
-            continue
-        a, b = second[some], first[some]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        heads = np.flatnonzero(new)
-        group = seconds.find(a[heads])
-        at = np.full(len(heads), -1, np.int64)
-        held = np.flatnonzero(group >= 0)
-        at[held] = contexts.find(group[held], b[heads[held]])[0]
-        of = np.cumsum(new) - 1
-        at, group = at[of], group[of]
-        inside = at >= 0
-        some, at, group = some[inside], at[inside], group[inside]
-        left[some] = unquantised(lefts[at])
-        known = token[some] >= 0
-        some, at, group = some[known], at[known], group[known]
-        whole, place = words.find(group, token[some])
-        some, at, place = some[whole >= 0], at[whole >= 0], place[whole >= 0]
-        where = following.find(at, place)[0]
-        share[some[where >= 0]] = unquantised(shares[where[where >= 0]])
-    return share, left
+    yield from zip(shards[starts].tolist(), np.split(order, starts[1:]), strict=False)
+
+
+class Contexts:
+    """The contexts (first + 1 or 0 for any, second) as the shards hold them: what each leaves, and where its successors are."""
+
+    def __init__(self, model: Model, second: np.ndarray, first: np.ndarray, counts: np.ndarray):
+        self.model, self.left = model, np.ones(len(second))
+        self.shard, self.group, self.at = (np.full(len(second), -1, np.int64) for _ in range(3))
+        asked = np.flatnonzero((second >= 0) & (first >= 0))
+        for shard, some in _by_shard(model, second[asked], first[asked], counts[asked]):
+            seconds, contexts, _, _, lefts, _ = model.opened(f"grams-{shard}")
+            some = asked[some]
+            group = seconds.find(second[some])
+            some, group = some[group >= 0], group[group >= 0]
+            at = contexts.find(group, first[some])[0]
+            some, group, at = some[at >= 0], group[at >= 0], at[at >= 0]
+            self.shard[some], self.group[some], self.at[some] = shard, group, at
+            self.left[some] = unquantised(lefts[at])
+
+    def shares(self, which: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """What each token has after the named context, 0 if the model doesn't hold it. The token's place among the words after the second one leads to it."""
+        out = np.zeros(len(which))
+        asked = np.flatnonzero((self.at[which] >= 0) & (token >= 0))
+        shards = self.shard[which[asked]]
+        order = np.argsort(shards.astype(np.uint16) if self.model.shards < 1 << 16 else shards, kind="stable")
+        asked, shards = asked[order], shards[order]
+        starts = np.flatnonzero(np.concatenate([[len(shards) > 0], shards[1:] != shards[:-1]]))
+        for shard, some in zip(shards[starts].tolist(), np.split(asked, starts[1:]), strict=False):
+            _, _, words, following, _, shares = self.model.opened(f"grams-{shard}")
+            whole, place = words.find(self.group[which[some]], token[some])
+            some, place = some[whole >= 0], place[whole >= 0]
+            where = following.find(self.at[which[some]], place)[0]
+            out[some[where >= 0]] = unquantised(shares[where[where >= 0]])
+        return out
+
+
+def probabilities(model: Model, kinds: np.ndarray, real: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The probability of each real token (places in kinds) after the two before it.
+
+    Whatever the model keeps of a longer n-gram it keeps of its parts. So pairs are looked up first, then the contexts that are
+    kept pairs, then the triples both of whose pairs are kept.
+    """
+    token = kinds[real]
+    pairs, pair = np.unique(kinds[real - 1] << LOCAL | token, return_inverse=True)
+    pair_second, pair_token = pairs >> LOCAL, pairs & (1 << LOCAL) - 1
+    heads, head = np.unique(pair_second, return_inverse=True)
+    single = Contexts(model, known[heads], np.zeros(len(heads), np.int64), counts[heads])
+    share = single.shares(head, known[pair_token])
+    p = share[pair] + single.left[head[pair]] * model.once(counts[token])
+    # the pair before a token: that of the token before, which the first token of a text or block has none of
+    before = kinds[real - 2] << LOCAL | kinds[real - 1]
+    follows = np.flatnonzero((real[1:] == real[:-1] + 1))
+    previous = np.full(len(real), -1, np.int64)
+    previous[follows + 1] = pair[follows]
+    other = np.flatnonzero(previous < 0)
+    more, extra = np.unique(before[other], return_inverse=True)
+    previous[other] = len(pairs) + extra
+    pairs, held = np.concatenate([pairs, more]), np.concatenate([share > 0, np.ones(len(more), bool)])
+    asked = np.flatnonzero(held)
+    second = pairs[asked] & (1 << LOCAL) - 1
+    first = known[pairs[asked] >> LOCAL]
+    double = Contexts(model, known[second], np.where(first >= 0, first + 1, -1), counts[second])
+    number = np.full(len(pairs), -1, np.int64)
+    number[asked] = np.where(double.at >= 0, np.arange(len(asked)), -1)
+    context = number[previous]
+    some = np.flatnonzero(context >= 0)
+    p[some] *= double.left[context[some]]
+    both = some[share[pair[some]] > 0]
+    triples, triple = np.unique(context[both] << LOCAL | token[both], return_inverse=True)
+    p[both] += double.shares(triples >> LOCAL, known[triples & (1 << LOCAL) - 1])[triple]
+    return p
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -388,21 +435,12 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             n, found, base, whole = np.zeros(rows_n, np.int64), np.zeros(rows_n, np.int64), np.zeros(rows_n), np.zeros(rows_n)
             for kinds, rows, known, counts in _sequences(batch.column(1), model):
                 real = 2 + np.flatnonzero(kinds[2:] != START)
-                alone = model.once(counts)
-                pairs, triples = (np.unique(k, return_inverse=True) for k in _keys(kinds, real))
-                merged = np.concatenate([pairs[0], triples[0]])
-                order = np.argsort(merged, kind="stable")
-                second, first, token, at = _parts(merged[order], known)
-                got = looked_up(model, second, first, token, counts[at])
-                share, left = np.empty(len(merged)), np.empty(len(merged))
-                share[order], left[order] = got
-                two, three = pairs[1], triples[1] + len(pairs[0])
-                p = share[three] + left[three] * (share[two] + left[two] * alone[kinds[real]])
+                p = probabilities(model, kinds, real, known, counts)
                 here = rows[real - 2]
                 add = lambda values: np.bincount(here, values, rows_n)  # noqa: B023, E731
                 n += np.bincount(here, minlength=rows_n)
                 found += np.bincount(here[counts[kinds[real]] > 0], minlength=rows_n)
-                base += add(np.log10(alone)[kinds[real]])
+                base += add(np.log10(model.once(counts))[kinds[real]])
                 whole += add(np.log10(p))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(found), pa.array(base), pa.array(whole)], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
