@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import positions as places
 from tidemark.functions import quantiles as selection
-from tidemark.operators import pairing
+from tidemark.operators import compare, pairing
 
 SERIES = "variable string, source string, cell int, time int, value double"
 
@@ -93,3 +93,18 @@ def test_positions_with_ties_nulls_and_times(spark):
         got = {r.id: r.position for r in places.positions(df, [], by, range_rows=10).collect()}
         want = sorted(range(300), key=lambda k: (-1 if k % 7 == 0 else k % 5, k))
         assert [got[k] for k in want] == list(range(300))
+
+
+def test_densities_of_large_groups_are_near_the_direct_sums(spark):
+    rng = np.random.default_rng(8)
+    known = {"large": np.concatenate([rng.normal(0, 1, 6000), rng.normal(6, 0.3, 3000)]), "small": rng.normal(size=50)}
+    df = spark.createDataFrame([(g, float(v), 3) for g, x in known.items() for v in x] + [("large", None, 1), ("flat", 2.0, 1), ("flat", 2.0, 1)], "g string, v double, n int").repartition(5)
+    got = compare.density(df, ["g"], points=40, value="v").collect()
+    assert {r.g for r in got} == {"large", "small"}
+    for g, v in known.items():
+        h = v.std(ddof=1) * len(v) ** -0.2
+        at = np.linspace(v.min(), v.max(), 40)
+        want = np.exp(-(((at[:, None] - v) / h) ** 2) / 2).sum(1) / (len(v) * h * np.sqrt(2 * np.pi))
+        mine = [d for _, d in sorted((r.x, r.density) for r in got if r.g == g)]
+        bound = (((v.max() - v.min()) / (compare.BINS - 1)) / h) ** 2 / 8 / (h * np.sqrt(2 * np.pi)) if g == "large" else 1e-12
+        assert np.abs(np.array(mine) - want).max() <= bound

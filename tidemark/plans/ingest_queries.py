@@ -179,12 +179,12 @@ def t15_resolution_by_name(spark, sf_dir):
     return domain.table(spark, sf_dir, "part").select("p_partkey", timeops.resolution_by_name(F.element_at(names, (k % 5 + 1).cast("int"))).alias("resolution"))
 
 
-@query(f"""WITH {SQL_GRID}, r AS (SELECT cell AS ref, month(time) AS m FROM wide WHERE cell < 4 GROUP BY 1, 2), s AS (SELECT cell AS sim, month(time) AS m FROM wide WHERE cell < 4 AND (cell <> 1 OR month(time) < 12) AND (cell <> 2 OR month(time) = 7) GROUP BY 1, 2),
+@query(f"""WITH {SQL_GRID}, r AS (SELECT cell AS ref, month(time) AS m FROM wide GROUP BY 1, 2), s AS (SELECT cell AS sim, month(time) AS m FROM wide WHERE (cell <> 1 OR month(time) < 12) AND (cell <> 2 OR month(time) = 7) GROUP BY 1, 2),
 ra AS (SELECT ref, list(m ORDER BY m) AS a FROM r WHERE ref <> 2 OR m = 7 GROUP BY 1), sa AS (SELECT sim, list(m ORDER BY m) AS b FROM s GROUP BY 1)
 SELECT ref::VARCHAR AS ref, sim::VARCHAR AS sim, len(a) AS points, name, CASE WHEN len(a) <> len(b) THEN 'axes of other lengths' WHEN a <> b THEN 'other dates' WHEN name = 'APFB' THEN 'not defined for a climatology' WHEN name = 'KGE' AND len(a) < 2 THEN 'needs two points in time' END AS finding FROM ra, sa, (VALUES ('bias'), ('KGE'), ('APFB')) AS n(name)""")
 def t19_climatology_gate(spark, sf_dir):
-    """Climatologies of four cells as references and, with months left out, as sims."""
-    w = domain.grid_wide(spark, sf_dir).filter("cell < 4").select(F.col("cell").cast("string").alias("source"), F.make_date(F.lit(2000), F.month("time"), F.lit(15)).alias("time"), F.month("time").alias("m"))
+    """Climatologies of all cells as references and, with months left out, as sims."""
+    w = domain.grid_wide(spark, sf_dir).select(F.col("cell").cast("string").alias("source"), F.make_date(F.lit(2000), F.month("time"), F.lit(15)).alias("time"), F.month("time").alias("m"))
     refs, sims = w.filter("source <> '2' OR m = 7"), w.filter("(source <> '1' OR m < 12) AND (source <> '2' OR m = 7)")
     return timeops.climatology_gate(refs, sims, ["bias", "KGE", "APFB"])
 
@@ -483,21 +483,21 @@ def g14_gauge_allocation(spark, sf_dir):
     return grid.usable_stations(listed, min_years=3, area=(100000, 260000), max_error=0.2).select("station_id", F.col("use_syear").cast("long").alias("use_syear"), F.col("use_eyear").cast("long").alias("use_eyear"))
 
 
-@query("""WITH y AS (SELECT o_custkey AS station_id, min(year(o_orderdate)) AS a, max(year(o_orderdate)) AS b, avg(o_totalprice) AS area FROM orders WHERE month(o_orderdate) <= 2 GROUP BY 1)
+@query("""WITH y AS (SELECT o_custkey AS station_id, min(year(o_orderdate)) AS a, max(year(o_orderdate)) AS b, avg(o_totalprice) AS area FROM orders GROUP BY 1)
 SELECT station_id, a AS use_syear, b AS use_eyear FROM y WHERE b - a + 1 >= 4 AND area <= 150000""")
 def g15_direct_match(spark, sf_dir):
     """The same without an allocation, at the stations' own places."""
-    o = orders(spark, sf_dir).filter("month(t) <= 2").select(F.col("o_custkey").alias("station_id"), F.col("t").alias("time"), F.col("o_totalprice").alias("value"))
+    o = orders(spark, sf_dir).select(F.col("o_custkey").alias("station_id"), F.col("t").alias("time"), F.col("o_totalprice").alias("value"))
     listed = grid.valid_years(o).join(o.groupBy("station_id").agg(F.avg("value").alias("area")), "station_id").withColumns({"syears": F.array("syear"), "eyears": F.array("eyear"), "lat": F.lit(0.0), "lon": F.lit(0.0)})
     return grid.usable_stations(listed, min_years=4, area=(0, 150000)).select("station_id", F.col("use_syear").cast("long").alias("use_syear"), F.col("use_eyear").cast("long").alias("use_eyear"))
 
 
-@query("""WITH y AS (SELECT o_custkey AS station_id, min(year(o_orderdate)) AS a, max(year(o_orderdate)) AS b FROM orders WHERE month(o_orderdate) <= 2 GROUP BY 1) SELECT station_id, a AS use_syear, b AS use_eyear FROM y WHERE b - a >= 4""")
+@query("""WITH y AS (SELECT o_custkey AS station_id, min(year(o_orderdate)) AS a, max(year(o_orderdate)) AS b FROM orders GROUP BY 1) SELECT station_id, a AS use_syear, b AS use_eyear FROM y WHERE b - a >= 6""")
 def g16_site_filter(spark, sf_dir):
     """A data set whose span is the difference of its years."""
-    o = orders(spark, sf_dir).filter("month(t) <= 2").select(F.col("o_custkey").alias("station_id"), F.col("t").alias("time"), F.col("o_totalprice").alias("value"))
+    o = orders(spark, sf_dir).select(F.col("o_custkey").alias("station_id"), F.col("t").alias("time"), F.col("o_totalprice").alias("value"))
     listed = grid.valid_years(o).withColumns({"syears": F.array("syear"), "eyears": F.array("eyear"), "lat": F.lit(0.0), "lon": F.lit(0.0)})
-    return grid.usable_stations(listed, min_years=4, inclusive=False).select("station_id", F.col("use_syear").cast("long").alias("use_syear"), F.col("use_eyear").cast("long").alias("use_eyear"))
+    return grid.usable_stations(listed, min_years=6, inclusive=False).select("station_id", F.col("use_syear").cast("long").alias("use_syear"), F.col("use_eyear").cast("long").alias("use_eyear"))
 
 
 @query(f"WITH {SQL_FINE} SELECT (i_lat // 3)::INT AS i_lat, (i_lon // 3)::INT AS i_lon, round(avg(value), 3) AS value FROM fi GROUP BY 1, 2 HAVING count(*) = 9")
