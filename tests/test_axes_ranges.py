@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import positions as places
 from tidemark.functions import quantiles as selection
 from tidemark.operators import compare, pairing
+from tidemark.sources import tables
 
 SERIES = "variable string, source string, cell int, time int, value double"
 
@@ -108,3 +109,21 @@ def test_densities_of_large_groups_are_near_the_direct_sums(spark):
         mine = [d for _, d in sorted((r.x, r.density) for r in got if r.g == g)]
         bound = (((v.max() - v.min()) / (compare.BINS - 1)) / h) ** 2 / 8 / (h * np.sqrt(2 * np.pi)) if g == "large" else 1e-12
         assert np.abs(np.array(mine) - want).max() <= bound
+
+
+def test_bucketed_tables_are_paired_without_an_exchange(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [("v", s, c, t, float(c * t)) for s in ("R", "A", "B") for c in range(9) for t in range(20)]
+        df = spark.createDataFrame(rows, SERIES)
+        on = ["variable", "cell", "time"]
+        sims, refs = (tables.bucketed(df.filter(w), n, f"file://{tmp_path}/{n}", on, 4) for w, n in (("source <> 'R'", "paired_sims"), ("source = 'R'", "paired_refs")))
+        got = pairing.pair(sims, refs, on)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert got.count() == 2 * 9 * 20 and got.filter("s <> o").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE IF EXISTS paired_sims")
+        spark.sql("DROP TABLE IF EXISTS paired_refs")

@@ -676,6 +676,15 @@ def io11_compact(spark, sf_dir):
     return tables.read_series(spark, out).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {SQL_GRID} SELECT ref, sim, cell, count(*) AS n, round(sum(s - o), 2) AS difference FROM pairs GROUP BY 1, 2, 3")
+def io11_j1_bucketed_pairing(spark, sf_dir):
+    """References and simulations as bucketed tables, paired where they lie."""
+    on, series = ["variable", "cell", "time"], domain.grid_series(spark, sf_dir)
+    name = lambda: f"series_{uuid.uuid4().hex}"
+    sims, refs = (tables.bucketed(series.filter(which), name(), scratch(spark), on, 8) for which in ("source <> 'R'", "source = 'R'"))
+    return pairing.pair(sims, refs, on).groupBy("ref", "sim", "cell").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("s") - F.col("o")), 2).alias("difference"))
+
+
 @query(f"WITH {SQL_GRID} SELECT ref, sim, cell, n, round(d_mean, 4) AS bias, round(sqrt(d_sq), 4) AS \"RMSE\", round(r, 5) AS correlation FROM moments")
 def streaming_moments(spark, sf_dir):
     pairs, out = scratch(spark), scratch(spark)

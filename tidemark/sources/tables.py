@@ -76,6 +76,16 @@ def compact(df: DataFrame, path: str, keys: Sequence[str], files: int, time: str
     df.repartition(files, *keys).sortWithinPartitions(*keys, time).write.mode("overwrite").parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """A table of one sorted file per bucket of the keys. Two such tables with as many buckets are joined on the keys where they lie, without an exchange.
+
+    Write the sources of a comparison so once, by the keys that they are paired on; every pairing, mask and metric then reads them in place.
+    """
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, *keys).sortBy(*keys)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_named(df: DataFrame, root: str, by: str, name) -> None:
     """One Parquet file per value of a column with few values, named name(value).parquet, for readers that go by names.
 
