@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import positions as places
 from tidemark.functions import quantiles as selection
-from tidemark.operators import compare, pairing
+from tidemark.operators import compare, pairing, skill
 from tidemark.sources import tables
 
 SERIES = "variable string, source string, cell int, time int, value double"
@@ -127,3 +127,12 @@ def test_bucketed_tables_are_paired_without_an_exchange(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("DROP TABLE IF EXISTS paired_sims")
         spark.sql("DROP TABLE IF EXISTS paired_refs")
+
+
+def test_scores_read_their_source_once(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows = [("R", "A", c, f"{2000 + t // 12}-{t % 12 + 1:02d}-01", float(rng.normal()), float(rng.normal())) for c in range(3) for t in range(36)]
+    spark.createDataFrame(rows, "ref string, sim string, cell int, time string, s double, o double").withColumn("time", F.to_date("time")).write.parquet(f"{tmp_path}/source")
+    got = skill.scores(spark.read.parquet(f"{tmp_path}/source"), ["ref", "sim"], ["cell"])
+    assert f"{tmp_path}/source" not in got._jdf.queryExecution().optimizedPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 3 and got.filter("Overall_Score IS NULL").count() == 0

@@ -88,14 +88,16 @@ def clipped_median(df: DataFrame, keys: Sequence[str], value: str, low: float =
     middle = [(low + high) / 2 - span + span * k / STEPS for k in range(2 * STEPS + 1)]
     shares = [low - REACH, low + REACH, high - REACH, high + REACH, *under, *over, *middle]
     sketch = _sketched(rows, keys, shares)
-    s = lambda k: F.get("__s", F.lit(k))
-    # at least this share lies below the lower cut, at most that share up to the upper one
-    below = F.greatest(F.lit(0.0), *(F.when(s(4 + k) < s(0), p - REACH) for k, p in enumerate(under)))
-    upto = F.least(F.lit(1.0), *(F.when(s(4 + STEPS + k) > s(3), p + REACH) for k, p in enumerate(over)))
-    first, last = (below + high) / 2 - 3 * REACH, (low + upto) / 2 + 3 * REACH
+    s = lambda k: F.get("__s", F.lit(k) if isinstance(k, int) else k)
+    part = lambda first, n: F.slice("__s", first + 1, n)
+    # at least this share lies below the lower cut, at most that share up to the upper one; the grids' steps are even
+    m, n = F.size(F.filter(part(4, STEPS), lambda v: v < s(0))), F.size(F.filter(part(4 + STEPS, STEPS), lambda v: v > s(3)))
+    below = F.when(m > 0, F.greatest(F.lit(0.0), (m - 1) * (low / STEPS) - REACH)).otherwise(0.0)
+    upto = F.when(n > 0, F.least(F.lit(1.0), 1 - (n - 1) * ((1 - high) / STEPS) + REACH)).otherwise(1.0)
     near = 4 + 2 * STEPS
-    lo = F.coalesce(F.greatest(*(F.when(F.lit(p) <= first, s(near + k)) for k, p in enumerate(middle))), s(near))
-    hi = F.coalesce(F.least(*(F.when(F.lit(p) >= last, s(near + k)) for k, p in enumerate(middle))), s(near + 2 * STEPS))
+    place = lambda share: (share - middle[0]) / (middle[1] - middle[0])
+    lo = s(near + F.greatest(F.lit(0), F.floor(place((below + high) / 2 - 3 * REACH))).cast("int"))
+    hi = s(near + F.least(F.lit(2 * STEPS), F.ceil(place((low + upto) / 2 + 3 * REACH))).cast("int"))
     counted = _counted(rows, sketch, keys, F.array(_bracket(0, 1), _bracket(2, 3), F.struct(lo.alias("lo"), hi.alias("hi"))))
     w = W.partitionBy(*keys)
     ranks = {"__a": (F.col("n") - 1) * F.lit(float(low)), "__b": (F.col("n") - 1) * F.lit(float(high))}

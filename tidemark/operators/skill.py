@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.guards import histogram_bin, plus, ratio, root
+from ..sources.scratch import spooled
 
 #: Mergeable moments, as SQL aggregates: one partial aggregation gives them all.
 MOMENTS = {
@@ -221,10 +222,14 @@ def overall(weights: Mapping[str, float] = SCORE_WEIGHTS) -> Column:
 
 
 def scores(pairs: DataFrame, field: Sequence[str], cell: Sequence[str], *, time: str = "time") -> DataFrame:
-    """All scores per field and cell, with the per-cell means of both sides."""
+    """All scores per field and cell, with the per-cell means of both sides.
+
+    Means, moments about them, months and the field of means each need the pairs. So the pairs are written once, and what they come from is read once; so is the table of cells.
+    """
     keys = [*field, *cell]
+    pairs = spooled(pairs.select(*keys, time, "s", "o"), "pairs")
     means = moments(pairs, keys, with_mean=True)
-    own = means.select(*keys, "s_mean", "o_mean", *(METRICS[n]().alias(n) for n in ("nBiasScore", "nRMSEScore", "index_agreement")))
+    own = spooled(means.select(*keys, "s_mean", "o_mean", *(METRICS[n]().alias(n) for n in ("nBiasScore", "nRMSEScore", "index_agreement"))), "cells")
     joined = own.join(seasonal_scores(month_table(pairs, keys, time=time), keys), keys).join(spatial_score(own, field), list(field))
     return joined.withColumn("Overall_Score", overall())
 
