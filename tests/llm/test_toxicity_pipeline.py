@@ -209,3 +209,17 @@ def test_near_duplicates_of_the_table_against_brute_force(spark):
     lost = [p for p in near if p[0] in kept and p[1] in kept]
     print(f"near pairs {len(near)}, left in {len(lost)}")
     assert near and len(lost) <= 0.02 * len(near)
+
+
+def test_stages_and_columns_with_their_own_names(spark):
+    line = "this line is long enough to be looked at by the stage"
+    rows = [(k, f"{line}\nown text number {k} of the few", "en", "s", 1, "mine", 7, 9) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_lines string, n_dropped int, copies int")
+    kept = corpus_pipeline.dedup_lines(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    got = {r.doc_id: r for r in kept.collect()}
+    assert all(r.n_lines == "mine" and r.n_dropped == 7 and r.n_chars == len(r.text) for r in got.values()) and got[0].text == "own text number 0 of the few" and got[5].text.startswith(line)
+    mixed = corpus_pipeline.mix(spark, docs, DATA)
+    assert mixed.columns == [*(c for c in docs.columns if c != "copies"), "copies"] and {r.copies for r in mixed.collect()} <= {1, 2, 3}
+    near = corpus_pipeline.dedup_near(spark, docs, DATA)
+    assert near.columns == docs.columns and near.count() == 6
