@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import ngrams, phrases
 from tidemark.llm.phrases import BLANKS, BREAKS
@@ -91,3 +92,23 @@ def test_words_whose_hashes_collide_are_told_apart(monkeypatch, spark):
     monkeypatch.setattr(phrases, "_grams", lambda block, salts, n: np.zeros(max(0, len(block.hashes) - n + 1), np.uint64))
     found = phrases._found(alike, np.zeros(1, np.uint64), ["en"], everything)
     assert {k[1]: v[0] for k, v in found.items()} == Counter(" ".join(p).encode() for n in range(1, 5) for p in zip(*("ab cd ab ef cd".split()[k:] for k in range(n)), strict=False))
+
+
+def test_fingerprints_of_several_phrases_are_counted_by_words(spark):
+    """Doubtful are those whose second hashes differ and those whose pointer leads nowhere."""
+    docs = [(k, "en", f"one two three. four five {'six' if k % 2 else 'seven'}") for k in range(40)]
+    df = spark.createDataFrame(docs, "id long, lang string, text string")
+    for same, moved in ((False, 0), (True, 12345)):
+        table = phrases.spool(phrases.counts(df, (1, 2, 3, 4), None, 1).groupBy("fp").agg(F.sum("n").alias("n"), (F.min("at") + moved).alias("at")).withColumn("same", F.lit(same)).filter("n >= 20"), "t")
+        exact, words = phrases.exact_counts(df, table, 20)
+        got = {(r.lang, r.phrase): r.n for r in exact.collect()}
+        want = Counter(("en", " ".join(w[k : k + n])) for _, _, t in docs for w in pieces_of(t) for n in range(1, 5) for k in range(len(w) - n + 1))
+        assert got == {k: n for k, n in want.items() if n >= 20}
+        assert {r.lang: r.n for r in words.collect()} == {"en": 240}
+
+
+def test_second_hashes_tell_phrases_of_one_fingerprint_apart():
+    block = next(ngrams.blocks(pa.array(["ab cd ab ef cd"]), BLANKS, BREAKS, checked=True))
+    assert len(set(block.checks.tolist())) == 3 and block.checks[0] == block.checks[2]
+    a, b = ngrams.fingerprints(block.hashes, 2), ngrams.fingerprints(block.checks, 2, ngrams.WORD_BASE_2)
+    assert len(set(a.tolist())) == len(set(b.tolist())) == 4 and not set(a.tolist()) & set(b.tolist())

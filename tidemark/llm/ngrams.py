@@ -13,6 +13,8 @@ from .tokens import mixed
 
 #: Odd bases of the polynomials over bytes and over words, modulo 2^64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+#: Others, for second hashes.
+BYTE_BASE_2, WORD_BASE_2 = 0xA24BAED4963EE407, 0x9FB21C651E98DF25
 #: Bytes of text that are worked on at once.
 BLOCK = 1 << 19
 #: Words that a block takes over from the one before, so that n-grams across the cut are whole.
@@ -22,7 +24,7 @@ CARRY = 3
 class Block(NamedTuple):
     """Words in order; the first `carried` stood in the block before. text is lower-cased, starts and ends point into it.
 
-    pieces tells which words may stand in one n-gram. Rows first to last - 1 end in this block.
+    pieces tells which words may stand in one n-gram. Rows first to last - 1 end in this block. checks are second hashes, where asked for.
     """
 
     text: np.ndarray
@@ -34,6 +36,7 @@ class Block(NamedTuple):
     carried: int
     first: int
     last: int
+    checks: np.ndarray = np.zeros(0, np.uint64)
 
     def word(self, k: int) -> bytes:
         return self.text[self.starts[k] : self.ends[k]].tobytes()
@@ -58,6 +61,17 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return lower, mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(WORD_BASE))
 
 
+U_CHECK = np.uint64(0x5851F42D4C957F2D)
+
+
+def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """The hash of each stretch of values: a difference of two prefix sums of the polynomial, moved to the power 0."""
+    up, down = powers(base, len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts])
+
+
 def mask(chars: bytes) -> np.ndarray:
     """A table of 256 flags, set at these bytes."""
     found = np.zeros(256, bool)
@@ -73,7 +87,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def blocks(column: pa.Array, blanks: np.ndarray, breaks: np.ndarray | None = None, block: int = BLOCK) -> Iterator[Block]:
+def blocks(column: pa.Array, blanks: np.ndarray, breaks: np.ndarray | None = None, block: int = BLOCK, checked: bool = False) -> Iterator[Block]:
     """The words of a column of texts, block by block. blanks part words; breaks also part pieces.
 
     A long text is cut between words, so memory follows the block's size and the longest word. Every row ends in one block.
@@ -82,7 +96,7 @@ def blocks(column: pa.Array, blanks: np.ndarray, breaks: np.ndarray | None = Non
     apart = blanks if breaks is None else blanks | breaks
     lower, values = _tables()
     at, end, row, piece = int(offsets[0]), int(offsets[-1]), 0, 0
-    held = [np.zeros(0, np.uint8), *(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))]
+    held = [np.zeros(0, np.uint8), *(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))]
     while True:
         cut = min(at + block, end)
         while cut < end and not apart[data[cut - 1]]:
@@ -102,15 +116,13 @@ def blocks(column: pa.Array, blanks: np.ndarray, breaks: np.ndarray | None = Non
         rows = np.searchsorted(offsets, starts + at, "right") - 1
         parted = np.searchsorted(np.flatnonzero(breaks[text]), starts) if breaks is not None else np.zeros(len(starts), np.int64)
         pieces = piece + parted + rows
-        up, down = powers(BYTE_BASE, len(text) + 1)
-        sums = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum(values[text] * up[: len(text)], out=sums[1:])
-        hashes = mixed((sums[ends] - sums[starts]) * down[starts])
+        hashes = _spans(values[text], starts, ends, BYTE_BASE)
+        checks = _spans(values[text] ^ U_CHECK, starts, ends, BYTE_BASE_2) if checked else np.zeros(0, np.uint64)
         piece += int(breaks[text].sum()) if breaks is not None else 0
         carried, shift = len(held[1]), len(held[0])
         made = Block(
             np.concatenate([held[0], text]), np.concatenate([held[1], starts + shift]), np.concatenate([held[2], ends + shift]), np.concatenate([held[3], rows]),
-            np.concatenate([held[4], pieces]), np.concatenate([held[5], hashes]), carried, row, last,
+            np.concatenate([held[4], pieces]), np.concatenate([held[5], hashes]), carried, row, last, np.concatenate([held[6], checks]),
         )
         yield made
         if cut >= end:
@@ -118,7 +130,7 @@ def blocks(column: pa.Array, blanks: np.ndarray, breaks: np.ndarray | None = Non
         k = max(0, len(made.starts) - CARRY)
         keep = [made.text[s:e] for s, e in zip(made.starts[k:], made.ends[k:], strict=True)]
         sizes = np.array([0, *(len(x) for x in keep)], np.int64).cumsum()
-        held = [np.concatenate([np.zeros(0, np.uint8), *keep]), sizes[:-1], sizes[1:], made.rows[k:], made.pieces[k:], made.hashes[k:]]
+        held = [np.concatenate([np.zeros(0, np.uint8), *keep]), sizes[:-1], sizes[1:], made.rows[k:], made.pieces[k:], made.hashes[k:], made.checks[k:]]
         at, row = cut, last
 
 
@@ -154,10 +166,7 @@ def identify(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return firsts, numbers
 
 
-def fingerprints(hashes: np.ndarray, n: int) -> np.ndarray:
+def fingerprints(hashes: np.ndarray, n: int, base: int = WORD_BASE) -> np.ndarray:
     """For each position the fingerprint of the n words from there, as far as they fit: a difference of two prefix sums."""
-    up, down = powers(WORD_BASE, len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
-    m = max(0, len(hashes) - n + 1)
-    return mixed((sums[n : n + m] - sums[:m]) * down[:m] + np.uint64(n))
+    starts = np.arange(max(0, len(hashes) - n + 1))
+    return mixed(_spans(hashes, starts, starts + n, base) + np.uint64(n))

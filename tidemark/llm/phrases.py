@@ -11,22 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, spool
-from .ngrams import Block, blocks, fingerprints, identify, mask
+from .common import Scratch, is_empty, spool
+from .ngrams import WORD_BASE_2, Block, blocks, fingerprints, identify, mask
 from .tokens import mixed
 
 #: Between words; also between pieces, over which no phrase reaches.
 BLANKS, BREAKS = mask(b" \t"), mask(b".,;:!?\n\x0b\f\r")
 #: Words of the longest phrase.
 LONGEST = 4
-#: Fingerprints that are gathered before they are counted, and phrases before they are sent.
-GATHERED, SENT = 1 << 21, 1 << 19
+#: Fingerprints that are gathered before they are counted.
+GATHERED = 1 << 21
 #: Bits of a filter per entry, and bits of the largest filter (16 MiB).
-BITS_EACH, MOST_BITS = 16, 1 << 27
+BITS_EACH, MOST_BITS = 32, 1 << 27
 
 
 class Filter:
-    """A bit per range of fingerprints: no frequent one is missed, and what passes by chance falls out when it is counted.
+    """Two bits per entry, from either end of the fingerprint: no frequent one is missed, and what passes by chance falls out when it is counted.
 
     Its size follows the number of entries up to a fixed bound; beyond that more passes, and results stay the same.
     """
@@ -34,15 +34,17 @@ class Filter:
     def __init__(self, frequent: DataFrame):
         entries = frequent.count()
         self.bits = min(MOST_BITS, max(1 << 16, 1 << (max(1, entries) * BITS_EACH - 1).bit_length())).bit_length() - 1
-        place = F.shiftrightunsigned("fp", 64 - self.bits)
-        words = frequent.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(fp, {64 - self.bits}) & 63 as int))")).alias("set")).toArrow()
+        place = F.explode(F.array(F.shiftrightunsigned("fp", 64 - self.bits), F.col("fp").bitwiseAND(F.lit((1 << self.bits) - 1).cast("long"))))
+        words = frequent.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toArrow()
         found = np.zeros(1 << (self.bits - 6), np.int64)
         found[words.column("word").to_numpy()] = words.column("set").to_numpy()
         self.shared = frequent.sparkSession.sparkContext.broadcast(found.view(np.uint8))
 
     def has(self, fps: np.ndarray) -> np.ndarray:
-        place = fps >> np.uint64(64 - self.bits)
-        return (self.shared.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+        held, found = self.shared.value, np.ones(len(fps), np.uint8)
+        for place in (fps >> np.uint64(64 - self.bits), fps & np.uint64((1 << self.bits) - 1)):
+            found &= held[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)
+        return found & np.uint8(1) == 1
 
 
 def _salts(langs: list[str]) -> np.ndarray:
@@ -61,37 +63,94 @@ def _whole(block: Block, n: int) -> np.ndarray:
     return (block.pieces[:m] == block.pieces[n - 1 : n - 1 + m]) & (np.arange(m) >= block.carried - n + 1)
 
 
+def _mark(block: Block) -> np.uint64:
+    """What a block is told by: its words, so that a later pass knows it again."""
+    return np.bitwise_xor.reduce(mixed(block.hashes + np.arange(len(block.hashes), dtype=np.uint64))) if len(block.hashes) else np.uint64(0)
+
+
 def counts(docs: DataFrame, sizes: tuple[int, ...], parts: Filter | None, part: int) -> DataFrame:
-    """(fp, n) of the phrases of docs(id, lang, text) with these numbers of words, all of whose parts of `part` words pass the filter."""
+    """(fp, n, at, check) of the phrases of docs(id, lang, text) with these numbers of words, all of whose parts of `part` words pass the filter.
+
+    at points to the block of an occurrence; check is half of a second hash. Occurrences whose second hash differs from that of the first have rows of their own.
+    """
 
     def run(batches):
         gathered, held = [], 0
 
         def told():
-            fps, n = np.unique(np.concatenate(gathered), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array(n)], names=["fp", "n"])
+            fps, checks, marks = (np.concatenate(x) for x in zip(*((f, c, np.full(len(f), m)) for f, c, m in gathered), strict=True))
+            found, first, number, n = np.unique(fps, return_index=True, return_inverse=True, return_counts=True)
+            other = np.flatnonzero(checks != checks[first][number])
+            if len(other):
+                n = n - np.bincount(number[other], minlength=len(n))
+            rows = np.concatenate([first, other])
+            return pa.RecordBatch.from_arrays([pa.array(fps[rows].view(np.int64)), pa.array(np.concatenate([n, np.ones(len(other), np.int64)])), pa.array(marks[rows].view(np.int64)), pa.array(checks[rows])], names=["fp", "n", "at", "check"])
 
         for batch in batches:
             salts = _salts(batch.column(1).to_pylist())
-            for block in blocks(batch.column(2), BLANKS, BREAKS):
+            for block in blocks(batch.column(2), BLANKS, BREAKS, checked=True):
                 passed = parts.has(_grams(block, salts, part)) if parts else None
+                mark = _mark(block)
                 for n in sizes:
                     whole = _whole(block, n)
                     for k in range(n - part + 1) if parts else ():
                         whole &= passed[k : k + len(whole)]
-                    gathered.append(_grams(block, salts, n)[whole])
-                    held += len(gathered[-1])
+                    checks = (fingerprints(block.checks, n, WORD_BASE_2) ^ salts[block.rows[: len(whole)]]) >> np.uint64(33)
+                    gathered.append((_grams(block, salts, n)[whole], checks[whole].astype(np.int32), mark))
+                    held += len(gathered[-1][0])
                 if held >= GATHERED:
                     yield told()
                     gathered, held = [], 0
         if held:
             yield told()
 
-    return docs.mapInArrow(run, "fp long, n long")
+    return docs.mapInArrow(run, "fp long, n long, at long, check int")
+
+
+def pointed(docs: DataFrame, frequent: Filter, owners: Filter) -> DataFrame:
+    """(fp, lang, phrase, id) of the phrases that the occurrences in owners point to, cut from the text where they stand.
+
+    A row without fp tells the number of all words per language, as n. Rows of what passes a filter by chance are to be dropped.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            ids, langs = batch.column(0), [x if x is not None else "und" for x in batch.column(1).to_pylist()]
+            salts, words = _salts(batch.column(1).to_pylist()), np.zeros(batch.num_rows, np.int64)
+            for block in blocks(batch.column(2), BLANKS, BREAKS):
+                words += np.bincount(block.rows[block.carried :], minlength=batch.num_rows)
+                mark, passed = _mark(block), np.ones(len(block.hashes) + 1, bool)
+                found: list[tuple[int, int, int]] = []
+                for n in range(1, LONGEST + 1):
+                    fps, at, passed = _passing(block, salts, n, passed, frequent)
+                    own = at[owners.has(fps[at] ^ mark)]
+                    _, first = np.unique(fps[own], return_index=True)
+                    found += [(n, p, f) for p, f in zip(own[first].tolist(), fps[own[first]].view(np.int64).tolist(), strict=True)]
+                text = [b" ".join([block.word(p + k) for k in range(n)]).decode() for n, p, _ in found]
+                rows = block.rows[[p for _, p, _ in found]].tolist() if found else []
+                yield pa.RecordBatch.from_arrays([pa.array([f for _, _, f in found], pa.int64()), pa.array([langs[r] for r in rows], pa.string()), pa.array(text, pa.string()), ids.take(pa.array(rows, pa.int64())), pa.nulls(len(found), pa.int64())], names=["fp", "lang", "phrase", "id", "n"])
+            total = defaultdict(int)
+            for lang, c in zip(langs, words.tolist(), strict=True):
+                total[lang] += c
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(total), pa.int64()), pa.array(list(total), pa.string()), pa.nulls(len(total), pa.string()), pa.nulls(len(total), ids.type), pa.array(list(total.values()), pa.int64())], names=["fp", "lang", "phrase", "id", "n"])
+
+    return docs.mapInArrow(run, f"fp long, lang string, phrase string, id {kind}, n long")
+
+
+def _passing(block: Block, salts: np.ndarray, n: int, passed: np.ndarray, filtered: Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprints of n words, the places that are new in this block and pass, all that pass); passed are those of n - 1 words, as a longer phrase's parts are as frequent."""
+    fps = _grams(block, salts, n)
+    m = len(fps)
+    at = np.flatnonzero((block.pieces[:m] == block.pieces[n - 1 : n - 1 + m]) & passed[:m] & passed[1 : m + 1])
+    at = at[filtered.has(fps[at])]
+    passed = np.zeros(len(block.hashes) + 1, bool)
+    passed[at] = True
+    return fps, at[at >= block.carried - n + 1], passed
 
 
 def _found(block: Block, salts: np.ndarray, langs: list[str], filtered: Filter) -> dict[tuple[str, bytes], list]:
-    """(lang, phrase) -> [occurrences, row and word of the first] of a block, for phrases that pass the filter.
+    """(lang, phrase) -> [occurrences, row of the first, fingerprint] of a block, for phrases that pass the filter.
 
     Occurrences of a fingerprint are held against the words of the first; those that differ are phrases of their own.
     """
@@ -101,10 +160,7 @@ def _found(block: Block, salts: np.ndarray, langs: list[str], filtered: Filter)
     codes = {x: k for k, x in enumerate(dict.fromkeys(langs))}
     row_lang = np.array([codes[x] for x in langs], np.int64)[block.rows]
     for n in range(1, LONGEST + 1):
-        whole = _whole(block, n)
-        fps = _grams(block, salts, n)
-        at = np.flatnonzero(whole)
-        at = at[filtered.has(fps[at])]
+        fps, at, _ = _passing(block, salts, n, np.ones(len(block.hashes) + 1, bool), filtered)
         _, first, number, times = np.unique(fps[at], return_index=True, return_inverse=True, return_counts=True)
         rep = at[first][number]
         same = row_lang[at] == row_lang[rep]
@@ -112,51 +168,47 @@ def _found(block: Block, salts: np.ndarray, langs: list[str], filtered: Filter)
             same &= numbers[at + k] == numbers[rep + k]
         if not same.all():
             times = np.bincount(number[same], minlength=len(first))
-        words = [numbers[at[first] + k].tolist() for k in range(n)]
-        for k, (p, c, row) in enumerate(zip(at[first].tolist(), times.tolist(), block.rows[at[first]].tolist(), strict=True)):
-            found[langs[row], b" ".join([names[w[k]] for w in words])] = [c, row, p]
+        for p, c, row, f in zip(at[first].tolist(), times.tolist(), block.rows[at[first]].tolist(), fps[at[first]].view(np.int64).tolist(), strict=True):
+            found[langs[row], b" ".join([names[numbers[p + k]] for k in range(n)])] = [c, row, f]
         for p in at[~same].tolist():
-            entry = found.setdefault((langs[block.rows[p]], b" ".join(names[numbers[p + k]] for k in range(n))), [0, int(block.rows[p]), p])
+            entry = found.setdefault((langs[block.rows[p]], b" ".join(names[numbers[p + k]] for k in range(n))), [0, int(block.rows[p]), int(fps[p : p + 1].view(np.int64)[0])])
             entry[0] += 1
     return found
 
 
-def materialised(docs: DataFrame, filtered: Filter) -> DataFrame:
-    """(lang, phrase, n, id) of the phrases of docs(id, lang, text) that pass the filter, and with an empty phrase the number of all words.
-
-    id is that of a document in which the phrase stands. Rows of one phrase are still to be added up.
-    """
+def recounted(docs: DataFrame, filtered: Filter) -> DataFrame:
+    """(fp, lang, phrase, id, n) of the phrases of docs(id, lang, text) that pass the filter, counted by their words per block. Rows of one phrase are still to be added up."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        total: dict[tuple[str, bytes], list] = {}
-
-        def told():
-            keys, values = list(total), list(total.values())
-            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1].decode() for k in keys], pa.string()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], id_type)]
-            total.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n", "id"])
-
         for batch in batches:
-            ids, langs = batch.column(0).to_pylist(), [x if x is not None else "und" for x in batch.column(1).to_pylist()]
-            id_type, salts, words = batch.column(0).type, _salts(batch.column(1).to_pylist()), defaultdict(int)
+            ids, langs = batch.column(0), [x if x is not None else "und" for x in batch.column(1).to_pylist()]
+            salts = _salts(batch.column(1).to_pylist())
             for block in blocks(batch.column(2), BLANKS, BREAKS):
-                for key, (c, row, _) in _found(block, salts, langs, filtered).items():
-                    if (entry := total.get(key)) is None:
-                        total[key] = [c, ids[row]]
-                    else:
-                        entry[0] += c
-                per_row = np.bincount(block.rows[block.carried :], minlength=len(langs)) if len(langs) else ()
-                for row in np.flatnonzero(per_row).tolist():
-                    words[langs[row]] += int(per_row[row])
-                if len(total) >= SENT:
-                    yield told()
-            for lang, c in words.items():
-                total.setdefault((lang, b""), [0, None])[0] += c
-        if total:
-            yield told()
+                found = _found(block, salts, langs, filtered)
+                values = list(found.values())
+                columns = [pa.array([v[2] for v in values], pa.int64()), pa.array([k[0] for k in found], pa.string()), pa.array([k[1].decode() for k in found], pa.string()), ids.take(pa.array([v[1] for v in values], pa.int64())), pa.array([v[0] for v in values], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["fp", "lang", "phrase", "id", "n"])
+
+    return docs.mapInArrow(run, f"fp long, lang string, phrase string, id {kind}, n long")
 
-    return docs.mapInArrow(run, f"lang string, phrase string, n long, id {kind}")
+
+def exact_counts(docs: DataFrame, frequent: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """((lang, phrase, n, id) of the phrases behind frequent(fp, n, at, same) with at least `least` occurrences, (lang, n) of all words).
+
+    One pass cuts each phrase from the text that its pointer leads to. A fingerprint whose second hashes differ belongs to several phrases; it, and
+    one whose block wasn't found again because the rows came in another order, is counted anew by the words themselves.
+    """
+    texts = spool(pointed(docs, Filter(frequent.select("fp")), Filter(frequent.select(F.col("fp").bitwiseXOR(F.col("at")).alias("fp")))), "phrases-texts")
+    words = texts.filter("fp IS NULL").groupBy("lang").agg(F.sum("n").alias("n")).filter("n > 0")
+    cut = texts.filter("fp IS NOT NULL").groupBy("fp").agg(F.min_by(F.struct("lang", "phrase", "id"), F.struct("lang", "phrase")).alias("p"), F.min("phrase").alias("x"), F.max("phrase").alias("y"))
+    known = spool(frequent.join(cut, "fp", "left").select("fp", frequent["n"], "p.lang", "p.phrase", "p.id", (F.col("same") & F.coalesce(F.col("x") == F.col("y"), F.lit(False))).alias("plain")), "phrases-known")
+    out = known.filter("plain").select("lang", "phrase", "n", "id")
+    doubtful = known.filter("NOT plain").select("fp")
+    if not is_empty(doubtful):
+        again = recounted(docs, Filter(doubtful)).join(doubtful, "fp", "left_semi").groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
+        out = out.unionByName(again.filter(F.col("n") >= least))
+    return out, words
 
 
 def collocations(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: int = 30, inside: int = 80, scale: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
@@ -167,21 +219,22 @@ def collocations(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     percent of their occurrences are left out. The second is (lang, n).
 
     A phrase is frequent only if its parts are. So words, then pairs, then what has three and four words are
-    counted by fingerprints, each level only where the one before allows; a task adds up its own first. What is frequent is then
-    read from the text once more and counted by its words themselves, so that a collision of fingerprints can't change a count.
+    counted by fingerprints, each level only where the one before allows; a task adds up its own first, and keeps a pointer to one occurrence. What is frequent is then
+    cut from the text that its pointer leads to; where a second hash tells that a fingerprint has several phrases, they are counted by their words.
 
     A-Z are taken in lower case; `[.,;:!?\\x0A-\\x0D]` end a piece, blanks and tabs part words. A null language is und, null
     texts are empty, null ids are kept as ids; repeated rows count each. An empty table gives empty frames. Very long texts are read in blocks.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     with Scratch() as scratch:
-        level = lambda what, *how: spool(counts(docs, *how).groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("fp"), what)
+        whole = lambda df: df.groupBy("fp").agg(F.sum("n").alias("n"), F.min("at").alias("at"), (F.min("check") == F.max("check")).alias("same"))
+        level = lambda what, *how: spool(whole(counts(docs, *how)).filter(F.col("n") >= least), what)
         ones = level("phrases-1", (1,), None, 1)
-        pairs = level("phrases-2", (2,), Filter(ones), 1)
-        longer = level("phrases-3", tuple(range(3, LONGEST + 1)), Filter(pairs), 2)
-        added = materialised(docs, Filter(ones.unionByName(pairs).unionByName(longer))).groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
-        exact = scratch.keep(spool(added.filter((F.col("n") >= least) | (F.col("phrase") == "")), "phrases"))
-    known = exact.filter("phrase <> ''").select("lang", "phrase", F.col("n").alias("a"), "id", F.split("phrase", " ").alias("words"))
+        pairs = level("phrases-2", (2,), Filter(ones.select("fp")), 1)
+        longer = level("phrases-3", tuple(range(3, LONGEST + 1)), Filter(pairs.select("fp")), 2)
+        exact, words = exact_counts(docs, ones.unionByName(pairs).unionByName(longer), least)
+        exact, words = scratch.keep(spool(exact, "phrases")), scratch.keep(spool(words, "phrases-words"))
+    known = exact.select("lang", "phrase", F.col("n").alias("a"), "id", F.split("phrase", " ").alias("words"))
     candidates = known.filter(F.size("words") > 1)
     joined = lambda a, b: F.array_join(F.slice("words", a, b), " ")
     part = lambda name, n: known.select("lang", F.col("phrase").alias(name), F.col("a").alias(n))
@@ -191,7 +244,7 @@ def collocations(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spans = F.flatten(F.transform(F.sequence(F.lit(2), F.size("words") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda s: F.array_join(F.slice("words", s, n), " "))))
     within = candidates.filter(F.size("words") > 2).select("lang", F.explode(spans).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = weakest.join(within, ["lang", "phrase"], "left").filter(f"longer IS NULL OR cast(longer as decimal(20,0)) * 100 < cast(a as decimal(20,0)) * {inside}").drop("longer")
-    return kept, exact.filter("phrase = ''").select("lang", "n")
+    return kept, words
 
 
 def ranked(kept: DataFrame, words: DataFrame, most: int) -> DataFrame:
