@@ -219,10 +219,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return pairs.join(body("u"), "u").join(body("v"), "v").select("u", "v", "body_u", "body_v").mapInArrow(run, "u string, v string")
 
 
-#: Rounds in which a bucket's smallest node is compared with the others before those left are compared pair by pair; in refined buckets one.
+#: Rounds in which a bucket's smallest node is compared with the others before those left are compared pair by pair.
 ROUNDS = 3
-#: Nodes that a bucket may have for that. A larger one is dealt into FINER bands of FINER_ROWS min-hashes, and those again, LEVELS times at most.
-CROWD, FINER, FINER_ROWS, LEVELS = 32, 6, 3, 5
+#: Pairs per node of the table that are compared outright. If there are more, only buckets of CROWD nodes or fewer are; a larger one is dealt
+#: into FINER bands of FINER_ROWS min-hashes, and those again, LEVELS times at most.
+PAIRS, CROWD, FINER, FINER_ROWS, LEVELS = 8, 32, 6, 3, 5
 
 
 def refined(crowded: DataFrame, sketch: DataFrame, level: int) -> DataFrame:
@@ -261,12 +262,13 @@ def _compared(buckets: DataFrame, edges: DataFrame, similar, sketch: DataFrame)
     """edges and those among the nodes of each bucket of buckets(key, node), until no two nodes of one are unlinked and uncompared.
 
     Nodes that are in one component already need no comparison, so that a group of n copies costs n
-    comparisons. Nodes that are unlike the first few of their bucket meet pair by pair in small buckets only; those of a crowded one
+    comparisons. Nodes that are unlike the first few of their bucket meet pair by pair; where that would be more than so many pairs per node, those of a crowded bucket
     are dealt into finer buckets first. So pairs grow in proportion to the nodes, also where very many unlike texts share
     a header. What stays crowded through all levels is nearly similar throughout, and its pairs are compared.
     """
+    most = PAIRS * sketch.count()
     for level in range(LEVELS + 1):
-        rounds = 1 if level else ROUNDS
+        rounds = 0 if level else ROUNDS
         for turn in range(rounds + 1):
             with Scratch() as scratch:
                 roots = components(edges)
@@ -278,13 +280,14 @@ def _compared(buckets: DataFrame, edges: DataFrame, similar, sketch: DataFrame)
                 if turn < rounds:
                     met = live.filter("node <> head.node AND comp <> head.comp").select(F.col("head.node").alias("u"), F.col("node").alias("v"))
                 else:
-                    few = live if level == LEVELS else live.filter(F.col("n") <= CROWD)
+                    every = level == LEVELS or (live.agg(F.sum(F.col("n") - 1)).first()[0] or 0) <= 2 * most
+                    few = live if every else live.filter(F.col("n") <= CROWD)
                     a, b = few.alias("a"), few.alias("b")
                     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
                 edges = scratch.keep(spool(edges.unionByName(similar(met)), "near-edges"))
             buckets = live.filter("node <> head.node").select("key", "node")
         crowded = live.filter(F.col("n") > CROWD)
-        if level == LEVELS or is_empty(crowded):
+        if every or is_empty(crowded):
             return edges
         with Scratch() as scratch:
             buckets = scratch.keep(spool(refined(crowded.select("key", "node"), sketch, level), "near-finer"))
