@@ -180,3 +180,22 @@ def test_regression_of_parts_by_degrees_of_freedom(spark):
     got = stats.partial_least_squares(spark.createDataFrame(rows, "cell int, time int, y double, a double, b double"), ["cell"], "y", ["a", "b"]).collect()
     assert all(r.coefficient is None and r.components is None and r.p is None for r in got if r.cell == 1) and sum(r.cell == 1 for r in got) == 2
     assert all(r.coefficient is not None for r in got if r.cell != 1)
+
+
+def counted(spark, df, column):
+    """df and an accumulator of how often a value of the column was computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(x):
+        seen.add(1)
+        return x
+
+    return df.withColumn(column, F.udf(touch, "double").asNondeterministic()(column)), seen
+
+
+def test_kendall_takes_score_and_ties_from_one_reading(spark):
+    x = [1, 1, 2, 3, 3, 3, 2, 5]
+    df, seen = counted(spark, series(spark, x), "value")
+    got = stats.mann_kendall(df, ["cell"]).collect()
+    score = sum(np.sign(b - a) for a, b in itertools.combinations(x, 2))
+    assert seen.value == 8 and got[0].tau == pytest.approx(score / np.sqrt(28 * 23))

@@ -65,11 +65,11 @@ def functional_response(df: DataFrame, keys: Sequence[str], v: str = "v", u: str
     return got.select(*keys, F.when((F.col("n") >= 2) & (F.abs("mean") >= 1e-12), F.exp(-ratio(F.sqrt("sq"), F.abs("mean")))).alias("functional_response"))
 
 
-def _kendall_of(x: np.ndarray) -> tuple[int, int, float]:
-    """(score, n, tie term) of a series: pairs that rise less those that fall, counted by merging in n log n."""
+def _kendall_of(x: np.ndarray) -> tuple[int, int, float, float]:
+    """(score, n, tie term, tied pairs) of a series: pairs that rise less those that fall, counted by merging in n log n."""
     n = len(x)
     _, counts = np.unique(x, return_counts=True)
-    ties = float((counts * (counts - 1) * (2 * counts + 5)).sum())
+    ties, tied = (counts * (counts - 1) * (2 * counts + 5)).sum(), (counts * (counts - 1) / 2).sum()
     ranks, score = np.unique(x, return_inverse=True)[1], 0
     parts = [ranks[i : i + 1] for i in range(n)]
     while len(parts) > 1:
@@ -78,34 +78,30 @@ def _kendall_of(x: np.ndarray) -> tuple[int, int, float]:
             score += int(np.searchsorted(a, b, "left").sum() - (len(a) * len(b) - np.searchsorted(a, b, "right").sum()))
             merged.append(np.sort(np.concatenate([a, b]), kind="stable"))
         parts = merged + (parts[-1:] if len(parts) % 2 else [])
-    return score, n, ties
+    return score, n, float(ties), float(tied)
 
 
 def mann_kendall(df: DataFrame, keys: Sequence[str], x: str = "value", time: str = "time", alpha: float = 0.05) -> DataFrame:
     """Kendall's tau against time: n, score, tau, trend (its sign), p, significant. Under 4 values all but n and score are NULL.
 
-    A series is ordered and scored by merging, n log n, in one task per group.
+    A series is ordered and scored by merging, n log n, in one task per group. Its ties come from the same values: a
+    second run of the lineage may sum up in another order, and values at the edge of a step would differ.
     """
     kept = df.filter(F.col(x).isNotNull()).select(*keys, F.col(time).alias("__t"), F.col(x).cast("double").alias("__x"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        score, n, ties = _kendall_of(pdf.sort_values("__t", kind="stable")["__x"].to_numpy())
-        return pd.DataFrame([[*key, n, score, ties]], columns=[*keys, "n", "score", "ties"])
+        score, n, ties, tied = _kendall_of(pdf.sort_values("__t", kind="stable")["__x"].to_numpy())
+        return pd.DataFrame([[*key, n, score, ties, tied]], columns=[*keys, "n", "score", "ties", "tied"])
 
-    scored = kept.groupBy(*keys).applyInPandas(run, f"{fields(df, keys)}, n long, score long, ties double")
+    scored = kept.groupBy(*keys).applyInPandas(run, f"{fields(df, keys)}, n long, score long, ties double, tied double")
     pairs = scored.withColumn("all", F.col("n") * (F.col("n") - 1) / 2)
     # tau-b: ties of x alone, as time has none
-    return pairs.withColumn("p", tails.p_kendall(F.col("score"), F.col("n"), F.col("ties"))).join(_tied_pairs(kept, keys), list(keys)).select(
+    return pairs.withColumn("p", tails.p_kendall(F.col("score"), F.col("n"), F.col("ties"))).select(
         *keys, "n", "score", F.when(F.col("n") >= 4, ratio(F.col("score"), F.sqrt(F.col("all") * (F.col("all") - F.col("tied"))))).alias("tau"),
         F.when(F.col("n") >= 4, F.signum(F.col("score").cast("double"))).alias("trend"), "p", (F.col("p") < alpha).alias("significant"),
     )
 
 
-def _tied_pairs(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    counts = df.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("c"))
-    return counts.groupBy(*keys).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("tied"))
-
-
 def three_cornered_hat(wide: DataFrame, keys: Sequence[str], sources: Sequence[str]) -> DataFrame:
     """Error standard deviations of three or more sources, sd_<source> and relative_<source> (percent of mean |x|).
 
