@@ -199,3 +199,10 @@ def test_kendall_takes_score_and_ties_from_one_reading(spark):
     got = stats.mann_kendall(df, ["cell"]).collect()
     score = sum(np.sign(b - a) for a, b in itertools.combinations(x, 2))
     assert seen.value == 8 and got[0].tau == pytest.approx(score / np.sqrt(28 * 23))
+
+
+def test_false_discovery_compares_p_with_itself(spark):
+    tests = spark.createDataFrame([(i % 3, i / 1000) for i in range(1, 31)], "cell int, p double")
+    df, seen = counted(spark, tests, "p")
+    got = stats.false_discovery(df, ["cell"]).collect()
+    assert seen.value == 30 and all(r.significant and r.threshold == 0.03 for r in got)
