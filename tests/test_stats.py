@@ -206,3 +206,9 @@ def test_false_discovery_compares_p_with_itself(spark):
     df, seen = counted(spark, tests, "p")
     got = stats.false_discovery(df, ["cell"]).collect()
     assert seen.value == 30 and all(r.significant and r.threshold == 0.03 for r in got)
+
+
+def test_anova_compares_quartiles_with_the_same_values(spark):
+    rows = [(c, float((7 * i + c) % 9), float(i)) for c in range(3) for i in range(9)]
+    df, seen = counted(spark, spark.createDataFrame(rows, "cell int, y double, x double"), "x")
+    assert len(stats.anova_one_way(df, ["cell"], "y", ["x"]).collect()) == 3 and seen.value == 27

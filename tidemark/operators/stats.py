@@ -163,8 +163,11 @@ def false_discovery(tests: DataFrame, keys: Sequence[str], p: str = "p", alpha:
 
 
 def anova_one_way(df: DataFrame, keys: Sequence[str], y: str, predictors: Sequence[str]) -> DataFrame:
-    """The smallest p of one-way analyses of y by quartile groups of each predictor, times their number: predictor, f, p."""
-    long = df.unpivot([*keys, y], list(predictors), "predictor", "x").filter(F.col("x").isNotNull() & F.col(y).isNotNull())
+    """The smallest p of one-way analyses of y by quartile groups of each predictor, times their number: predictor, f, p.
+
+    The rows are written once: a quartile may be one of the values, and a second run of sums in another order would put that one into the next group.
+    """
+    long = spooled(df.select(*keys, y, *predictors), "series").unpivot([*keys, y], list(predictors), "predictor", "x").filter(F.col("x").isNotNull() & F.col(y).isNotNull())
     by = [*keys, "predictor"]
     q = long.groupBy(*by).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     part = F.when(F.col("x") <= F.col("q")[0], 0).when(F.col("x") <= F.col("q")[1], 1).when(F.col("x") <= F.col("q")[2], 2).otherwise(3)
