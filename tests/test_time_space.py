@@ -167,3 +167,28 @@ def test_meshes_with_holes_and_a_pinned_value(spark):
     assert holed[3, 3] is None and holed[1, 1] == pytest.approx(1.5)
     assert at([(0, 0, None, 0.0, 1.0), *square[1:3]]) == {}
     assert set(at(square, origin=(0.25, 0.25))) == {(a, b) for a in range(4) for b in range(4)}
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp", "date", "string"])
+def test_counts_of_different_times(spark, kind):
+    times = ["1969-12-30 23:00:00", "1969-12-31 23:59:59.999999", "1970-01-01 00:00:00", "1970-01-01 00:00:00", "1970-01-01 00:00:01", "1970-01-02 23:00:00", "1970-01-03 00:00:00", "2000-02-29 05:30:00", None]
+    df = spark.createDataFrame([("a", t, k) for t in times for k in ("year", "month")] + [("b", None, "day")], "file string, t string, kind string").withColumn("time", F.col("t").cast(kind))
+    want = {r.file: r.n for r in df.groupBy("file").agg(F.countDistinct("time").alias("n")).collect()}
+    got = {r.file: r.n for r in timeops.resolution_by_count(df, "file", files="kind").collect()}
+    assert got == want
+
+
+def test_counts_of_times_that_the_zone_leaves_out(spark):
+    df = spark.sql("SELECT 'a' AS file, to_timestamp_ntz(t) AS time FROM VALUES ('2021-03-14 01:30:00'), ('2021-03-14 02:30:00'), ('2021-03-14 03:30:00'), ('2021-11-07 01:30:00') AS v(t)")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert timeops.resolution_by_count(df, "file").first().n == 4
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_hours_of_a_file_meet_before_the_shuffle(spark):
+    hours = spark.range(4800).select(F.lit("a").alias("file"), F.timestamp_seconds(F.col("id") * 3600).cast("timestamp_ntz").alias("time"))
+    got = timeops.resolution_by_count(hours.coalesce(1), "file")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.first().n == 4800 and "shiftleft" in plan.lower() and "count(distinct" not in plan.lower()

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.guards import ratio
 
@@ -145,6 +146,28 @@ def upsampled(steps: DataFrame, target: str) -> DataFrame:
     return steps.filter(rank[F.col("resolution")] > RESOLUTIONS[target])
 
 
+def _distinct_times(df: DataFrame, file: str) -> DataFrame:
+    """(file, n, __f, __u, __s): how many different __t each file has, and the largest of the others.
+
+    Times that differ in whole hours only share a row: a block of 48 hours is the bits of a number, put together before the
+    shuffle. What stands beside the times is a key there, as the largest of texts would have every row sorted.
+    """
+    kind = df.schema["__t"].dataType
+    t = F.col("__t")
+    if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
+        at = t.cast("timestamp")
+        rest = F.pmod(F.unix_micros(at), F.lit(3600 * 10**6))
+        hours = ((F.unix_micros(at) - rest) / 3600e6).cast("long")
+        if isinstance(kind, T.TimestampNTZType):  # a time that the session's zone leaves out becomes one an hour later
+            rest = F.when(at.cast("timestamp_ntz") != t, -1 - rest).otherwise(rest)
+    else:
+        hours, rest = F.when(t.isNotNull(), 0), t
+    bit = F.when(t.isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(hours, F.lit(48)).cast("int")))
+    blocks = df.groupBy(file, "__f", "__u", "__s", F.floor(hours / 48.0).alias("__block"), rest.alias("__rest")).agg(F.bit_or(bit).alias("__bits"))
+    merged = blocks.groupBy(file, "__block", "__rest").agg(F.bit_or("__bits").alias("__bits"), F.max("__f").alias("__f"), F.max(F.lower("__u")).alias("__u"), F.max("__s").alias("__s"))
+    return merged.groupBy(file).agg(F.coalesce(F.sum(F.bit_count("__bits")), F.lit(0)).cast("long").alias("n"), *(F.max(c).alias(c) for c in ("__f", "__u", "__s")))
+
+
 def resolution_by_count(df: DataFrame, file: str, time: str = "time", *, files: str | Column = "year", units: str | Column | None = None, step: str | Column | None = None) -> DataFrame:
     """(file, n, resolution) from how many steps a file of a year, month or day has (files says which); NULL where no count fits.
 
@@ -157,7 +180,7 @@ def resolution_by_count(df: DataFrame, file: str, time: str = "time", *, files:
     for group, rules in COUNTS.items():
         for low, high, resolution in rules:
             name = F.when((F.col("__f") == group) & n.between(low, high), resolution).otherwise(name)
-    got = df.groupBy(file).agg(F.countDistinct(time).alias("n"), F.max(groups).alias("__f"), F.max(F.lower(col(units))).alias("__u"), F.max(col(step).cast("double")).alias("__s"))
+    got = _distinct_times(df.select(F.col(file), F.col(time).alias("__t"), groups.alias("__f"), col(units).alias("__u"), col(step).cast("double").alias("__s")), file)
     s = F.col("__s")
     whole = F.round(s).cast("int")
     months = F.when((F.col("__f") == "year") & n.between(10, 13), "month").when(F.abs(s - 1) < 0.2, "month").when((whole > 1) & (F.abs(s - whole) < 0.2), F.concat(whole.cast("string"), F.lit("month"))).otherwise("month")
