@@ -192,3 +192,18 @@ def test_hours_of_a_file_meet_before_the_shuffle(spark):
     got = timeops.resolution_by_count(hours.coalesce(1), "file")
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert got.first().n == 4800 and "shiftleft" in plan.lower() and "count(distinct" not in plan.lower()
+
+
+def test_nearest_stations_in_crowded_squares(spark):
+    rng = np.random.default_rng(4)
+    some = lambda n, first: [(first + i, *map(float, np.round(rng.normal(0, 3, 2) if i % 3 else rng.uniform(-40, 40, 2), 1))) for i in range(n)]
+    a, b = some(300, 0), [*some(400, 1000), (5000, None, 1.0)]
+    dfs = [spark.createDataFrame(x, "station_id long, lat double, lon double") for x in (a, b)]
+    want = {}
+    for i, lat, lon in a:
+        d, ref = min((((lat - y) ** 2 + (lon - x) ** 2) ** 0.5, k) for k, y, x in b if y is not None)
+        if d <= 5:
+            want[i] = (ref, d)
+    for per_square in (1, 4, 10**6):
+        got = {r.sim_id: (r.ref_id, r.distance) for r in grid.match_stations(*dfs, radius=5.0, per_square=per_square).collect()}
+        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)

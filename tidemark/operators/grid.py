@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,9 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.guards import ratio, weighted_mean
+from ..sources.scratch import spooled
 
 STATISTICS = {"sum": F.sum, "mean": F.avg, "var": F.var_pop, "std": F.stddev_pop, "median": F.median, "max": F.max, "min": F.min}
 
+#: How often the side of a search's squares is halved at most.
+MOST_HALVINGS = 12
+
 
 def axis(spark: SparkSession, low: float, high: float, step: float, name: str) -> DataFrame:
     """(i_name, name): centres from low + step/2, one per step up to high."""
@@ -237,18 +242,35 @@ def at_stations(df: DataFrame, stations: DataFrame, lats: DataFrame, lons: DataF
     return df.join(cells, ["i_lat", "i_lon"])
 
 
-def match_stations(sims: DataFrame, refs: DataFrame, *, key: str = "station_id", radius: float = 0.01) -> DataFrame:
-    """(sim id, ref id, distance): equal ids, or if there are none the nearest ref within radius, looked for in neighbouring squares only."""
+def match_stations(sims: DataFrame, refs: DataFrame, *, key: str = "station_id", radius: float = 0.01, per_square: int = 4) -> DataFrame:
+    """(sim id, ref id, distance): equal ids, or if there are none the nearest ref within radius.
+
+    Refs are looked for in the neighbouring squares. Squares as wide as the radius may hold many, so the first have a side at which
+    per_square refs lie in one on the average; a place with none within a side goes on to squares twice as wide, up to the radius.
+    Places are compared, with the smallest id of each; how wide the first squares are doesn't change results.
+    """
     same = sims.join(refs, key).select(F.col(key).alias("sim_id"), F.col(key).alias("ref_id"), F.lit(0.0).alias("distance"))
-    square = lambda c: F.floor(F.col(c) / radius).cast("long")
+    if not same.isEmpty():
+        return same
+    a = spooled(sims.filter("lat IS NOT NULL AND lon IS NOT NULL").groupBy(F.col("lat").alias("a"), F.col("lon").alias("b")).agg(F.count(F.lit(1)).alias("n")).drop("n"), "places")
+    b = spooled(refs.filter("lat IS NOT NULL AND lon IS NOT NULL").groupBy("lat", "lon").agg(F.min(key).alias("ref_id")), "places")
+    square = lambda c, side: F.floor(F.col(c) / side).cast("long")
+    held = b.agg(F.count(F.lit(1)), *(F.approx_count_distinct(F.struct(square("lat", radius / 2**k), square("lon", radius / 2**k))) for k in range(MOST_HALVINGS + 1))).first()
+    halvings = next((k for k, n in enumerate(held[1:]) if held[0] <= per_square * n), MOST_HALVINGS)
     around = F.sequence(F.lit(-1), F.lit(1))
-    a = sims.select(F.col(key).alias("sim_id"), F.col("lat").alias("a"), F.col("lon").alias("b"), square("lat").alias("i"), square("lon").alias("j"))
-    a = a.withColumn("di", F.explode(around)).withColumn("dj", F.explode(around)).select("sim_id", "a", "b", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"))
-    b = refs.select(F.col(key).alias("ref_id"), "lat", "lon", square("lat").alias("i"), square("lon").alias("j"))
     d = F.sqrt(F.pow(F.col("a") - F.col("lat"), 2) + F.pow(F.col("b") - F.col("lon"), 2))
-    near = a.join(b, ["i", "j"]).withColumn("distance", d).filter(F.col("distance") <= radius).groupBy("sim_id").agg(F.min(F.struct("distance", "ref_id")).alias("m")).select("sim_id", "m.ref_id", "m.distance")
-    none = same.agg((F.count(F.lit(1)) == 0).alias("none"))
-    return same.unionByName(near.crossJoin(F.broadcast(none)).filter("none").drop("none"))
+    open_, found = a, []
+    for k in range(halvings, -1, -1):
+        side = radius / 2**k
+        own = open_.withColumns({"i": square("a", side), "j": square("b", side)}).withColumn("di", F.explode(around)).withColumn("dj", F.explode(around)).select("a", "b", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"))
+        close = own.join(b.withColumns({"i": square("lat", side), "j": square("lon", side)}), ["i", "j"]).withColumn("distance", d).filter(F.col("distance") <= (side * (1 - 1e-9) if k else side))  # what rounding puts two squares off waits
+        # the nearest distance first: the least of structs would have every pair sorted
+        least = close.groupBy("a", "b", "distance").agg(F.min("ref_id").alias("ref_id")).groupBy("a", "b").agg(F.min(F.struct("distance", "ref_id")).alias("m"))
+        found.append(spooled(least.select("a", "b", "m.ref_id", "m.distance"), "nearest"))
+        open_ = open_.join(found[-1], ["a", "b"], "left_anti")
+    places = sims.select(F.col(key).alias("sim_id"), F.col("lat").alias("a"), F.col("lon").alias("b"))
+    near = places.join(functools.reduce(DataFrame.unionByName, found), ["a", "b"]).groupBy("sim_id").agg(F.min(F.struct("distance", "ref_id")).alias("m"))
+    return near.select("sim_id", "m.ref_id", "m.distance")
 
 
 def usable_stations(stations: DataFrame, *, min_years: int = 1, inclusive: bool = True, lat: tuple[float, float] = (-90, 90), lon: tuple[float, float] = (-180, 180), area: tuple[float, float] | None = None, max_error: float | None = None) -> DataFrame:
