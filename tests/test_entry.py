@@ -9,3 +9,9 @@ def test_every_sql_has_its_query_and_names_are_unique():
 def test_flagship(spark):
     got = entry.entry(spark)
     assert got.columns == ["item", "ref", "A", "B", "C"] and got.count() == 1
+
+
+def test_wide_pairs_are_dealt_once(spark):
+    """Items go to their cell's task, and the metrics need no second exchange."""
+    got = entry.queries()["mt_wide_grid"](spark, "/root/testdata/sf0.001")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

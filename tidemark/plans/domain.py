@@ -32,7 +32,8 @@ def grid_wide(spark: SparkSession, sf_dir: str, *, parts: bool = False) -> DataF
     items = table(spark, sf_dir, "lineitem").select("l_partkey" if parts else "l_suppkey", F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("time"), p, d, t)
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("cell"))
     values = {"R": p, "A": p * (1 - d), "B": p * (1 + t), "C": p * (1 - d) * (1 + t)}
-    placed = items.withColumnRenamed("l_partkey", "cell") if parts else items.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    # a part's month has about one item, so sums before a shuffle save nothing: items go to their cell's task once, and all that follows stays there
+    placed = items.withColumnRenamed("l_partkey", "cell").repartition("cell") if parts else items.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     return placed.groupBy("cell", "time").agg(*(F.avg(v).alias(n) for n, v in values.items()))
 
 
@@ -42,9 +43,10 @@ def grid_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_pairs(spark: SparkSession, sf_dir: str, *, parts: bool = False) -> DataFrame:
-    """(ref, sim, cell, time, s, o). The wide table is its own pairing: no join is needed."""
+    """(ref, sim, cell, time, s, o). The wide table is its own pairing: no join is needed. An array keeps the rows dealt by cell, an unpivot wouldn't."""
     wide = grid_wide(spark, sf_dir, parts=parts).withColumnRenamed("R", "o")
-    return wide.unpivot(["cell", "time", "o"], list(SIMS), "sim", "s").select(F.lit("R").alias("ref"), "sim", "cell", "time", "s", "o")
+    sims = F.explode(F.array(*(F.struct(F.lit(n).alias("sim"), F.col(n).alias("s")) for n in SIMS)))
+    return wide.select("cell", "time", "o", sims.alias("p")).select(F.lit("R").alias("ref"), "p.sim", "cell", "time", "p.s", "o")
 
 
 def station_series(spark: SparkSession, sf_dir: str) -> DataFrame:
