@@ -130,14 +130,16 @@ def resample_by_kind(df: DataFrame, keys: Sequence[str], resolution: str, *, val
 
 def infer_step(df: DataFrame, keys: Sequence[str], time: str = "time") -> DataFrame:
     """(keys, days, resolution): the median step of each group's axis, and the class of resolutions that it belongs to."""
-    times = df.select(*keys, F.col(time).cast("timestamp").cast("double").alias("__t")).distinct()
-    steps = times.withColumn("__d", (F.col("__t") - F.lag("__t").over(W.partitionBy(*keys).orderBy("__t"))) / 86400)
+    times = df.select(*keys, F.col(time).cast("timestamp").cast("double").alias("__t"))
+    gap = (F.col("__t") - F.lag("__t").over(W.partitionBy(*keys).orderBy("__t"))) / 86400
+    # equal times follow each other; equal gaps are counted, so the median holds a row per gap and not per time
+    steps = times.withColumn("__d", gap).filter("__d > 0 OR __d IS NULL").groupBy(*keys, "__d").agg(F.count(F.lit(1)).alias("__c"))
     d = F.col("days")
     name = F.when(d.isNull(), None)
     for resolution, most in CLASSES:
         name = name.when(d <= most, resolution)
     name = name.otherwise("year")
-    return steps.groupBy(*keys).agg(F.median("__d").alias("days")).withColumn("resolution", name)
+    return steps.groupBy(*keys).agg(F.percentile("__d", F.lit(0.5), F.col("__c")).alias("days")).withColumn("resolution", name)
 
 
 def upsampled(steps: DataFrame, target: str) -> DataFrame:

@@ -148,7 +148,7 @@ STEPS = ((1, "hour", False), (2, "hour", False), (3, "day", False), (24, "day",
 def t11_step_classes(spark, sf_dir):
     """A series of eight steps per part."""
     hours = F.element_at(F.array(*(F.lit(h) for h, _, _ in STEPS)), (F.col("p_partkey") % len(STEPS) + 1).cast("int"))
-    times = domain.table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"), hours.alias("h")).select("p_partkey", F.timestamp_seconds(F.lit(946684800) + F.col("k") * F.col("h") * 3600).alias("time"))
+    times = domain.table(spark, sf_dir, "part").select("p_partkey").repartition(max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), "p_partkey").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"), hours.alias("h")).select("p_partkey", F.timestamp_seconds(F.lit(946684800) + F.col("k") * F.col("h") * 3600).alias("time"))
     steps = timeops.infer_step(times, ["p_partkey"])
     return steps.join(timeops.upsampled(steps, "week").select("p_partkey", F.lit(True).alias("r")), "p_partkey", "left").select("p_partkey", F.round("days", 9).alias("days"), "resolution", F.coalesce("r", F.lit(False)).alias("refused"))
 
