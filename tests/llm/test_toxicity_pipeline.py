@@ -223,3 +223,13 @@ def test_stages_and_columns_with_their_own_names(spark):
     assert mixed.columns == [*(c for c in docs.columns if c != "copies"), "copies"] and {r.copies for r in mixed.collect()} <= {1, 2, 3}
     near = corpus_pipeline.dedup_near(spark, docs, DATA)
     assert near.columns == docs.columns and near.count() == 6
+
+
+def test_sample_has_all_rows_asked_for(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    at_hand = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
+    first = [str(r.doc_id) for r in at_hand.collect()]
+    for rows in (1, 2, 3, 5, 8, 13, 21, 34, 1000):
+        drawn = toxicity.labelled_sample(docs, labels, id_col="doc_id", text_col="text", label_col="toxic", rows=rows)
+        assert sorted(r.text for r in drawn.collect()) == sorted(first[:rows])

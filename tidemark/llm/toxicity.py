@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .tokens import combined, hash_words, words
@@ -116,8 +117,11 @@ def _pack(found: list[bytes], size: int) -> bytes:
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
     """(text, label) of at most rows labelled rows outside the held-out fold, drawn by a hash of the id; whole texts."""
     told = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("label")).filter(F.crc32(F.col("__id").cast("string")) % 5 != 0)
-    near = F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * rows / max(1, told.count()) + 1e-6))  # so that partitions send few rows to the driver
-    drawn = told.filter(near).orderBy(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)), "__id").limit(rows)
+    told = told.withColumn("__h", F.pmod(F.xxhash64("__id"), F.lit(1 << 30)))
+    # counts by ranges of the hash tell exactly how far the first rows go, so that partitions send few others to the driver
+    counts = told.groupBy(F.shiftright("__h", 14).alias("bin")).agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.sum("n").over(W.orderBy("bin")))
+    last = F.broadcast(counts.filter(F.col("n") >= rows).agg(F.coalesce(F.min("bin"), F.lit(1 << 16)).alias("last")))
+    drawn = told.crossJoin(last).filter(F.shiftright("__h", 14) <= F.col("last")).orderBy("__h", "__id").limit(rows).select("__id", "label")
     return docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "__id").select("text", "label")
 
 
