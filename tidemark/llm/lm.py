@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow.fs import FileSystem
 from pyspark import SparkFiles
@@ -140,10 +141,10 @@ class Tokens:
         return found, np.repeat(touched, sizes)
 
 
-def _sequences(batch_texts: pa.Array, model: Model) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _sequences(batch_texts: pa.Array, model: Model, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(kinds, rows, number of each kind, count of each kind) per block; kinds and rows have two tokens in front that don't count."""
     state, tail = Tokens(len(batch_texts)), None
-    for block in blocks(batch_texts, BLANK, block=BLOCK):
+    for block in blocks(batch_texts, BLANK, block=size):
         firsts, numbers = identify(block)
         known, counts = word_numbers(model, block, firsts)
         kinds, rows = state.of(block, numbers)
@@ -227,13 +228,13 @@ def _vocabulary(docs: DataFrame) -> DataFrame:
 
 
 def _word_file(table: pa.Table, bits: int) -> tuple[bytes, int]:
-    hashes = table.column("hash").to_numpy().view(np.uint64)
-    words = table.column("word").to_pylist()
-    order = sorted(range(len(words)), key=lambda k: (int(hashes[k]), words[k]))
-    held = [words[k] for k in order]
-    offsets = np.array([0, *(len(w) for w in held)], np.int64).cumsum()
-    tree = {"hashes": EliasFano.arrays(hashes[order]), "offsets": EliasFano.arrays(offsets), "blob": np.frombuffer(b"".join(held), np.uint8), "counts": table.column("n").to_numpy()[order]}
-    return packed(tree), len(held)
+    table = pa.table({"hash": table.column("hash").to_numpy().view(np.uint64), "word": table.column("word").cast(pa.large_binary()), "n": table.column("n")})
+    table = table.take(pc.sort_indices(table, sort_keys=[("hash", "ascending"), ("word", "ascending")]))
+    sizes = pc.binary_length(table.column("word")).to_numpy()
+    words = table.column("word").combine_chunks() if table.num_rows else None
+    blob = memoryview(words.buffers()[2])[: int(sizes.sum())] if sizes.sum() else b""
+    tree = {"hashes": EliasFano.arrays(table.column("hash").to_numpy()), "offsets": EliasFano.arrays(np.concatenate([[0], sizes]).astype(np.int64).cumsum()), "blob": np.frombuffer(blob, np.uint8), "counts": table.column("n").to_numpy()}
+    return packed(tree), table.num_rows
 
 
 def gram_file(second: np.ndarray, first: np.ndarray, token: np.ndarray, n: np.ndarray, least: int) -> bytes:
@@ -277,7 +278,7 @@ def _grams(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for kinds, _, known, counts in _sequences(batch.column(0), model):
+            for kinds, _, known, counts in _sequences(batch.column(0), model, BLOCK // 2):  # a block's n-grams take some sixty bytes for one of text
                 real = 2 + np.flatnonzero(kinds[2:] != START)
                 keys, n = zip(*(np.unique(k, return_counts=True) for k in _keys(kinds, real)), strict=True)
                 second, first, token, kind = _parts(np.concatenate(keys), known)
