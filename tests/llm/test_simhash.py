@@ -82,3 +82,18 @@ def test_long_path_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_stars_and_one_more_edge_take_few_rounds(spark, monkeypatch):
+    """Stars are told without a round; an edge between two joins them. Before, each call began anew and its last round changed nothing."""
+    from tidemark.llm import components as module
+
+    written = []
+    monkeypatch.setattr(module, "spool", lambda df, what, spool=module.spool: written.append(what) or spool(df, what))
+    found = module.stars(spark.createDataFrame([(2, 1), (3, 1), (1, 4), (9, 8), (7, 7), (None, 5)], "u long, v long"))
+    assert {(r.u, r.v) for r in found.collect()} == {(2, 1), (3, 1), (4, 1), (9, 8)} and len(written) == 1
+    written.clear()
+    found = module.stars(found.unionByName(spark.createDataFrame([(3, 9)], "u long, v long")))
+    assert {(r.u, r.v) for r in found.collect()} == {(2, 1), (3, 1), (4, 1), (9, 1), (8, 1)} and len(written) <= 3
+    assert {(r.node, r.root) for r in module.rooted(found).collect()} == {(k, 1) for k in (1, 2, 3, 4, 8, 9)}
+    assert module.stars(found.limit(0)).count() == 0

@@ -21,20 +21,33 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return hung.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of edges(u, v); root is the smallest node that it reaches.
+def stars(edges: DataFrame) -> DataFrame:
+    """(u, v): each node of edges(u, v) but the smallest of its component, and that smallest one. Written to the shared folder.
 
-    Null ends and loops are ignored; repeated edges are one. Each round is written to the shared folder,
-    so a lost executor costs one round, and the rounds end when none changes the edges (their
-    number grows with the logarithm of the longest path).
+    Null ends and loops are ignored; repeated edges are one. Each round is written too,
+    so a lost executor costs one round, and the rounds end when each node hangs on one that hangs on none (their
+    number grows with the logarithm of the longest path; what are stars already takes none).
     """
-    now = spool(edges.filter("u <> v").select(F.col("u"), F.col("v")).distinct(), "edges")
-    before = None
-    while True:
-        after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = after
+    now = spool(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while not _is_stars(now):
         with Scratch() as scratch:
             now, last = scratch.keep(spool(_star(_star(now, True), False), "edges")), now
         discard(last)
+    return now
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether of the different edges(u, v), u over v, no two begin at one node and none begins where another ends."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    told = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not told.agg(F.coalesce(F.max((F.col("up") + F.col("down") > 1) & (F.col("up") > 0)), F.lit(False))).first()[0]
+
+
+def rooted(hung: DataFrame) -> DataFrame:
+    """(node, root) of all nodes of stars."""
+    return hung.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(hung.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for each node of edges(u, v); root is the smallest node that it reaches."""
+    return rooted(stars(edges))

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, is_empty, spool
-from .components import components
+from .components import components, rooted, stars
 from .tokens import combined, hash_words, mixed
 from .tokens import words as text_words
 
@@ -258,8 +258,8 @@ def refined(crowded: DataFrame, sketch: DataFrame, level: int) -> DataFrame:
     return crowded.join(sketch, "node").select("key", "node", "low").mapInArrow(run, f"key long, node {kind}")
 
 
-def _compared(buckets: DataFrame, edges: DataFrame, similar, sketch: DataFrame) -> DataFrame:
-    """edges and those among the nodes of each bucket of buckets(key, node), until no two nodes of one are unlinked and uncompared.
+def _compared(buckets: DataFrame, hung: DataFrame, similar, sketch: DataFrame) -> DataFrame:
+    """The stars of hung and of the edges among the nodes of each bucket of buckets(key, node), until no two nodes of one are unlinked and uncompared.
 
     Nodes that are in one component already need no comparison, so that a group of n copies costs n
     comparisons. Nodes that are unlike the first few of their bucket meet pair by pair; where that would be more than so many pairs per node, those of a crowded bucket
@@ -271,12 +271,11 @@ def _compared(buckets: DataFrame, edges: DataFrame, similar, sketch: DataFrame)
         rounds = 0 if level else ROUNDS
         for turn in range(rounds + 1):
             with Scratch() as scratch:
-                roots = components(edges)
-                labelled = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+                labelled = buckets.join(rooted(hung), "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
                 several = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("node", "comp")).alias("head"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
                 live = scratch.keep(spool(labelled.join(several.select("key", "head", "n"), "key"), "near-buckets"))
                 if is_empty(live):
-                    return edges
+                    return hung
                 if turn < rounds:
                     met = live.filter("node <> head.node AND comp <> head.comp").select(F.col("head.node").alias("u"), F.col("node").alias("v"))
                 else:
@@ -284,14 +283,20 @@ def _compared(buckets: DataFrame, edges: DataFrame, similar, sketch: DataFrame)
                     few = live if every else live.filter(F.col("n") <= CROWD)
                     a, b = few.alias("a"), few.alias("b")
                     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-                edges = scratch.keep(spool(edges.unionByName(similar(met)), "near-edges"))
+                hung = _joined(scratch, hung, similar(met))
             buckets = live.filter("node <> head.node").select("key", "node")
         crowded = live.filter(F.col("n") > CROWD)
         if every or is_empty(crowded):
-            return edges
+            return hung
         with Scratch() as scratch:
             buckets = scratch.keep(spool(refined(crowded.select("key", "node"), sketch, level), "near-finer"))
-    return edges
+    return hung
+
+
+def _joined(scratch: Scratch, hung: DataFrame, edges: DataFrame) -> DataFrame:
+    """The stars of hung, which are stars already, and edges. Only what is new is worked on: without new edges they are hung itself."""
+    fresh = spool(edges, "near-edges")
+    return hung if is_empty(fresh) else scratch.keep(stars(hung.unionByName(fresh)))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 2, radii: tuple[int, ...] = (2, 3), shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -330,18 +335,16 @@ def _first_of_each(docs: DataFrame, digest: Column, key: Column, text_col: str,
     head = lambda end: heads.select(F.col("fp").alias(end), F.col("head").alias(f"h{end}"))
     within = told.select("fp", F.col("__digest").alias("v")).join(heads.select("fp", F.col("head").alias("u")), "fp").filter("u <> v").select("u", "v")
     with Scratch() as scratch:
-        edges = scratch.keep(spool(similar(within), "near-edges"))
+        hung = scratch.keep(stars(similar(within)))
     for radius in radii:
         with Scratch() as scratch:
-            roots = components(edges)
             # a root is the smallest of its fingerprint too, so that fingerprint can stand for the component
             of_root = heads.select(F.col("head").alias("root"), F.col("fp").alias("root_fp"))
-            labelled = spool(heads.join(roots.join(of_root, "root"), F.col("head") == F.col("node"), "left").select("fp", F.coalesce("root_fp", "fp").alias("comp")), "near-labels")
+            labelled = spool(heads.join(rooted(hung).join(of_root, "root"), F.col("head") == F.col("node"), "left").select("fp", F.coalesce("root_fp", "fp").alias("comp")), "near-labels")
             across = links(labelled, radius).join(head("u"), "u").join(head("v"), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
-            edges = scratch.keep(spool(edges.unionByName(similar(across)), "near-edges"))
+            hung = _joined(scratch, hung, similar(across))
     keys = F.explode(F.concat(F.array("fp"), "bands")).alias("key")
-    edges = _compared(told.select(keys, F.col("__digest").alias("node")), edges, similar, told.select(F.col("__digest").alias("node"), "low"))
-    with Scratch() as scratch:
-        member = scratch.keep(spool(components(edges), "near-components"))
+    hung = _compared(told.select(keys, F.col("__digest").alias("node")), hung, similar, told.select(F.col("__digest").alias("node"), "low"))
+    member = rooted(hung)
     grouped = told.select("__digest", "__key").join(member, F.col("__digest") == F.col("node"), "left").select("__digest", "__key", F.coalesce("root", "__digest").alias("root"))
     return grouped.groupBy("root").agg(F.min(F.struct("__key", "__digest")).alias("first")).select(F.col("first.__digest").alias("__digest"), F.col("first.__key").alias("__key"))
