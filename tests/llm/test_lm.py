@@ -2,11 +2,13 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from tidemark.llm import lm, ngrams
 from tidemark.llm.eliasfano import EliasFano, Lists, Mapped, packed
@@ -127,3 +129,25 @@ def test_lists(tmp_path):
     starts = np.cumsum([0, *map(len, held)])
     for w, v, a, p in zip(which.tolist(), value.tolist(), at.tolist(), place.tolist(), strict=True):
         assert (a, p) == (starts[w] + held[w].tolist().index(v), held[w].tolist().index(v)) if v in held[w] else a == -1
+
+
+def test_a_shard_is_built_within_a_few_copies_of_its_ngrams():
+    """Runs of a shard were unpacked, put together and sorted as three tables side by side, over 130 bytes for an n-gram of 32."""
+    rng = np.random.default_rng(4)
+    pack = zstandard.ZstdCompressor(level=1)
+    parts = [np.stack([*(rng.integers(0, 1 << 20, 50_000) for _ in range(3)), (rng.random(50_000) < 0.2) + 1]) for _ in range(8)]
+    runs = pa.chunked_array([pa.array([pack.compress(t.view(np.uint8).reshape(4, -1, 8).transpose(0, 2, 1).tobytes()) for t in parts], pa.binary())])
+    table = np.concatenate(parts, axis=1)
+    assert (lm._unpacked(runs, zstandard.ZstdDecompressor()) == table).all()
+    tracemalloc.start()
+    lm.gram_file(*lm._unpacked(runs, zstandard.ZstdDecompressor()), 2)
+    assert tracemalloc.get_traced_memory()[1] < 90 * table.shape[1]
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("top", [1, 1 << 10, 1 << 21, 1 << 32, 1 << 62])
+def test_rows_are_ordered_by_columns(top):
+    columns = np.random.default_rng(top % 97).integers(0, top, (3, 2000))
+    columns[:, 1000:] = columns[:, :1000]
+    assert (lm.ordered(*columns) == np.lexsort(columns[::-1])).all()
+    assert len(lm.ordered(*columns[:, :0])) == 0

@@ -24,6 +24,14 @@ def _select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
     return place + _IN_BYTE[(words >> place & U(255)) << U(3) | rest]
 
 
+#: Values whose low bits are laid out at once, a byte each; a multiple of 8, so that pieces end with a byte.
+PIECE = 1 << 15
+
+
+def _low_bits(values: np.ndarray, bits: int) -> np.ndarray:
+    return np.packbits(np.stack([(values >> U(k) & U(1)).astype(np.uint8) for k in range(bits)], axis=1).ravel(), bitorder="little")
+
+
 class EliasFano:
     """A non-decreasing sequence of integers below 2^64: low bits as they are, high bits in unary, and ones counted up to each word."""
 
@@ -39,8 +47,7 @@ class EliasFano:
         values = np.asarray(values).astype(np.uint64)
         n, top = len(values), int(values[-1]) if len(values) else 0
         bits = max(0, (top // max(1, n)).bit_length() - 1)
-        apart = [(values >> U(k) & U(1)).astype(np.uint8) for k in range(bits)]
-        low = np.packbits(np.stack(apart, axis=1).ravel(), bitorder="little") if bits else np.zeros(0, np.uint8)
+        low = np.concatenate([np.zeros(0, np.uint8), *(_low_bits(values[k : k + PIECE], bits) for k in range(0, n if bits else 0, PIECE))])
         places = (values >> U(bits)).astype(np.int64) + np.arange(n)
         unary = np.zeros((n + (top >> bits) + 1 + 63) // 64 * 64, np.uint8)
         unary[places] = 1

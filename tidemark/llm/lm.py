@@ -237,18 +237,37 @@ def _word_file(table: pa.Table, bits: int) -> tuple[bytes, int]:
     return packed(tree), table.num_rows
 
 
+def ordered(*columns: np.ndarray) -> np.ndarray:
+    """The order of rows by these columns, none of them negative; columns that fit into 63 bits side by side are sorted as one."""
+    keys, room = [], 0
+    for column in reversed(columns):
+        bits = int(column.max(initial=0)).bit_length()
+        if keys and room + bits <= 63:
+            keys[-1] = keys[-1] | column << room
+            room += bits
+        else:
+            keys.append(column)
+            room = bits
+    return np.lexsort(keys)
+
+
 def gram_file(second: np.ndarray, first: np.ndarray, token: np.ndarray, n: np.ndarray, least: int) -> bytes:
     """The trie of a shard's n-grams (second, first + 1 or 0 for any, token, occurrences); repeated ones are added up.
 
     A context's successors are told by their place among all words that follow its second word in this shard. share is what the
-    counts less the discount give each successor, left is what the others keep.
+    counts less the discount give each successor, left is what the others keep. The arrays given are sorted where they are, as a shard's take most of a task's memory.
     """
-    order = np.lexsort((token, first, second))
-    second, first, token, n = second[order], first[order], token[order], n[order]
+    order = ordered(second, first, token)
+    for column in (second, first, token, n):
+        column[:] = column[order]
+    del order
     new = lambda *columns: np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])) if len(columns[0]) else np.zeros(0, np.int64)
     grams = new(second, first, token)
     n = np.add.reduceat(n, grams) if len(grams) else n
-    second, first, token = second[grams], first[grams], token[grams]
+    for column in (second, first, token):
+        column[: len(grams)] = column[grams]
+    second, first, token = (column[: len(grams)] for column in (second, first, token))
+    del grams
     contexts = new(second, first)
     total = np.add.reduceat(n, contexts) if len(contexts) else n
     total = np.repeat(total, np.diff(np.append(contexts, len(n))))
@@ -257,7 +276,7 @@ def gram_file(second: np.ndarray, first: np.ndarray, token: np.ndarray, n: np.nd
     share, contexts, tops = (n - DISCOUNT) / total, new(second, first), new(second)
     left = 1 - (np.add.reduceat(share, contexts) if len(contexts) else share)
     group = np.repeat(np.arange(len(tops)), np.diff(np.append(tops, len(n))))
-    by_word = np.lexsort((token, group))
+    by_word = ordered(group, token)
     other = new(group[by_word], token[by_word])
     words_of, words = group[by_word][other], token[by_word][other]
     place = np.empty(len(n), np.int64)
@@ -292,6 +311,16 @@ def _grams(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, "shard long, grams binary")
 
 
+def _unpacked(runs: pa.ChunkedArray, unpack: zstandard.ZstdDecompressor) -> np.ndarray:
+    """(second, first, token, n) of compressed runs of n-grams, put one after the other into one table, so that none is there twice."""
+    sizes = np.array([zstandard.frame_content_size(x.as_buffer()) // 32 for x in runs], np.int64)
+    out, at = np.empty((4, int(sizes.sum())), np.int64), 0
+    for x, n in zip(runs, sizes.tolist(), strict=True):
+        out[:, at : at + n].view(np.uint8).reshape(4, n, 8)[:] = np.frombuffer(unpack.decompress(x.as_buffer()), np.uint8).reshape(4, 8, n).transpose(0, 2, 1)
+        at += n
+    return out
+
+
 def train(docs: DataFrame, *, text_col: str = "text", least: int = 2, shard_tokens: int = 1 << 21) -> Model:
     """A model of two words' context over all texts of docs, in a folder of shards.
 
@@ -329,8 +358,7 @@ def train(docs: DataFrame, *, text_col: str = "text", least: int = 2, shard_toke
     def gram_files(batches):
         unpack = zstandard.ZstdDecompressor()
         for shard, table in gathered(batches):
-            columns = [np.frombuffer(unpack.decompress(x.as_py()), np.uint8).reshape(4, 8, -1).transpose(0, 2, 1).reshape(4, -1).view(np.int64) for x in table.column("grams")]
-            _write(base, model.written(f"grams-{shard}"), gram_file(*np.concatenate(columns, axis=1), least))
+            _write(base, model.written(f"grams-{shard}"), gram_file(*_unpacked(table.column("grams"), unpack), least))
             yield pa.RecordBatch.from_pydict({"shard": [shard]}, pa.schema([("shard", pa.int64())]))
 
     there = {r.shard for r in dealt(_grams(docs, model)).mapInArrow(gram_files, "shard long").collect()}
