@@ -132,7 +132,7 @@ def test_lists(tmp_path):
 
 
 def test_a_shard_is_built_within_a_few_copies_of_its_ngrams():
-    """Runs of a shard were unpacked, put together and sorted as three tables side by side, over 130 bytes for an n-gram of 32."""
+    """Runs of a shard were unpacked, put together and sorted as tables side by side, 112 bytes for an n-gram of 32."""
     rng = np.random.default_rng(4)
     pack = zstandard.ZstdCompressor(level=1)
     parts = [np.stack([*(rng.integers(0, 1 << 20, 50_000) for _ in range(3)), (rng.random(50_000) < 0.2) + 1]) for _ in range(8)]
