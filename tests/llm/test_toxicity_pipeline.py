@@ -233,3 +233,52 @@ def test_sample_has_all_rows_asked_for(spark):
     for rows in (1, 2, 3, 5, 8, 13, 21, 34, 1000):
         drawn = toxicity.labelled_sample(docs, labels, id_col="doc_id", text_col="text", label_col="toxic", rows=rows)
         assert sorted(r.text for r in drawn.collect()) == sorted(first[:rows])
+
+
+def test_all_labelled_rows_are_learned(spark):
+    """Of over 12,000 labelled rows, a telling word that stands only in the last ones by hash is learned too."""
+    ids = spark.range(16_000).select(F.col("id").alias("doc_id")).filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
+    order = [r.doc_id for r in ids.collect()]
+    assert len(order) > 12_500
+    rng = random.Random(6)
+    rows = [(i, f"w{rng.randrange(50)} w{rng.randrange(50)} " + (("vermin" if k < 12_000 else "scoundrel") if k % 4 == 0 else "person") + f" w{rng.randrange(50)}", int(k % 4 == 0)) for k, i in enumerate(order)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert b" vermin " in model.toxic and b" scoundrel " in model.toxic
+
+
+def test_calibration_by_sums_is_at_the_least_loss(spark):
+    rng = random.Random(7)
+    rows = [([n, *sorted((rng.randrange(4 + 4 * (k % 3 == 0)) for _ in toxicity.MARGINS), reverse=True)], int((k + rng.randrange(4) // 3) % 3 == 0)) for k in range(600) for n in [rng.randrange(10, 90)]]
+    model = toxicity.Model()
+    toxicity._calibrate(model, spark.createDataFrame(rows, "counts array<long>, label int").repartition(3))
+    np = toxicity.np
+    raw, label = toxicity.features(np.array([r[0] for r in rows], dtype=float)), np.array([r[1] for r in rows])
+    assert np.allclose(model.centre, raw.mean(0)) and np.allclose(model.scale, raw.std(0))
+    x = np.hstack([np.ones((len(raw), 1)), (raw - raw.mean(0)) / raw.std(0)])
+    w = np.array(model.weights)
+    slope = x.T @ (label - 1 / (1 + np.exp(-(x @ w)))) - np.array([1e-6] + [1.0] * raw.shape[1]) * w
+    assert np.abs(slope).max() < 1e-5
+
+
+def test_neighbours_are_counted_once_over_all_runs(spark, monkeypatch):
+    """Runs of few words, in which pairs of neighbours come again, and words long and short."""
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choice(["a", "b", "of", "longer", "words"]) for _ in range(rng.randrange(12))), k % 2) for k in range(60)]
+    want = {}
+    for text, label in rows:
+        w = text.split()
+        for k, x in enumerate(w):
+            want.setdefault(x.encode(), set()).add((w[k - 1] if k else None, w[k + 1] if k + 1 < len(w) else None, label))
+    import pyarrow as pa
+
+    monkeypatch.setattr(toxicity, "RUN", 20)
+    batches = [pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows]), pa.array([x for _, x in rows], pa.int32())], names=["text", "label"])]
+    made, got = list(toxicity._neighbours(iter(batches))), {}
+    assert len(made) > 5
+    for b in made:
+        for word, part, near in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            assert near == sorted(set(near)) and all(x % (16 if len(word) <= 3 else 1) == part for x in near)
+            got.setdefault(word, set()).update(near)
+    assert {w: len(v) for w, v in got.items()} == {w: len(v) for w, v in want.items()}
+    assert {w: sum(x & 1 for x in v) for w, v in got.items()} == {w: sum(x[2] for x in v) for w, v in want.items()}

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import discard, spool
 from .tokens import combined, hash_words, words
 
 #: Margins in bytes at which windows are counted.
@@ -21,6 +22,8 @@ MARGINS = (2, 3, 4, 5)
 FRAME = 33
 #: Windows that a Python worker remembers.
 REMEMBERED = 300_000
+#: Words of texts whose neighbours are told apart together before they are shuffled.
+RUN = 1 << 21
 
 
 @dataclass
@@ -114,19 +117,22 @@ def _pack(found: list[bytes], size: int) -> bytes:
     return b" " + b" ".join(reversed(out)) + b" "
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
-    """(text, label) of at most rows labelled rows outside the held-out fold, drawn by a hash of the id; whole texts."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, rows: int | None = None) -> DataFrame:
+    """(text, label) of all labelled rows outside the held-out fold, or of the first rows of them by a hash of the id; whole texts."""
     told = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("label")).filter(F.crc32(F.col("__id").cast("string")) % 5 != 0)
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
+    if rows is None:
+        return texts.join(told.hint("shuffle_hash"), "__id").select("text", "label")
     told = told.withColumn("__h", F.pmod(F.xxhash64("__id"), F.lit(1 << 30)))
     # counts by ranges of the hash tell exactly how far the first rows go, so that partitions send few others to the driver
     counts = told.groupBy(F.shiftright("__h", 14).alias("bin")).agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.sum("n").over(W.orderBy("bin")))
     last = F.broadcast(counts.filter(F.col("n") >= rows).agg(F.coalesce(F.min("bin"), F.lit(1 << 16)).alias("last")))
     drawn = told.crossJoin(last).filter(F.shiftright("__h", 14) <= F.col("last")).orderBy("__h", "__id").limit(rows).select("__id", "label")
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "__id").select("text", "label")
+    return texts.join(F.broadcast(drawn), "__id").select("text", "label")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = 12_000, dict_bytes: int = 4096, evidence: float = 16.0, ratio: float = 4.0) -> Model:
-    """Train the dictionaries and the score on at most rows labelled documents.
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int | None = None, dict_bytes: int = 4096, evidence: float = 16.0, ratio: float = 4.0) -> Model:
+    """Train the dictionaries and the score on all labelled documents outside the held-out fold, or on the first rows of them by hash.
 
     Dictionaries that zstandard trains by itself don't tell these kinds apart, since it seeks what is frequent and not
     what is telling (see the README), so their content is chosen by evidence.
@@ -134,32 +140,58 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     count once. The toxic dictionary gets the words whose share among toxic texts is ratio times
     their share overall with a log-likelihood ratio of evidence or more; the ordinary one gets as many bytes of
     frequent ordinary words; both end with the most frequent ordinary words. The score is a
-    logistic regression on how many windows the toxic dictionary encodes shorter, and by how much.
+    logistic regression on how many windows the toxic dictionary encodes shorter, and by how much; its sums are made in tasks.
     Without labelled rows of both kinds the model scores all texts 0.
     """
-    sample = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=rows).coalesce(16).persist()
+    sample = spool(labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=rows), "toxicity-texts")
     try:
         return _train(sample, dict_bytes, evidence, ratio)
     finally:
-        sample.unpersist()
+        discard(sample)
+
+
+def _neighbours(batches):
+    """(word, part, near) per run of texts: the hashes of the different pairs of neighbours that a word stands between, with the label as last bit.
+
+    Short words are the frequent ones, so their neighbours are dealt into parts, of which no task gets many.
+    """
+
+    def made(found: list[bytes], h: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+        part = near % np.where(np.fromiter(map(len, found), np.int64, len(found)) <= 3, 16, 1)
+        order = np.lexsort((near, part, h))
+        h, near, part = h[order], near[order], part[order]
+        begins = np.r_[True, (np.diff(h) != 0) | (np.diff(part) != 0)]
+        fresh = begins | np.r_[True, np.diff(near) != 0]
+        at = np.flatnonzero(begins)
+        offsets = np.r_[np.flatnonzero(begins[fresh]), fresh.sum()].astype(np.int32)
+        columns = [pa.array([found[k] for k in order[at].tolist()], pa.binary()), pa.array(part[at], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(near[fresh], pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["word", "part", "near"])
+
+    found, parts = [], []
+    for batch in batches:
+        for text, label in zip(*(batch.column(k) for k in (0, 1)), strict=True):
+            own = words(text.as_py())
+            if not own:
+                continue
+            h = hash_words(own)
+            near = combined(np.concatenate([[np.uint64(0)], h, [np.uint64(0)]]), (0, 2), 0) & ~np.uint64(1) | np.uint64(label.as_py())
+            found += own
+            parts.append((h, near.view(np.int64)))
+            if len(found) >= RUN:
+                yield made(found, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+                found, parts = [], []
+    if found:
+        yield made(found, *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
 def _train(sample: DataFrame, dict_bytes: int, evidence: float, ratio: float) -> Model:
     kinds = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(kinds) < 2:
         return Model()
-
-    def cut(batches):
-        for batch in batches:
-            for text, label in zip(*(batch.column(k) for k in (0, 1)), strict=True):
-                found = words(text.as_py())
-                h = hash_words(found)
-                near = combined(np.concatenate([[np.uint64(0)], h, [np.uint64(0)]]), (0, 2), 0).view(np.int64) if found else []
-                for a in range(0, len(found), 1 << 16):  # a long text in several batches
-                    part = found[a : a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(near[a : a + len(part)], pa.int64()), pa.array([label.as_py()] * len(part), pa.int32())], names=["word", "near", "label"])
-
-    seen = sample.select("text", F.col("label").cast("int")).mapInArrow(cut, "word binary, near long, label int").distinct().groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o")).persist()
+    sample = sample.select("text", F.col("label").cast("int"))
+    stands = sample.mapInArrow(_neighbours, "word binary, part int, near array<long>").repartition("word", "part").select("word", "part", F.explode("near").alias("near")).distinct()
+    label = F.col("near").bitwiseAND(F.lit(1))
+    seen = spool(stands.groupBy("word").agg(F.sum(label).alias("t"), F.sum(1 - label).alias("o")), "toxicity-words")
     t_all, o_all = (int(x or 0) for x in seen.agg(F.sum("t"), F.sum("o")).first())
     common = [bytes(r["word"]) for r in seen.filter(F.col("o") >= _reaching(seen, 4000)).orderBy(F.desc("o"), "word").limit(4000).collect()]
     share = t_all / max(1, t_all + o_all)
@@ -167,14 +199,15 @@ def _train(sample: DataFrame, dict_bytes: int, evidence: float, ratio: float) ->
     likelihood = F.col("t") * F.log(q / share) + F.when(F.col("o") > 0, F.col("o") * F.log((1 - q) / (1 - share))).otherwise(0.0)
     telling = seen.filter((F.col("t") >= 3) & (q > share) & (F.col("t") > ratio * share * F.col("o"))).withColumn("g", likelihood).filter(F.col("g") >= evidence)
     toxic = [bytes(r["word"]) for r in telling.orderBy(F.desc("g"), "word").limit(1000).collect()]
-    seen.unpersist()
+    discard(seen)
     kept = set(toxic)
     common = [w for w in common if w not in kept]
     own = _pack(toxic, dict_bytes)
     shared = _pack(common, dict_bytes)
     model = Model(own, _pack(common[len(shared.split()) :], len(own)), shared.rjust(3 * FRAME))
-    counts = np.array([[*r["counts"], r["label"]] for r in measure(sample, model, keep=["label"]).collect()], dtype=float)
-    _calibrate(model, counts[:, :-1], counts[:, -1])
+    counts = spool(measure(sample, model, keep=["label"]).select("counts", "label"), "toxicity-counts")
+    _calibrate(model, counts)
+    discard(counts)
     return model
 
 
@@ -189,23 +222,50 @@ def _reaching(seen: DataFrame, most: int) -> int:
     return 1
 
 
-def _calibrate(model: Model, counts: np.ndarray, label: np.ndarray, penalty: float = 1.0, rounds: int = 60) -> None:
-    """Ridge logistic regression by damped Newton steps."""
-    x = features(counts)
-    model.centre, model.scale = x.mean(0).tolist(), np.maximum(x.std(0), 1e-9).tolist()
-    x = np.hstack([np.ones((len(x), 1)), (x - model.centre) / model.scale])
-    w, ridge = np.zeros(x.shape[1]), np.diag([1e-6] + [penalty] * (x.shape[1] - 1))
-
-    def loss(w):
-        z = x @ w
-        return np.logaddexp(0, z).sum() - label @ z + w @ ridge @ w / 2
+def _summed(counts: DataFrame, function) -> np.ndarray:
+    """The sum of function(counts, label), a vector, over the rows of counts(counts, label). Each task sends its own sum."""
 
+    def run(batches):
+        total = 0.0
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, 1 + len(MARGINS)).astype(float)
+                total = total + function(x, batch.column(1).to_numpy().astype(float))
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    return np.sum([r["sums"] for r in counts.mapInArrow(run, "sums array<double>").collect()], axis=0)
+
+
+def _calibrate(model: Model, counts: DataFrame, penalty: float = 1.0, rounds: int = 60) -> None:
+    """Ridge logistic regression by damped Newton steps on counts(counts, label)."""
+    n, *sums = _summed(counts, lambda c, _: np.r_[len(c), features(c).sum(0)])
+    centre = np.array(sums) / n
+    scale = np.maximum(np.sqrt(_summed(counts, lambda c, _: ((features(c) - centre) ** 2).sum(0)) / n), 1e-9)
+    model.centre, model.scale = centre.tolist(), scale.tolist()
+    size = len(centre) + 1
+    ridge = np.diag([1e-6] + [penalty] * (size - 1))
+
+    def at(w):
+        def parts(c, label):
+            x = np.hstack([np.ones((len(c), 1)), (features(c) - centre) / scale])
+            z = x @ w
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            return np.r_[np.logaddexp(0, z).sum() - label @ z, x.T @ (label - p), ((x * (p * (1 - p) + 1e-9)[:, None]).T @ x).ravel()]
+
+        found = _summed(counts, parts)
+        return found[0] + w @ ridge @ w / 2, found[1 : size + 1] - ridge @ w, found[size + 1 :].reshape(size, size) + ridge
+
+    w = np.zeros(size)
+    loss, slope, curve = at(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (label - p) - ridge @ w)
-        pace = 1.0
-        while pace > 1e-6 and loss(w + pace * step) > loss(w):
+        step, pace = np.linalg.solve(curve, slope), 1.0
+        if np.abs(step).max() < 1e-8:
+            break
+        before, (loss, slope, curve) = loss, at(w + step)
+        while pace > 1e-6 and loss > before:
             pace /= 2
+            loss, slope, curve = at(w + pace * step)
         w = w + pace * step
         if pace * np.abs(step).max() < 1e-8:
             break
